@@ -4,7 +4,7 @@ import importlib
 
 from catalog import CATALOG
 
-for _part in ("rules", "windows", "sessions"):
+for _part in ("rules", "windows", "sessions", "tables", "texts", "stores", "streams"):
     importlib.import_module(f"catalog.{_part}")
 
 __all__ = ["CATALOG"]

@@ -270,6 +270,9 @@ def learn_baseline(
     seen). Rows whose value is null or not finite get nulls and move nothing.
     `carry` (the keys and `_carried`, see `carry_over`) continues earlier series.
     """
+    taken = sorted(set(df.columns) & set(STATE_FIELDS))
+    if taken:
+        raise ValueError(f"columns {', '.join(taken)} would be overwritten; rename them first")
     number = finite(to_number(F.col(f"`{value}`"), df.schema[value].dataType))
     marked = df.withColumn(VALUE, number).withColumn(CARRIED, F.lit(None).cast("string"))
     by = list(order)

@@ -47,7 +47,8 @@ def centroids(df: DataFrame, embedding: str, by: Sequence[str] = ()) -> DataFram
 
 
 def by_dimension(grouped: DataFrame, by: Sequence[str]) -> DataFrame:
-    return grouped.select(*by, "n", F.posexplode("centroid").alias("dim", "c"))
+    """One row per group and dimension: `vectors` in the group, `dim`, mean `c`."""
+    return grouped.select(*by, F.col("n").alias("vectors"), F.posexplode("centroid").alias("dim", "c"))
 
 
 def drift_columns(centroid: Column, baseline: Column) -> tuple[Column, Column]:
@@ -60,7 +61,7 @@ def drift_columns(centroid: Column, baseline: Column) -> tuple[Column, Column]:
 def _drift_from_sums(grouped: DataFrame, by: Sequence[str]) -> DataFrame:
     """Drift per group from per-dimension pairs (c, b); null where there is no baseline."""
     summed = grouped.groupBy(*by).agg(
-        F.max("n").alias("n"),
+        F.max("vectors").alias("n"),
         F.sum(F.col("c") * F.col("b")).alias("_cb"),
         F.sum(F.when(F.col("b").isNotNull(), F.col("c") * F.col("c"))).alias("_cc"),
         F.sum(F.col("b") * F.col("b")).alias("_bb"),
@@ -101,7 +102,7 @@ def drift_over_batches(
     learned = learn_baseline(
         dims, "c", keys=["dim"], order=[batch], min_samples=1, alpha=share
     ).withColumnRenamed("mean_before", "b")
-    return _judged(_drift_from_sums(learned.select(batch, "n", "c", "b"), [batch]), threshold, measure)
+    return _judged(_drift_from_sums(learned.select(batch, "vectors", "c", "b"), [batch]), threshold, measure)
 
 
 def baseline_after_batches(
@@ -129,8 +130,8 @@ def drift_against_lookback(
     """
     dims = by_dimension(centroids(df, embedding, [day]), [day])
     past = Window.partitionBy("dim").orderBy(day).rangeBetween(-lookback_days, -1)
-    based = dims.withColumn("b", F.sum(F.col("c") * F.col("n")).over(past) / F.sum("n").over(past))
-    return _judged(_drift_from_sums(based.select(day, "n", "c", "b"), [day]), threshold, measure)
+    based = dims.withColumn("b", F.sum(F.col("c") * F.col("vectors")).over(past) / F.sum("vectors").over(past))
+    return _judged(_drift_from_sums(based.select(day, "vectors", "c", "b"), [day]), threshold, measure)
 
 
 def nearest_label(df: DataFrame, embedding: str, centres: DataFrame, label: str) -> DataFrame:
@@ -138,9 +139,7 @@ def nearest_label(df: DataFrame, embedding: str, centres: DataFrame, label: str)
 
     `centres` has one row per class, so it travels as one scalar value.
     """
-    listed = centres.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid")))).alias("c")
-    ).select("c")
+    listed = centres.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid"))))
     vector = F.col(embedding)
 
     def closeness(centre: Column) -> Column:
@@ -150,7 +149,9 @@ def nearest_label(df: DataFrame, embedding: str, centres: DataFrame, label: str)
             centre["label"].alias("label"),
         )
 
-    best = F.array_max(F.transform(listed.scalar(), closeness))
-    return df.withColumn("_best", best).select(
+    scored = df.withColumn("_centres", listed.scalar()).withColumn(
+        "_best", F.array_max(F.transform("_centres", closeness))
+    )
+    return scored.select(
         *df.columns, F.col("_best.label").alias("predicted"), F.col("_best.closeness").alias("closeness")
     )

@@ -15,6 +15,9 @@ from plumbline.session import stable
 DEPTH = 3
 SUSPECT_NULL_RATE = 0.05
 
+# Hops after which a closure without end is first looked for.
+CYCLE_CHECK = 16
+
 
 def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = DEPTH) -> DataFrame:
     """(root, table, depth) of everything upstream of each root, the root itself left out.
@@ -26,27 +29,40 @@ def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = DEPT
     """
     pairs = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
     level = roots.select("root", F.col("root").alias("table")).distinct()
-    found, depth = [], 0
-    seen = None
-    while max_depth is None or depth < max_depth:
+    nothing = level.withColumn("depth", F.lit(0)).limit(0)
+    if max_depth is not None:
+        found = [nothing]
+        for depth in range(1, max_depth + 1):
+            level = _one_hop(level, pairs)
+            found.append(level.withColumn("depth", F.lit(depth)))
+        return _deepest(found)
+
+    pairs, found, depth = stable(pairs), [nothing], 0
+    while True:
         depth += 1
-        level = (
-            level.join(pairs, level["table"] == pairs["_dst"])
-            .select("root", F.col("_src").alias("table"))
-            .where(F.col("root") != F.col("table"))
-            .distinct()
-        )
-        if max_depth is None:
-            level = stable(level)
-            # A cycle keeps bringing the same rows; a table cannot lie deeper than there are tables.
-            if level.isEmpty() or (seen is not None and depth > seen.count()):
-                break
-            reached = level if seen is None else seen.unionByName(level).distinct()
-            seen = stable(reached)
+        level = stable(_one_hop(level, pairs))
+        if level.isEmpty():
+            return _deepest(found)
         found.append(level.withColumn("depth", F.lit(depth)))
-    if not found:
-        return roots.select("root", F.col("root").alias("table"), F.lit(0).alias("depth")).limit(0)
-    return reduce(DataFrame.unionByName, found).groupBy("root", "table").agg(F.max("depth").alias("depth"))
+        # No path without a repeat is longer than a root has ancestors: past that, it is a cycle.
+        if depth >= CYCLE_CHECK and depth.bit_count() == 1:
+            ancestors = _deepest(found).groupBy("root").count().agg(F.max("count")).first()[0]
+            if depth > ancestors:
+                return _deepest(found)
+
+
+def _one_hop(level: DataFrame, pairs: DataFrame) -> DataFrame:
+    return (
+        level.join(pairs, level["table"] == pairs["_dst"])
+        .select("root", F.col("_src").alias("table"))
+        .where(F.col("root") != F.col("table"))
+        .distinct()
+    )
+
+
+def _deepest(levels: list[DataFrame]) -> DataFrame:
+    whole = reduce(DataFrame.unionByName, levels)
+    return whole.groupBy("root", "table").agg(F.max("depth").alias("depth"))
 
 
 def walk_order(depth: Column, table: Column) -> Column:
@@ -54,12 +70,11 @@ def walk_order(depth: Column, table: Column) -> Column:
     return F.struct((-depth).alias("nearness"), table.alias("table"))
 
 
-def first_failing_column(tests: DataFrame, position: str) -> DataFrame:
-    """One row: `column_name` of the first test that names a column, else empty."""
-    named = tests.where(F.col("column_name") != "")
-    return named.agg(
-        F.coalesce(F.min_by("column_name", position), F.lit("")).alias("column_name")
-    )
+def first_failing_column(tests: DataFrame, position: str, by: Sequence[str] = ()) -> DataFrame:
+    """`column_name` of the first test that names a column, else empty; one row, or one per group."""
+    named = F.col("column_name") != ""
+    first = F.min_by(F.when(named, F.col("column_name")), F.when(named, F.col(position)))
+    return tests.groupBy(*by).agg(F.coalesce(first, F.lit("")).alias("column_name"))
 
 
 def null_rates(

@@ -109,7 +109,8 @@ def stability_index(before: DataFrame, after: DataFrame, bin_of: Column) -> Data
 def equal_width_bin(value: Column, low: float, high: float, bins: int) -> Column:
     """Bin number from 0; values outside [low, high) fall into the outermost bins."""
     step = (high - low) / bins
-    return F.least(F.greatest(F.floor((value - low) / step), F.lit(0)), F.lit(bins - 1))
+    inside = F.least(F.greatest(F.floor((value - low) / step), F.lit(0)), F.lit(bins - 1))
+    return F.when(value.isNotNull(), inside)
 
 
 def classify_anomaly(

@@ -114,11 +114,12 @@ def score_entities(text: Column, sources: Mapping[str, Column], kinds: Sequence[
 def votes(content: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """Array of (hits, label): words of the content found in each label's lexicon."""
     words = F.split(F.lower(content), r"[^\p{L}\p{N}]+")
+
+    def hits(known: Sequence[str]) -> Column:
+        return F.size(F.filter(words, lambda word: word.isin(list(known)))) if known else F.lit(0)
+
     return F.array(*[
-        F.struct(
-            F.size(F.filter(words, lambda w, known=list(known): w.isin(known))).alias("hits"),
-            F.lit(label).alias("label"),
-        )
+        F.struct(hits(known).alias("hits"), F.lit(label).alias("label"))
         for label, known in sorted(lexicon.items(), reverse=True)
     ])
 

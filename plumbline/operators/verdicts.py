@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.values import ellipsize
 
@@ -41,7 +42,7 @@ def apply_scorer(payloads: DataFrame, scorer: Callable[[pd.Series], pd.Series])
         for batch in batches:
             yield batch.assign(response=scorer(batch["payload"]))
 
-    schema = payloads.schema.add("response", "string")
+    schema = T.StructType([*payloads.schema, T.StructField("response", T.StringType())])
     return payloads.mapInPandas(run, schema)
 
 

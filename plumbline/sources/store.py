@@ -19,14 +19,15 @@ from plumbline.schemas import BASELINE, INCIDENT, INCIDENT_EVENT, RESULT, VERDIC
 # Fixed value: severity of a violation that carries none.
 DEFAULT_SEVERITY = "warning"
 
-# Table, schema, and the time its date partition is taken from.
-TABLES: dict[str, tuple[T.StructType, str]] = {
-    "violations": (VIOLATION, "timestamp"),
-    "results": (RESULT, "run_at"),
-    "verdicts": (VERDICT, "created_at"),
-    "baselines": (BASELINE, "snapshot_at"),
-    "incident_events": (INCIDENT_EVENT, "created_at"),
-    "incidents": (INCIDENT, "first_seen"),
+# Schema of each table, the time its partitions are taken from, and how wide they are.
+# Violations come in volume; of the others a month makes a folder worth having.
+TABLES: dict[str, tuple[T.StructType, str, str]] = {
+    "violations": (VIOLATION, "timestamp", "day"),
+    "results": (RESULT, "run_at", "month"),
+    "verdicts": (VERDICT, "created_at", "day"),
+    "baselines": (BASELINE, "snapshot_at", "month"),
+    "incident_events": (INCIDENT_EVENT, "created_at", "month"),
+    "incidents": (INCIDENT, "first_seen", "month"),
 }
 DATE = "date"
 BATCH = "batch_id"
@@ -53,11 +54,14 @@ class Store:
     def append(self, table: str, df: DataFrame, *, batch_id: int | None = None) -> None:
         """Add rows, partitioned by date.
 
+        Rows are brought together by date first, or every task would write a file
+        per date; `rebalance` lets Spark split dates that hold too much for one task.
         With a batch id the rows replace what an earlier try of that batch
         wrote, so a micro-batch that runs twice is stored once.
         """
-        schema, time = TABLES[table]
-        rows = _shaped(df, schema).withColumn(DATE, F.to_date(f"`{time}`"))
+        schema, time, width = TABLES[table]
+        dated = _shaped(df, schema).withColumn(DATE, F.to_date(F.date_trunc(width, f"`{time}`")))
+        rows = dated.hint("rebalance", DATE)
         if batch_id is None:
             rows.withColumn(BATCH, F.lit(-1).cast("long")).write.mode("append").partitionBy(
                 BATCH, DATE
@@ -87,7 +91,7 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         """The table; empty where nothing was saved yet. Filters on `date` prune folders."""
-        schema, _ = TABLES[table]
+        schema, _, _ = TABLES[table]
         partitions = T.StructType([T.StructField(BATCH, T.LongType()), T.StructField(DATE, T.DateType())])
         try:
             return self.spark.read.schema(T.StructType([*schema, *partitions])).parquet(self.path(table))

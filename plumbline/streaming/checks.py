@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.functions.values import column_or_null
 from plumbline.operators import baseline, ordered, rowchecks
 from plumbline.rules import NullRateRule, RuleSet, StatisticalRule
+from plumbline.schemas import VIOLATION
 from plumbline.sources.store import Store
 
 IS_CARRIED = "_is_carried"
@@ -43,13 +43,13 @@ class StateTable:
         return f"{self.folder.rstrip('/')}/batch_id={int(batch_id)}"
 
     def before(self, batch_id: int) -> DataFrame:
-        """What the batch before this one left; empty at the start."""
-        if batch_id > 0:
-            try:
-                return self.spark.read.schema(self.schema).parquet(self._path(batch_id - 1))
-            except AnalysisException:
-                pass
-        return self.spark.createDataFrame([], self.schema)
+        """What the batch before this one left; empty at the start.
+
+        A missing folder is an error: going on without state would be wrong silently.
+        """
+        if batch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._path(batch_id - 1))
 
     def after(self, batch_id: int, state: DataFrame) -> DataFrame:
         columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]
@@ -75,6 +75,7 @@ class LookBack:
     id_columns: Sequence[str] = rowchecks.ID_COLUMNS
     rows_per_task: int = ordered.ROWS_PER_TASK
     tables: dict[str, StateTable] = field(init=False)
+    _held: list[DataFrame] = field(init=False, default_factory=list)
 
     def __post_init__(self) -> None:
         key_fields = [self.input_schema[k] for k in self.keys]
@@ -90,6 +91,15 @@ class LookBack:
             for i, rule in enumerate(self.rules.of("null_rate", "statistical"))
         }
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Drop what the last batch kept, once its violations are written."""
+        while self._held:
+            self._held.pop().unpersist()
+
     def check(self, batch: DataFrame, batch_id: int) -> list[DataFrame]:
         """Violations of one micro-batch; saves the state the next one starts from."""
         found = [self._null_rate(batch, batch_id, rule) for rule in self.rules.of("null_rate")]
@@ -135,6 +145,8 @@ class LookBack:
             rows, baseline.VALUE_COLUMN, order=self.order, keys=self.keys,
             min_samples=rule.min_samples, carry=before, rows_per_task=self.rows_per_task,
         )
+        # Read twice, for the state and for the violations.
+        scored = self._hold(scored)
         moved = baseline.carry_over(scored, order=self.order, keys=self.keys)
         if self.keys:
             # Null-safe on purpose: a null key is a series of its own.
@@ -206,6 +218,7 @@ def run_checks(
             if messages is not None:
                 messages(as_messages(store.read("violations").where(F.col("batch_id") == batch_id)), batch_id)
         finally:
+            look_back.release()
             batch.unpersist()
 
     return (
@@ -217,10 +230,15 @@ def run_checks(
 
 
 def as_messages(found: DataFrame) -> DataFrame:
-    """One JSON array of violations per record; a record breaks each rule at most once."""
-    listed = F.array_sort(F.collect_list(F.struct("rule_name", F.struct(
-        *[F.col(f"`{f.name}`") for f in rowchecks.VIOLATION]
-    ).alias("v"))))
-    return found.groupBy("topic", "record_id", "timestamp").agg(
-        F.to_json(F.transform(listed, lambda s: s["v"])).alias("value")
-    ).select(F.col("record_id").alias("key"), "value")
+    """One JSON array of violations per record; a record breaks each rule at most once.
+
+    Violations of records without an id cannot be told apart by record and go
+    out one by one, so no group outgrows the rule set.
+    """
+    fields = F.struct(*[F.col(f"`{f.name}`") for f in VIOLATION])
+    nameless = F.when(F.col("record_id") == "", F.monotonically_increasing_id())
+    listed = F.array_sort(F.collect_list(F.struct("rule_name", fields.alias("v"))))
+    grouped = found.withColumn("_nameless", nameless).groupBy("topic", "record_id", "timestamp", "_nameless")
+    return grouped.agg(F.to_json(F.transform(listed, lambda s: s["v"])).alias("value")).select(
+        F.col("record_id").alias("key"), "value"
+    )

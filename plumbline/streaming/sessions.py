@@ -54,7 +54,7 @@ def stream_incidents(
         *first_seen,
     )
     seen = F.array(*[
-        F.when(F.col(f"_r{i}").isNotNull(), F.struct(F.col(f"_r{i}"), F.lit(name).alias("rule_name")))
+        F.when(F.col(f"_r{i}").isNotNull(), F.struct(F.col(f"_r{i}").alias("seen"), F.lit(name).alias("rule_name")))
         for i, name in enumerate(rule_names)
     ])
     in_order = F.transform(F.array_sort(F.array_compact(seen)), lambda s: s["rule_name"])
