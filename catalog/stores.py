@@ -126,7 +126,7 @@ def _artifacts(spark, folder):
         F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.col("c_mktsegment")).alias("compiled_code"),
         F.lit("select 1").alias("compiled_sql"),
     )
-    known = c.where(F.col("c_custkey") % 10 != 9)
+    known = c.where(F.col("c_mktsegment") != "BUILDING")
     manifests = known.groupBy(F.floor(F.col("c_custkey") / 32).alias("g")).agg(F.map_from_entries(F.collect_list(
         F.struct(F.concat(F.lit("test."), F.col("c_custkey").cast("string")), node)
     )).alias("nodes"))
@@ -143,7 +143,7 @@ FAILING = """failing AS (SELECT 'test.' || o_custkey AS unique_id, CASE o_orders
     CASE WHEN c_custkey % 2 = 0 THEN 'c_name' ELSE '' END AS column_name,
     CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 ELSE 0 END AS failures, o_orderpriority AS message,
     CASE WHEN c_custkey IS NULL THEN '' WHEN c_custkey % 3 = 0 THEN 'select 1' ELSE c_mktsegment END AS compiled_code
-  FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 9) ON c_custkey = o_custkey
+  FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON c_custkey = o_custkey
   WHERE o_orderstatus IN ('F', 'P'))"""
 
 
@@ -169,7 +169,7 @@ def j1(spark, folder):
 
 
 @CATALOG.add("s6_scan_dbt_model", """SELECT c_name AS model, CASE WHEN c_custkey % 3 = 0 THEN 'select 1'
-  ELSE c_mktsegment END AS sql FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 10 <> 9""")
+  ELSE c_mktsegment END AS sql FROM customer WHERE c_custkey % 4 = 0 AND c_mktsegment <> 'BUILDING'""")
 def s6(spark, folder):
     _, manifest = _artifacts(spark, folder)
     return dbt.models(dbt.scan_manifest(spark, manifest, multiline=False)).select("model", "sql")
@@ -286,10 +286,10 @@ def n14(spark, folder):
                          F.coalesce("p.deep.name", F.lit("none")).alias("missing"))
 
 
-@CATALOG.add("n15_map_text", """SELECT n_nationkey, 'name=' || n_name || '; region=' || n_regionkey AS described FROM nation""")
+@CATALOG.add("n15_map_text", """SELECT c_custkey, 'name=' || c_name || '; nation=' || c_nationkey AS described FROM customer""")
 def n15_map(spark, folder):
-    pairs = F.create_map(F.lit("name"), "n_name", F.lit("region"), F.col("n_regionkey").cast("string"))
-    return table(spark, folder, "nation").select("n_nationkey", values.map_as_text(pairs).alias("described"))
+    pairs = F.create_map(F.lit("name"), "c_name", F.lit("nation"), F.col("c_nationkey").cast("string"))
+    return table(spark, folder, "customer").select("c_custkey", values.map_as_text(pairs).alias("described"))
 
 
 @CATALOG.add("n16_uuid", "SELECT COUNT(*) AS ids, COUNT(*) AS distinct_ids FROM orders")

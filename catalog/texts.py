@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from datetime import datetime, timezone
 
@@ -440,23 +441,17 @@ def v5(spark, folder):
 
 
 def _judge(payloads: pd.Series) -> pd.Series:
-    """A stand-in for an outside judge: passes short payloads."""
-    passed = payloads.str.len() < 500
-    return passed.map(lambda p: '{"passed": %s, "confidence": 0.8, "reason": "length"}' % str(p).lower())
+    """A stand-in for an outside judge: passes records with a short text."""
+    short = payloads.map(lambda p: len(json.loads(p)["record"]["text"]) <= 250)
+    return short.map({True: '{"passed": true, "confidence": 0.8}', False: '{"passed": false, "reason": "long"}'})
 
 
-@CATALOG.add("v7_apply_scorer", """SELECT doc_id AS record_index, LENGTH(text) <= 250 AS short, TRUE AS agrees
-  FROM documents WHERE LENGTH(text) <= 250 OR LENGTH(text) > 500""")
+@CATALOG.add("v7_apply_scorer", """SELECT doc_id AS record_index, LENGTH(text) <= 250 AS passed,
+  CASE WHEN LENGTH(text) <= 250 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM documents""")
 def v7(spark, folder):
-    """Texts well below or above the judge's limit must be judged alike."""
-    docs = table(spark, folder, "documents").select("doc_id", F.length("text").alias("_n"))
     judged = verdicts.apply_scorer(_payloads(spark, folder), _judge)
     read = judged.select("record_index", verdicts.parse_verdict(F.col("response")).alias("v"))
-    both = read.join(docs, F.col("record_index") == F.col("doc_id"))
-    short = F.col("_n") <= 250
-    return both.where(short | (F.col("_n") > 500)).select(
-        "record_index", short.alias("short"), (F.col("v.passed") == short).alias("agrees")
-    )
+    return read.select("record_index", "v.passed", "v.confidence")
 
 
 RESPONSES = """responses AS (SELECT event_id, CASE event_id % 8

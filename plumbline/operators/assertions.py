@@ -12,9 +12,11 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.firsts import first_rows
+
 # Rows shown per broken assertion, failures of one that could not run.
 SAMPLES = 3
 COULD_NOT_RUN = -1
@@ -113,15 +115,14 @@ def _row_counts(df: DataFrame, rows: Sequence[RowAssertion]) -> DataFrame:
 def _row_samples(df: DataFrame, rows: Sequence[RowAssertion], order: Sequence[str]) -> DataFrame:
     names = F.array_compact(F.array(*[F.when(a.broken, F.lit(a.name)) for a in rows]))
     any_broken = reduce(lambda x, y: x | y, [a.broken for a in rows])
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(*order))
-    hit = (
-        df.where(any_broken)
-        .withColumn("_row", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-        .withColumn("name", F.explode(names))
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= SAMPLES)
+    whole_row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    hit = df.where(any_broken).select(
+        F.explode(names).alias("_assertion"), whole_row.alias("_row"),
+        *[F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(order)],
     )
-    return _listed(hit.select("name", "_rank", "_row"))
+    by = [f"_by{i}" for i in range(len(order))]
+    firsts = first_rows(hit, ["_assertion"], [*by, "_row"], SAMPLES, rank="_rank")
+    return _listed(firsts.select(F.col("_assertion").alias("name"), "_rank", "_row"))
 
 
 def _listed(ranked: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import previous_value
+
 # Statuses an incident can move between.
 TRANSITIONS: Mapping[str, tuple[str, ...]] = {
     "observing": ("tracing",),
@@ -58,12 +60,11 @@ def is_legal(before: Column, after: Column) -> Column:
 
 def illegal_transitions(events: DataFrame) -> DataFrame:
     """Events whose status may not follow the one before."""
-    in_order = Window.partitionBy("incident_id").orderBy("seq")
-    return (
-        events.select("incident_id", "seq", "status")
-        .withColumn("previous_status", F.lag("status").over(in_order))
-        .where(~is_legal(F.col("previous_status"), F.col("status")))
+    steps = previous_value(
+        events.select("incident_id", "seq", "status"), "status", "previous_status",
+        keys=["incident_id"], order=["seq"],
     )
+    return steps.where(~is_legal(F.col("previous_status"), F.col("status")))
 
 
 def with_status(state: DataFrame, status: str | None = None, incident_id: str | None = None) -> DataFrame:

@@ -65,6 +65,34 @@ def number_rows(blocked: DataFrame, into: str) -> DataFrame:
     ).drop("_offset", BLOCK, POSITION)
 
 
+def previous_value(
+    df: DataFrame,
+    value: str,
+    into: str,
+    *,
+    order: Sequence[str],
+    keys: Sequence[str] = (),
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """The value of the row before, null for the first of a series.
+
+    Series too long for one task are numbered across blocks, and each row is
+    joined with the number before its own, which no key can skew.
+    """
+    if longest_series(df.select(*keys), keys) <= rows_per_task:
+        return df.withColumn(into, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    numbered = number_rows(order_blocks(df, keys, order, block_count(df, rows_per_task)), "_row")
+    before = numbered.select(
+        (F.col("_row") + 1).alias("_row"), F.col(value).alias(into),
+        *[F.col(k).alias(f"_before_{k}") for k in keys],
+    )
+    joined = numbered.join(before, "_row", "left")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_before_{k}"))
+    return joined.withColumn(into, F.when(same, F.col(into))).select(*df.columns, into)
+
+
 def rolling_rate(
     df: DataFrame,
     flag: Column,

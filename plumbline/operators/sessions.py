@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import rank_of_severity, severity_of_rank
+from plumbline.operators.firsts import first_rows
 from plumbline.operators.ordered import (
     BLOCK,
     ROWS_PER_TASK,
@@ -155,11 +156,7 @@ def incident_key(topic: Column, column: Column, start_us: Column) -> Column:
 
 
 def _first_violations(found: DataFrame, sessions: DataFrame, gap_us: int, samples: int) -> DataFrame:
-    """The first `samples` violations of each session: first per bucket, then per session.
-
-    Spark turns `row_number() <= n` into a group limit ahead of the shuffle, so
-    a hot bucket sends at most `samples` rows per task.
-    """
+    """The first `samples` violations of each session: first per bucket, then per session."""
     bucket = [*KEY, "_bucket"]
     by = ["timestamp", "_id", "_rule"]
     keyed = found.select(
@@ -170,12 +167,9 @@ def _first_violations(found: DataFrame, sessions: DataFrame, gap_us: int, sample
         F.floor(F.unix_micros("timestamp") / gap_us).alias("_bucket"),
         F.struct(*[F.col(f"`{f.name}`") for f in VIOLATION]).alias("_violation"),
     )
-    rank = F.row_number().over(Window.partitionBy(*bucket).orderBy(*by))
-    per_bucket = keyed.withColumn("_rank", rank).where(F.col("_rank") <= samples)
-    where = sessions.select(*bucket, "_start").distinct()
-    placed = per_bucket.drop("_rank").join(where, bucket)
-    rank = F.row_number().over(Window.partitionBy(*KEY, "_start").orderBy(*by))
-    top = placed.withColumn("_rank", rank).where(F.col("_rank") <= samples)
+    per_bucket = first_rows(keyed, bucket, by, samples)
+    placed = per_bucket.join(sessions.select(*bucket, "_start").distinct(), bucket)
+    top = first_rows(placed, [*KEY, "_start"], by, samples, rank="_rank")
     listed = F.array_sort(F.collect_list(F.struct("_rank", "_violation")))
     return top.groupBy(*KEY, "_start").agg(
         F.transform(listed, lambda s: s["_violation"]).alias("sample_violations")

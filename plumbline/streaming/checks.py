@@ -31,30 +31,67 @@ def stream_violations(stream: DataFrame, rules: RuleSet, **options) -> DataFrame
     return rowchecks.violations(stream, rules, **options)
 
 
+# Every this many batches the state of all keys is written, in between that of moved keys.
+FULL_STATE_EVERY = 32
+
+
 @dataclass
 class StateTable:
-    """State after each micro-batch, one folder per batch id."""
+    """State per key as a log: one folder per batch id, holding the keys that batch moved.
+
+    Every `FULL_STATE_EVERY` batches a folder holds all keys, so reading goes
+    back no further than that. A batch that runs again reads what it read
+    before and overwrites its own folder only.
+    """
 
     spark: SparkSession
     folder: str
     schema: T.StructType
+    keys: Sequence[str] = ()
 
     def _path(self, batch_id: int) -> str:
         return f"{self.folder.rstrip('/')}/batch_id={int(batch_id)}"
 
     def before(self, batch_id: int) -> DataFrame:
-        """What the batch before this one left; empty at the start.
+        """What the batches before this one left; empty at the start.
 
         A missing folder is an error: going on without state would be wrong silently.
         """
-        if batch_id == 0:
+        last = batch_id - 1
+        if last < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(batch_id - 1))
-
-    def after(self, batch_id: int, state: DataFrame) -> DataFrame:
-        columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]
-        state.select(*columns).write.mode("overwrite").parquet(self._path(batch_id))
-        return self.spark.read.schema(self.schema).parquet(self._path(batch_id))
+        if not self.keys:
+            return self.spark.read.schema(self.schema).parquet(self._path(last))
+        full = last - last % FULL_STATE_EVERY
+        logged = reduce(DataFrame.unionByName, [
+            self.spark.read.schema(self.schema).parquet(self._path(b)).withColumn("_batch", F.lit(b))
+            for b in range(full, last + 1)
+        ])
+        if full == last:
+            return logged.drop("_batch")
+        newest = logged.groupBy(*self.keys).agg(F.max("_batch").alias("_batch"))
+        return _matching(logged, newest, [*self.keys, "_batch"], "left_semi").drop("_batch")
+
+    def after(self, batch_id: int, before: DataFrame, moved: DataFrame) -> None:
+        """Save the state of the keys this batch moved; of the idle ones too when it is time."""
+        state = moved.select(*self._columns())
+        if self.keys and batch_id % FULL_STATE_EVERY == 0:
+            idle = _matching(before, moved.select(*self.keys).distinct(), self.keys, "left_anti")
+            state = state.unionByName(idle.select(*self._columns()))
+        elif not self.keys:
+            untouched = state.agg(F.count(F.lit(1))).scalar() == 0
+            state = state.unionByName(before.select(*self._columns()).where(untouched))
+        state.write.mode("overwrite").parquet(self._path(batch_id))
+
+    def _columns(self):
+        return [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]
+
+
+def _matching(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join in which null keys match each other."""
+    other = right.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return left.join(other, same, how)
 
 
 @dataclass
@@ -87,6 +124,7 @@ class LookBack:
                 self.spark,
                 f"{self.state_folder.rstrip('/')}/{rule.kind}-{i}",
                 tail if rule.kind == "null_rate" else learned,
+                self.keys,
             )
             for i, rule in enumerate(self.rules.of("null_rate", "statistical"))
         }
@@ -116,7 +154,8 @@ class LookBack:
             rowchecks.time_or_now(schema, self.time_column).alias("_at"),
             F.lit(False).alias(IS_CARRIED),
         )
-        carried = table.before(batch_id).withColumn(IS_CARRIED, F.lit(True))
+        before = table.before(batch_id)
+        carried = self._of_batch(before, batch).withColumn(IS_CARRIED, F.lit(True))
         whole = carried.unionByName(rows, allowMissingColumns=True).withColumn(
             "_new", (~F.col(IS_CARRIED)).cast("int")
         )
@@ -125,11 +164,12 @@ class LookBack:
             whole, F.col("_null"), rule.window_size, order=by, keys=self.keys,
             rows_per_task=self.rows_per_task,
         )
-        latest_first = Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc() for c in by])
-        tail = whole.withColumn("_rank", F.row_number().over(latest_first)).where(
+        backwards = whole.withColumn("_back", F.struct(*by))
+        latest_first = Window.partitionBy(*self.keys).orderBy(F.col("_back").desc())
+        tail = backwards.withColumn("_rank", F.row_number().over(latest_first)).where(
             F.col("_rank") < rule.window_size
         )
-        table.after(batch_id, tail)
+        table.after(batch_id, before, tail)
         return ordered.rate_violations(
             rated.where(~F.col(IS_CARRIED)), self.rules.topic, rule
         )
@@ -143,24 +183,21 @@ class LookBack:
         )
         scored = baseline.z_scores(
             rows, baseline.VALUE_COLUMN, order=self.order, keys=self.keys,
-            min_samples=rule.min_samples, carry=before, rows_per_task=self.rows_per_task,
+            min_samples=rule.min_samples, carry=self._of_batch(before, batch),
+            rows_per_task=self.rows_per_task,
         )
         # Read twice, for the state and for the violations.
         scored = self._hold(scored)
         moved = baseline.carry_over(scored, order=self.order, keys=self.keys)
-        if self.keys:
-            # Null-safe on purpose: a null key is a series of its own.
-            same = reduce(
-                lambda a, b: a & b, [before[k].eqNullSafe(moved[k]) for k in self.keys]
-            )
-            idle = before.join(moved, same, "left_anti")
-            state = moved.unionByName(idle)
-        else:
-            idle = before.where(moved.agg(F.count(F.lit(1))).scalar() == 0)
-            state = moved.unionByName(idle)
-        table.after(batch_id, state)
+        table.after(batch_id, before, moved)
         return baseline.violations_of_scores(scored, self.rules.topic, rule)
 
+    def _of_batch(self, state: DataFrame, batch: DataFrame) -> DataFrame:
+        """The state of the keys a batch has."""
+        if not self.keys:
+            return state
+        return _matching(state, batch.select(*self.keys).distinct(), self.keys, "left_semi")
+
     def snapshot(self, batch_id: int, rule: StatisticalRule) -> DataFrame:
         """The baseline of a rule after a batch."""
         state = self.tables[rule.name].before(batch_id + 1)
