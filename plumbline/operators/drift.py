@@ -40,10 +40,12 @@ def centroids(df: DataFrame, embedding: str, by: Sequence[str] = ()) -> DataFram
         *by, array_to_vector(F.col(embedding).cast("array<double>")).alias("_raw")
     )
     unit = Normalizer(p=2.0, inputCol="_raw", outputCol="_unit").transform(vectors)
-    return unit.groupBy(*by).agg(
+    # A constant key where there is none: no input then means no row, not a failing mean.
+    grouped = unit.groupBy(*by) if by else unit.groupBy(F.lit(0).alias("_all"))
+    return grouped.agg(
         F.count(F.lit(1)).alias("n"),
         vector_to_array(Summarizer.mean(F.col("_unit"))).alias("centroid"),
-    )
+    ).select(*by, "n", "centroid")
 
 
 def by_dimension(grouped: DataFrame, by: Sequence[str]) -> DataFrame:

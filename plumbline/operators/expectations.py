@@ -224,7 +224,10 @@ class SemanticDrift(BatchExpectation):
 
     def _compared(self, df: DataFrame) -> DataFrame:
         require_column(df, self.column)
-        centre = centroids(df, self.column)
+        only = centroids(df, self.column).agg(F.first(F.struct("n", "centroid")).alias("_c"))
+        centre = only.select(
+            F.coalesce("_c.n", F.lit(0)).alias("n"), F.col("_c.centroid").alias("centroid")
+        )
         before = F.lit(None).cast("array<double>")
         if self.baseline is not None:
             before = self.baseline.select("centroid").scalar()
@@ -260,7 +263,7 @@ class SemanticDrift(BatchExpectation):
         moved = blend(F.col("_before"), F.col("centroid"), BASELINE_SHARE)
         return self._compared(df).select(
             F.when(F.col("_before").isNull(), F.col("centroid"))
-            .when(F.size("centroid") == 0, F.col("_before"))
+            .when(F.col("centroid").isNull(), F.col("_before"))
             .otherwise(moved).alias("centroid")
         )
 

@@ -98,8 +98,8 @@ def model_sql(spark: SparkSession, project: str, model: str) -> DataFrame:
     known = models(_manifest_or_none(spark, folder)).where(F.col("model") == model).select("sql").limit(1)
     try:
         files = (
-            spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", f"{model}.sql").text(f"{folder}/target")
+            spark.read.option("pathGlobFilter", f"{model}.sql")
+            .text(f"{folder}/target", wholetext=True, recursiveFileLookup=True)
             .select(F.col("value").alias("sql")).limit(1)
         )
     except AnalysisException:
