@@ -8,7 +8,7 @@ from catalog import CATALOG
 from catalog.frames import COLUMNS, FEED, FOUND, TOPIC, feed, flat, found, rule_set, settled
 from plumbline.operators import reports, rowchecks, sessions, volume
 
-GAP = 1800
+GAP = 300
 
 # The session of every violation: a new one starts after a pause of the gap or more.
 SESSIONS = f"""{FOUND}, paused AS (

@@ -231,7 +231,7 @@ def n5(spark, folder):
 
 
 @CATALOG.add("n6_rounding_text", """SELECT l_returnflag, l_linestatus, printf('%.3f', ROUND(AVG(l_discount), 6)) AS mean,
-  printf('%.1f%%', COUNT(*) FILTER (WHERE l_tax > 0.04) / COUNT(*) * 100) AS taxed FROM lineitem GROUP BY ALL""")
+  printf('%.1f%%', ROUND(COUNT(*) FILTER (WHERE l_tax > 0.04) / COUNT(*) * 100 + 1e-9, 1)) AS taxed FROM lineitem GROUP BY ALL""")
 def n6(spark, folder):
     lines = table(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus")
     taxed = values.ratio(F.count_if(F.col("l_tax") > 0.04), F.count(F.lit(1)))

@@ -331,7 +331,7 @@ def g4(spark, folder):
 
 
 @CATALOG.add("n15_summary_text", f"""WITH {SUITE} SELECT expectation, column_name, printf('[%s] %s(%s) pass_rate=%.1f%% (%d/%d)',
-  CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END, expectation, column_name, pass_rate * 100, passed_records, total_records)
+  CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END, expectation, column_name, ROUND(pass_rate * 100 + 1e-9, 1), passed_records, total_records)
   AS summary FROM results""")
 def n15(spark, folder):
     return _run(spark, folder).summary()

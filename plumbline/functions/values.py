@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from plumbline.rules import SEVERITIES
 NUMBER_PATTERN = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), lambda bound: body(bound))[0]
+
+
 def column_or_null(schema: T.StructType, name: str) -> Column:
     """The column, or a null string where the schema has none of that name."""
     return F.col(f"`{name}`") if name in schema.names else F.lit(None).cast("string")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.values import (
+    NUMBER_PATTERN,
     column_or_null,
     first_truthy,
     java_pattern,
@@ -30,7 +31,7 @@ ID_COLUMNS = ("id", "record_id")
 
 @dataclass(frozen=True)
 class Finding:
-    """What one rule says about one record."""
+    """What one rule says about one record. A null `broken` means it is not."""
 
     broken: Column
     expected: Column
@@ -48,31 +49,39 @@ def _check_not_null(rule: NotNullRule, value: Column, data_type: T.DataType) ->
 
 
 def _check_range(rule: RangeRule, value: Column, data_type: T.DataType) -> Finding:
-    number = to_number(value, data_type)
-    outside = F.lit(False)
+    is_text = isinstance(data_type, T.StringType)
+    # In text the pattern decides once what is a number; the bounds then need the cast only.
+    number = F.trim(value).try_cast("double") if is_text else to_number(value, data_type)
+    outside = []
     if rule.min is not None:
-        outside = outside | (number < rule.min)
+        outside.append(number < rule.min)
     if rule.max is not None:
-        outside = outside | (number > rule.max)
+        outside.append(number > rule.max)
     # NaN compares false with every bound, where Spark would sort it above all.
-    outside = outside & ~F.isnan(number)
-    not_numeric = value.isNotNull() & number.isNull()
-    return Finding(
-        F.coalesce(not_numeric | outside, F.lit(False)),
-        F.when(number.isNull(), F.lit("numeric value")).otherwise(F.lit(f"[{rule.min}, {rule.max}]")),
-        value.cast("string"),
-    )
+    beyond = _any(outside) & ~F.isnan(number)
+    bounds = F.lit(f"[{rule.min}, {rule.max}]")
+    if is_text:
+        not_numeric = ~value.rlike(NUMBER_PATTERN)
+    elif isinstance(data_type, (T.NumericType, T.BooleanType)):
+        return Finding(beyond, bounds, value.cast("string"))
+    else:
+        not_numeric = F.lit(True)
+    broken = F.when(value.isNull(), False).when(not_numeric, True).otherwise(beyond)
+    expected = F.when(not_numeric, F.lit("numeric value")).otherwise(bounds)
+    return Finding(broken, expected, value.cast("string"))
 
 
 def _check_regex(rule: RegexRule, value: Column, data_type: T.DataType) -> Finding:
     text = value.cast("string")
     return Finding(
-        F.coalesce(~text.rlike(java_pattern(rule.pattern)), F.lit(False)),
-        F.lit(f"matches /{rule.pattern}/"),
-        text,
+        ~text.rlike(java_pattern(rule.pattern)), F.lit(f"matches /{rule.pattern}/"), text
     )
 
 
+def _any(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+
+
 ROW_CHECKS: dict[str, RowCheck] = {
     NotNullRule.kind: _check_not_null,
     RangeRule.kind: _check_range,
@@ -123,10 +132,6 @@ def violation(
     return F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in VIOLATION])
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def violations(
     df: DataFrame,
     rules: RuleSet,
@@ -175,7 +180,7 @@ def with_violations(
 def quarantine(df: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
     """Records that break no per-record rule, and those that break at least one."""
     flagged = _any([finding(rule, df.schema).broken for rule in rules.per_record])
-    return df.where(~flagged), df.where(flagged)
+    return df.where(~F.coalesce(flagged, F.lit(False))), df.where(flagged)
 
 
 def violation_messages(df: DataFrame, rules: RuleSet, **options) -> DataFrame:

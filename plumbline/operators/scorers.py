@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.values import clip
+from plumbline.functions.values import clip, let
 
 # How long values may be in a verdict's evidence.
 LONGEST_EVIDENCE = 300
@@ -56,21 +56,23 @@ def contradictions(claim: Column, reference: Column) -> Column:
 def score_consistency(claim: Column, reference: Column) -> Column:
     claim = F.coalesce(claim.cast("string"), F.lit(""))
     reference = F.coalesce(reference.cast("string"), F.lit(""))
-    against = contradictions(claim, reference)
-    listed = F.array_join(F.array_sort(against), ", ")
-    passed = F.size(against) == 0
-    return verdict(
-        passed,
-        F.lit(1.0),
-        F.when(passed, F.lit("no contradiction found")).otherwise(
-            F.concat(F.lit("not supported by the reference: "), listed)
-        ),
-        {
-            "ai_value": clip(claim, LONGEST_EVIDENCE),
-            "reference_value": clip(reference, LONGEST_EVIDENCE),
-            "contradictions": listed,
-        },
-    )
+
+    def judge(listed: Column) -> Column:
+        passed = listed == ""
+        return verdict(
+            passed,
+            F.lit(1.0),
+            F.when(passed, F.lit("no contradiction found")).otherwise(
+                F.concat(F.lit("not supported by the reference: "), listed)
+            ),
+            {
+                "ai_value": clip(claim, LONGEST_EVIDENCE),
+                "reference_value": clip(reference, LONGEST_EVIDENCE),
+                "contradictions": listed,
+            },
+        )
+
+    return let(F.array_join(F.array_sort(contradictions(claim, reference)), ", "), judge)
 
 
 def entities(text: Column, kinds: Sequence[str]) -> Column:
@@ -86,64 +88,73 @@ def entities(text: Column, kinds: Sequence[str]) -> Column:
 def unsupported_entities(text: Column, sources: Sequence[Column], kinds: Sequence[str]) -> Column:
     """Entities in the text that no source column holds, whole or within its text."""
     texts = [F.coalesce(s.cast("string"), F.lit("")) for s in sources]
-    known = F.array(*[F.lower(F.trim(t)) for t in texts])
-    for t in texts:
-        known = F.array_union(known, entities(t, kinds))
+    # One text to search for entities; the separator keeps sources apart.
+    together = F.concat_ws("\u001f", *texts)
+    known = F.array_union(F.array(*[F.lower(F.trim(t)) for t in texts]), entities(together, kinds))
     return F.array_sort(F.array_distinct(F.array_except(entities(text, kinds), known)))
 
 
 def score_entities(text: Column, sources: Mapping[str, Column], kinds: Sequence[str]) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
-    invented = unsupported_entities(text, list(sources.values()), kinds)
-    listed = F.array_join(invented, ", ")
-    passed = F.size(invented) == 0
     shown = {
         f"source {name}": clip(F.coalesce(v.cast("string"), F.lit("")), LONGEST_SOURCE)
         for name, v in sources.items()
     }
-    return verdict(
-        passed,
-        F.lit(1.0),
-        F.when(passed, F.lit("every entity is in the sources")).otherwise(
-            F.concat(F.lit("not in the sources: "), listed)
-        ),
-        {"ai_value": clip(text, LONGEST_EVIDENCE), **shown, "unmatched": listed},
-    )
+
+    def judge(listed: Column) -> Column:
+        passed = listed == ""
+        return verdict(
+            passed,
+            F.lit(1.0),
+            F.when(passed, F.lit("every entity is in the sources")).otherwise(
+                F.concat(F.lit("not in the sources: "), listed)
+            ),
+            {"ai_value": clip(text, LONGEST_EVIDENCE), **shown, "unmatched": listed},
+        )
+
+    return let(F.array_join(unsupported_entities(text, list(sources.values()), kinds), ", "), judge)
 
 
 def votes(content: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """Array of (hits, label): words of the content found in each label's lexicon."""
-    words = F.split(F.lower(content), r"[^\p{L}\p{N}]+")
 
-    def hits(known: Sequence[str]) -> Column:
-        return F.size(F.filter(words, lambda word: word.isin(list(known)))) if known else F.lit(0)
+    def count(words: Column) -> Column:
+        def hits(known: Sequence[str]) -> Column:
+            return F.size(F.filter(words, lambda word: word.isin(list(known)))) if known else F.lit(0)
 
-    return F.array(*[
-        F.struct(hits(known).alias("hits"), F.lit(label).alias("label"))
-        for label, known in sorted(lexicon.items(), reverse=True)
-    ])
+        return F.array(*[
+            F.struct(hits(known).alias("hits"), F.lit(label).alias("label"))
+            for label, known in sorted(lexicon.items(), reverse=True)
+        ])
+
+    return let(F.split(F.lower(content), r"[^\p{L}\p{N}]+"), count)
 
 
 def score_label_by_words(label: Column, content: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """The label with most lexicon hits must be the given one; no hits at all pass unsure."""
     label = F.coalesce(label.cast("string"), F.lit(""))
     content = F.coalesce(content.cast("string"), F.lit(""))
-    counted = votes(content, lexicon)
-    best = F.array_max(F.transform(counted, lambda v: v["hits"]))
-    total = F.aggregate(counted, F.lit(0), lambda t, v: t + v["hits"])
-    own = F.aggregate(
-        F.filter(counted, lambda v: v["label"] == label), F.lit(0), lambda t, v: t + v["hits"]
-    )
-    winner = F.array_max(F.transform(F.filter(counted, lambda v: v["hits"] == best), lambda v: v["label"]))
-    passed = (best == 0) | (own == best)
-    return verdict(
-        passed,
-        F.when(total == 0, F.lit(0.0)).otherwise(best / total),
-        F.when(best == 0, F.lit("no evidence in the content"))
-        .when(passed, F.lit("label matches the content"))
-        .otherwise(F.concat(F.lit("content reads as "), winner)),
-        {"label": label, "content_snippet": clip(content, LONGEST_SNIPPET), "predicted": winner},
-    )
+
+    def judge(counted: Column) -> Column:
+        best = F.array_max(F.transform(counted, lambda v: v["hits"]))
+        total = F.aggregate(counted, F.lit(0), lambda t, v: t + v["hits"])
+        own = F.aggregate(
+            F.filter(counted, lambda v: v["label"] == label), F.lit(0), lambda t, v: t + v["hits"]
+        )
+        winner = F.array_max(
+            F.transform(F.filter(counted, lambda v: v["hits"] == best), lambda v: v["label"])
+        )
+        passed = (best == 0) | (own == best)
+        return verdict(
+            passed,
+            F.when(total == 0, F.lit(0.0)).otherwise(best / total),
+            F.when(best == 0, F.lit("no evidence in the content"))
+            .when(passed, F.lit("label matches the content"))
+            .otherwise(F.concat(F.lit("content reads as "), winner)),
+            {"label": label, "content_snippet": clip(content, LONGEST_SNIPPET), "predicted": winner},
+        )
+
+    return let(votes(content, lexicon), judge)
 
 
 def score_label_by_prediction(label: Column, content: Column, predicted: Column, confidence: Column) -> Column:

@@ -156,9 +156,14 @@ def incident_key(topic: Column, column: Column, start_us: Column) -> Column:
 
 
 def _first_violations(found: DataFrame, sessions: DataFrame, gap_us: int, samples: int) -> DataFrame:
-    """The first `samples` violations of each session: first per bucket, then per session."""
-    bucket = [*KEY, "_bucket"]
+    """The first `samples` violations of each session.
+
+    Every bucket holds one at least, so they lie in the session's first
+    `samples` buckets; only violations of those are sorted.
+    """
+    bucket, session = [*KEY, "_bucket"], [*KEY, "_start"]
     by = ["timestamp", "_id", "_rule"]
+    leading = first_rows(sessions.select(*bucket, "_start").distinct(), session, ["_bucket"], samples)
     keyed = found.select(
         *[_text(k) for k in KEY],
         "timestamp",
@@ -167,11 +172,9 @@ def _first_violations(found: DataFrame, sessions: DataFrame, gap_us: int, sample
         F.floor(F.unix_micros("timestamp") / gap_us).alias("_bucket"),
         F.struct(*[F.col(f"`{f.name}`") for f in VIOLATION]).alias("_violation"),
     )
-    per_bucket = first_rows(keyed, bucket, by, samples)
-    placed = per_bucket.join(sessions.select(*bucket, "_start").distinct(), bucket)
-    top = first_rows(placed, [*KEY, "_start"], by, samples, rank="_rank")
+    top = first_rows(keyed.join(leading, bucket), session, by, samples, rank="_rank")
     listed = F.array_sort(F.collect_list(F.struct("_rank", "_violation")))
-    return top.groupBy(*KEY, "_start").agg(
+    return top.groupBy(*session).agg(
         F.transform(listed, lambda s: s["_violation"]).alias("sample_violations")
     )
 

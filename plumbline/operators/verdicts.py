@@ -13,16 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.values import ellipsize
+from plumbline.functions.values import ellipsize, let
 
 # Longest value in a payload, and what a response without the field means.
 LONGEST_VALUE = 500
 DEFAULT_CONFIDENCE = 0.5
 UNAVAILABLE = "Judge unavailable: "
 
-RESPONSE = "passed string, confidence string, reason string, evidence string"
-
-
 def payload(criterion: str, record: Mapping[str, Column], context: str = "") -> Column:
     """JSON with the criterion, the record (long values cut) and the context."""
     shown = F.struct(*[
@@ -60,34 +57,38 @@ def parse_verdict(response: Column) -> Column:
     has to be a JSON boolean.
     """
     body = without_fence(response)
-    parsed = F.try_parse_json(body)
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT<"), F.lit(False))
+    # Parsed once per row; text that starts with a brace can only parse to an object.
+    parsed = F.when(body.startswith("{"), F.try_parse_json(body))
+    return let(F.struct(response.alias("response"), parsed.alias("parsed")), _read_verdict)
+
+
+def _read_verdict(given: Column) -> Column:
+    parsed = given["parsed"]
 
     def part(name: str, kind: str) -> Column:
-        return F.when(is_object, F.try_variant_get(parsed, f"$.{name}", kind))
+        return F.try_variant_get(parsed, f"$.{name}", kind)
 
-    passed_type = F.when(is_object, F.schema_of_variant(F.try_variant_get(parsed, "$.passed", "variant")))
-    passed = F.when(passed_type == "BOOLEAN", part("passed", "boolean"))
-    confidence_given = F.when(is_object, F.try_variant_get(parsed, "$.confidence", "variant"))
+    passed = F.to_json(part("passed", "variant"))
     confidence = part("confidence", "double")
-    unreadable = F.when(response.isNull(), F.lit("no response"))
-    unreadable = unreadable.when(~is_object, F.lit("response is not a JSON object"))
-    unreadable = unreadable.when(passed.isNull(), F.lit("passed is not a boolean"))
-    unreadable = unreadable.when(
-        confidence_given.isNotNull() & confidence.isNull(), F.lit("confidence is not a number")
+    unreadable = (
+        F.when(given["response"].isNull(), F.lit("no response"))
+        .when(parsed.isNull(), F.lit("response is not a JSON object"))
+        .when(~F.coalesce(passed, F.lit("")).isin("true", "false"), F.lit("passed is not a boolean"))
+        .when(
+            confidence.isNull() & part("confidence", "variant").isNotNull(),
+            F.lit("confidence is not a number"),
+        )
     )
     failed = unreadable.isNotNull()
+    evidence = F.coalesce(F.to_json(part("evidence", "variant")), F.lit("{}"))
     return F.struct(
-        F.when(failed, F.lit(True)).otherwise(passed).alias("passed"),
+        (failed | (passed == "true")).alias("passed"),
         F.when(failed, F.lit(0.0))
         .otherwise(F.coalesce(confidence, F.lit(DEFAULT_CONFIDENCE)))
         .alias("confidence"),
-        F.when(failed, F.concat(F.lit(UNAVAILABLE), unreadable))
-        .otherwise(F.coalesce(part("reason", "string"), F.lit("")))
+        F.coalesce(F.concat(F.lit(UNAVAILABLE), unreadable), part("reason", "string"), F.lit(""))
         .alias("reason"),
-        F.when(failed, F.lit("{}"))
-        .otherwise(F.coalesce(F.to_json(F.try_variant_get(parsed, "$.evidence", "variant")), F.lit("{}")))
-        .alias("evidence"),
+        F.when(failed, F.lit("{}")).otherwise(evidence).alias("evidence"),
         failed.alias("judge_error"),
     )
 
