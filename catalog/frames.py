@@ -6,12 +6,14 @@ alike on both sides. Nothing is left out: every frame has all rows of its table.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.check import CheckPlan, compile_rules
 from plumbline.rules import RuleSet
-from plumbline.session import prepare
+from plumbline.session import prepare, ship_package
 from plumbline.sources.tables import scan_parquet
 
 TOPIC = "events"
@@ -37,7 +39,8 @@ def rule_set(*extra: dict) -> RuleSet:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return scan_parquet(prepare(spark), folder, name)
+    ship_package(prepare(spark), Path(__file__).resolve().parent)
+    return scan_parquet(spark, folder, name)
 
 
 def feed(spark: SparkSession, folder: str) -> DataFrame:

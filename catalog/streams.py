@@ -5,6 +5,8 @@ A streaming run must give the rows the batch query gives, so both share one SQL
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +41,25 @@ def feed_stream(spark, folder):
     return source.file_source(spark, path, schema, files_per_batch=1)
 
 
+@contextmanager
+def state_per_core(spark):
+    """State in as many parts as there are cores: each part costs a commit per micro-batch."""
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(width), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
 def to_the_end(stream, name, *, mode="append"):
     """Run a stream over everything there is into a Parquet folder; the folder's rows."""
     spark = stream.sparkSession
+    with state_per_core(spark):
+        return _run(spark, stream, name, mode)
+
+
+def _run(spark, stream, name, mode):
     out = scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode(mode)
@@ -79,11 +97,12 @@ def t1(spark, folder):
 
 def _checked(spark, folder, rules, **options):
     store = new_store(spark)
-    query = checks.run_checks(
-        feed_stream(spark, folder), rules, store, scratch_path(spark, "checks"),
-        order=["event_id"], time_column="ts", **options,
-    )
-    query.awaitTermination()
+    with state_per_core(spark):
+        query = checks.run_checks(
+            feed_stream(spark, folder), rules, store, scratch_path(spark, "checks"),
+            order=["event_id"], time_column="ts", **options,
+        )
+        query.awaitTermination()
     return store
 
 

@@ -39,7 +39,7 @@ from plumbline.operators.ordered import (
     order_blocks,
 )
 from plumbline.operators.rowchecks import ID_COLUMNS, time_or_now, violation
-from plumbline.rules import BASELINE_ALPHA, StatisticalRule
+from plumbline.rules import BASELINE_ALPHA, EXPECTED_Z_SCORE, StatisticalRule
 
 VALUE = "_x"
 # A packed baseline as text: null in all but a few rows, which Arrow moves far
@@ -373,8 +373,7 @@ def violations_of_scores(
 ) -> DataFrame:
     mean = F.col("mean" if score == "after_update" else "mean_before")
     expected = F.format_string(
-        f"within {rule.z_score_threshold} std dev of baseline (mean=%.3f, std=%.3f)",
-        mean, F.col("std"),
+        EXPECTED_Z_SCORE.format(threshold=rule.z_score_threshold), mean, F.col("std"),
     )
     return scored.where(F.col("z") > F.lit(rule.z_score_threshold)).select(
         F.inline(F.array(violation(

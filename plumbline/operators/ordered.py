@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import column_or_null, first_truthy
 from plumbline.operators.rowchecks import ID_COLUMNS, time_or_now, violation
-from plumbline.rules import SMALLEST_WINDOW, NullRateRule
+from plumbline.rules import EXPECTED_NULL_RATE, SMALLEST_WINDOW, NullRateRule
 from plumbline.session import shuffle_width, stable
 
 BLOCK = "_block"
@@ -170,7 +170,7 @@ def rate_violations(rated: DataFrame, topic: str, rule: NullRateRule) -> DataFra
             topic,
             rule,
             F.round("rate", 4).cast("string"),
-            F.lit(f"null_rate < {rule.threshold}"),
+            F.lit(EXPECTED_NULL_RATE.format(threshold=rule.threshold)),
             F.col("_id"),
             F.col("_at"),
         )))

@@ -22,7 +22,17 @@ from plumbline.functions.values import (
     to_number,
     type_or_string,
 )
-from plumbline.rules import NotNullRule, RangeRule, RegexRule, Rule, RuleSet
+from plumbline.rules import (
+    EXPECTED_NOT_NULL,
+    EXPECTED_NUMBER,
+    EXPECTED_PATTERN,
+    EXPECTED_RANGE,
+    NotNullRule,
+    RangeRule,
+    RegexRule,
+    Rule,
+    RuleSet,
+)
 from plumbline.schemas import VIOLATION
 
 # Fixed value: columns tried in turn for the id of a record.
@@ -45,7 +55,7 @@ def _check_not_null(rule: NotNullRule, value: Column, data_type: T.DataType) ->
     broken = value.isNull()
     if isinstance(data_type, T.StringType):
         broken = broken | (value == "")
-    return Finding(broken, F.lit("non-null value"), value.cast("string"))
+    return Finding(broken, F.lit(EXPECTED_NOT_NULL), value.cast("string"))
 
 
 def _check_range(rule: RangeRule, value: Column, data_type: T.DataType) -> Finding:
@@ -59,7 +69,7 @@ def _check_range(rule: RangeRule, value: Column, data_type: T.DataType) -> Findi
         outside.append(number > rule.max)
     # NaN compares false with every bound, where Spark would sort it above all.
     beyond = _any(outside) & ~F.isnan(number)
-    bounds = F.lit(f"[{rule.min}, {rule.max}]")
+    bounds = F.lit(EXPECTED_RANGE.format(min=rule.min, max=rule.max))
     if is_text:
         not_numeric = ~value.rlike(NUMBER_PATTERN)
     elif isinstance(data_type, (T.NumericType, T.BooleanType)):
@@ -67,14 +77,14 @@ def _check_range(rule: RangeRule, value: Column, data_type: T.DataType) -> Findi
     else:
         not_numeric = F.lit(True)
     broken = F.when(value.isNull(), False).when(not_numeric, True).otherwise(beyond)
-    expected = F.when(not_numeric, F.lit("numeric value")).otherwise(bounds)
+    expected = F.when(not_numeric, F.lit(EXPECTED_NUMBER)).otherwise(bounds)
     return Finding(broken, expected, value.cast("string"))
 
 
 def _check_regex(rule: RegexRule, value: Column, data_type: T.DataType) -> Finding:
     text = value.cast("string")
     return Finding(
-        ~text.rlike(java_pattern(rule.pattern)), F.lit(f"matches /{rule.pattern}/"), text
+        ~text.rlike(java_pattern(rule.pattern)), F.lit(EXPECTED_PATTERN.format(pattern=rule.pattern)), text
     )
 
 

@@ -25,6 +25,14 @@ DEFAULT_MIN_SAMPLES = 100
 SMALLEST_WINDOW = 10
 BASELINE_ALPHA = 0.05
 
+# Wording of `expected` in violations; %.3f stands for mean and deviation.
+EXPECTED_NOT_NULL = "non-null value"
+EXPECTED_NUMBER = "numeric value"
+EXPECTED_RANGE = "[{min}, {max}]"
+EXPECTED_PATTERN = "matches /{pattern}/"
+EXPECTED_NULL_RATE = "null_rate < {threshold}"
+EXPECTED_Z_SCORE = "within {threshold} std dev of baseline (mean=%.3f, std=%.3f)"
+
 
 class RuleError(ValueError):
     """A rule set that cannot be used, with the rule at fault named."""

@@ -9,26 +9,30 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+PACKAGE = Path(__file__).resolve().parent
+
+_shipped: set[tuple[str, str]] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; leave everything else to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ship_package(spark)
+    ship_package(spark, PACKAGE)
     return spark
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+def ship_package(spark: SparkSession, package: Path) -> None:
+    """Send a package to the Python workers, once per application.
+
+    The archive is made next to the driver only; Spark hands it to the executors.
+    """
     application = spark.sparkContext.applicationId
-    if application in _shipped:
+    if (application, package.name) in _shipped:
         return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="plumbline-package-")) / package.name
+    archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-package-")) / package.name
     shutil.make_archive(str(archive), "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(f"{archive}.zip")
-    _shipped.add(application)
+    _shipped.add((application, package.name))
 
 
 def shared_folder(spark: SparkSession) -> str:
