@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, curriculum, linewindows
+from plumbline.llm import anchors, bilinear, curriculum, decontaminate, linewindows, quality
 from plumbline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprints of all documents and the component each belongs to."""
     rows = anchors.near_duplicates(table(spark, folder, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, F.lit("0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_bm25_decontamination")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a test item, with the items and how far question and answer overlap."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_quality_network")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_log_bilinear")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram and log-bilinear log10 probabilities of all documents."""
+    return bilinear.scored(table(spark, folder, "documents"))
