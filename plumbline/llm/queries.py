@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, bilinear, curriculum, decontaminate, linewindows, quality
+from plumbline.llm import anchors, bilinear, curriculum, decontaminate, linewindows, personal, quality
 from plumbline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram and log-bilinear log10 probabilities of all documents."""
     return bilinear.scored(table(spark, folder, "documents"))
+
+
+@query("op2_weak_supervision_pii")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents: base counts and digest, and all spans."""
+    return personal.summarised(table(spark, folder, "documents"))
