@@ -38,17 +38,18 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
-#: Spans the base patterns miss: spelled-out mail addresses, numbers grouped like phone or card numbers, secrets.
+#: Wider than the base: spelled-out mail addresses, named secrets, numbers of any grouping, dates and versions included.
 _AT, _DOT = r"(?:\x20?(?:\(at\)|\[at\])\x20?|@)", r"(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)"
+_SECRET = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?"
 CANDIDATE = "|".join((
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++{_DOT}[A-Za-z]{{2,12}}",
-    r"(?<![A-Za-z0-9])(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s,;\"']{6,64}",
-    r"(?<![A-Za-z0-9.+(-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}[\x20./-][0-9]{2,6}(?:[\x20./-][0-9]{2,6}){0,3}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+    rf"(?<![A-Za-z0-9]){_SECRET}[A-Za-z0-9+/_.-]{{6,64}}",
+    r"(?<![A-Za-z0-9.(+-])[+(]{0,2}[0-9]{1,19}(?:[\x20().+/-]{1,3}[0-9]{1,19}){0,7}(?![A-Za-z0-9])",
 ))
 _DOMAINS = r"(?i)(?:\.|dot[\])]?\x20?)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)$"
 _FOR = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|login|user|reach|pass|key)[a-z]{0,4}[\x20:=.(]{0,3}(?:is\x20|at\x20|to\x20|number\x20)?$"
 _AGAINST = r"(?i)(?:version|page|isbn|order|invoice|figure|section|chapter|date|score|no)[a-z]{0,3}[\x20.:#]{0,3}$"
-_MONTH = r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})$"
+_DATE = r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})$"
 
 
 @dataclass
@@ -96,15 +97,17 @@ def votes(before: Column, span: Column) -> list[Column]:
     """The labelers, each 1, -1 or 0."""
     number, size = digits(span), F.length(digits(span))
     vote = lambda yes, no: _flag(yes) - _flag(~yes & no)
-    nothing = F.lit(False)
+    whole = [span.rlike(f"^{PATTERNS[k]}$") & _passes(k, span) for k in ("email", "ip", "card", "phone")]
+    value = F.regexp_extract(span, rf"(?i)^{_SECRET}(.*)$", 1)
+    groups = span.rlike(r"^[+]?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,6}$") & (size >= 9)
     return [
-        vote(span.rlike(r"(?i)@|\(at\)|\[at\]"), nothing),                                     # pattern: an address
-        vote(span.rlike(r"(?i)^[a-z_-]+\x20?[=:]"), nothing),                                  # pattern: a named secret
-        vote(span.rlike(r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), span.rlike(_MONTH)),  # pattern: phone or date
-        vote(size.between(14, 19) & luhn(number), size.between(14, 19)),                       # pattern: check sum
+        vote(whole[0] | whole[1] | whole[2] | whole[3], size < 7),                             # the base patterns
+        vote(span.rlike(r"(?i)\((?:at|dot)\)|\[(?:at|dot)\]"), span.rlike(_DATE)),            # pattern: spelled out, or a date
+        vote(groups, span.rlike(r"^[0-9]+(?:[.][0-9]+){0,2}$")),                               # pattern: grouped, or a plain number
+        vote(size.between(14, 19) & luhn(number), size >= 14),                                 # pattern: check sum
+        vote(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), (value != "") & value.rlike("^[a-z]+$")),  # pattern: a mixed value
         vote(span.rlike(_DOMAINS), span.rlike(r"(?i)\.(?:png|jpg|txt|html|exe)$")),            # gazetteer: domains, files
-        vote(size.between(14, 16) & number.rlike("^(?:4|5[1-5]|3[47]|6011)"), nothing),        # gazetteer: issuers
-        vote(size.between(9, 13) & number.rlike("^(?:0|1[2-9]|33|34|44|49|555|800)"), (size < 8) & (size > 0)),  # gazetteer: dial codes
+        vote(size.between(14, 16) & number.rlike("^(?:4|5[1-5]|3[47]|6011)"), size.between(1, 5)),  # gazetteer: issuers
         vote(before.rlike(_FOR), before.rlike(_AGAINST)),                                      # context
     ]
 
@@ -112,15 +115,18 @@ def votes(before: Column, span: Column) -> list[Column]:
 def features(before: Column, span: Column) -> Column:
     """One word per feature that holds; their combinations are few."""
     size = F.length(digits(span))
-    form = F.when(span.rlike(r"(?i)@|\(at\)|\[at\]"), "mail").when(span.rlike(r"(?i)^[a-z_-]+\x20?[=:]"), "secret").otherwise("number")
-    many = F.when(size < 8, "few").when(size < 10, "some").when(size < 14, "phone").otherwise("card")
+    form = F.when(span.rlike(r"(?i)@|\(at\)|\[at\]"), "mail").when(span.rlike(rf"(?i)^{_SECRET}"), "secret").otherwise("number")
+    many = F.when(size < 7, "few").when(size < 9, "some").when(size < 14, "phone").otherwise("card")
+    grouped = span.rlike(r"^[+(]*[0-9]{1,4}[\x20()./-]+[0-9]{2,4}[\x20()./-]+[0-9]{3,6}")
     mixed = span.rlike("[A-Za-z]") & span.rlike("[0-9]")
-    return F.concat_ws(" ", form, F.concat(F.lit("digits_"), many), F.when(mixed, "mixed"), F.when(span.rlike(_MONTH), "date"),
-                       F.when(before.rlike(_FOR), "asked"), F.when(before.rlike(_AGAINST), "listed"), F.when(span.rlike(r"^\("), "bracket"))
+    return F.concat_ws(" ", form, F.when(form == "number", F.concat(F.lit("digits_"), many)), F.when(mixed, "mixed"),
+                       F.when(grouped, "grouped"), F.when(span.rlike(_DATE), "date"), F.when(before.rlike(_FOR), "asked"),
+                       F.when(before.rlike(_AGAINST), "listed"), F.when(span.startswith("+"), "plus"),
+                       F.when(size.between(14, 19), F.when(luhn(digits(span)), "sum").otherwise("no_sum")))
 
 
 def kind_of(span: Column) -> Column:
-    return (F.when(span.rlike(r"(?i)@|\(at\)|\[at\]"), 0).when(span.rlike(r"(?i)^[a-z_-]+\x20?[=:]"), 4)
+    return (F.when(span.rlike(r"(?i)@|\(at\)|\[at\]"), 0).when(span.rlike(rf"(?i)^{_SECRET}"), 4)
             .when(F.length(digits(span)) >= 14, 2).otherwise(3))
 
 
@@ -129,14 +135,20 @@ def candidates(text: Column) -> Column:
 
 
 def maximise(counts: dict[tuple[int, ...], int], rounds: int = 50) -> Learned:
-    """Expectation-maximisation over combinations of votes; a labeler starts out as better than chance."""
-    out = Learned()
+    """Expectation-maximisation over combinations of votes.
+
+    The prior takes every labeler for better than chance and weighs as much as a quarter of the candidates, so the
+    two sides cannot trade places; a labeler may turn out useless, never to mean the opposite.
+    """
+    out = Learned(share=0.3)
     if not counts:
         return out
-    labelers = len(next(iter(counts)))
-    out.chances = [{1: (0.6, 0.2), 0: (0.3, 0.4), -1: (0.1, 0.4)} for _ in range(labelers)]
+    labelers, weight = len(next(iter(counts))), 10 + sum(counts.values()) / 4
+    prior = {1: (0.5, 0.05), 0: (0.45, 0.55), -1: (0.05, 0.4)}
+    out.chances = [dict(prior) for _ in range(labelers)]
     for _ in range(rounds):
-        mass, sums = [1.0, 1.0], [{v: [0.1, 0.1] for v in (1, 0, -1)} for _ in range(labelers)]
+        mass = [0.3 * weight, 0.7 * weight]
+        sums = [{v: [weight * prior[v][0], weight * prior[v][1]] for v in prior} for _ in range(labelers)]
         for combination, n in counts.items():
             p = posterior(out, combination)
             mass[0] += n * p
@@ -152,7 +164,7 @@ def maximise(counts: dict[tuple[int, ...], int], rounds: int = 50) -> Learned:
 def posterior(learned: Learned, combination: tuple[int, ...]) -> float:
     """Chance that a span with these votes is personal; no opinion counts as silence, not as evidence."""
     odds = math.log(learned.share / (1 - learned.share))
-    odds += sum(math.log(c[v][0] / c[v][1]) for c, v in zip(learned.chances, combination, strict=True) if v)
+    odds += sum(v * max(0.0, v * math.log(c[v][0] / c[v][1])) for c, v in zip(learned.chances, combination, strict=True) if v)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
