@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, bilinear, curriculum, decontaminate, linewindows, personal, quality
+from plumbline.llm import anchors, bilinear, curriculum, decontaminate, linewindows, multiindex, personal, quality
 from plumbline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents: base counts and digest, and all spans."""
     return personal.summarised(table(spark, folder, "documents"))
+
+
+@query("op3_inverted_multi_index")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors by cosine of every vector whose id is divisible by 50."""
+    return multiindex.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
