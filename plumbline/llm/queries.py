@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, bilinear, curriculum, decontaminate, linewindows, multiindex, personal, quality
+from plumbline.llm import (
+    anchors, bilinear, curriculum, decontaminate, linewindows, multiindex, personal, perspectives, quality, separators,
+)
 from plumbline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +115,33 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors by cosine of every vector whose id is divisible by 50."""
     return multiindex.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_perspective_rotation", """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS number FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS participant FROM turns WHERE role <> 'system'),
+shown AS (
+  SELECT t.conv_id, participant, number // 64 AS piece, number, role = participant AS mine,
+    CASE WHEN role = participant THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
+      ELSE '<|user name=' || regexp_replace(role, '[\\s|<>]', '_', 'g') || '|>' || chr(10) END AS head,
+    replace(text, '<|', '< |') || '<|end|>' || chr(10) AS tail
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (
+  SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, participant, piece ORDER BY number) - length(tail) AS low FROM shown)
+SELECT conv_id, participant, piece::INTEGER AS piece, count(*)::INTEGER AS n_turns, sum(mine::INTEGER)::INTEGER AS n_masked,
+  md5(string_agg(head || tail, '' ORDER BY number)) AS digest,
+  coalesce(string_agg(CASE WHEN mine THEN low::BIGINT || ':' || (low + length(tail))::BIGINT END, ',' ORDER BY number), '') AS masks
+FROM placed GROUP BY conv_id, participant, piece""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation from the point of view of each participant: digests of the texts, and the masks."""
+    rows = perspectives.perspectives(table(spark, folder, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return rows.select("conv_id", "participant", "piece", "n_turns", "n_masked", F.md5("text").alias("digest"), masks.alias("masks"))
+
+
+@query("op5_separator_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted between separators in flat token files made from all documents."""
+    return separators.token_counts(table(spark, folder, "documents"))
