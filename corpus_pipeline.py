@@ -5,7 +5,8 @@ the next one's input. All stages but the last return the columns of `documents`.
 
 1. quality: documents that the classifier scores below 0.7 go; labels come from `labels`, held-out ids are not read.
 2. lines: repeated windows of three lines are cut out; a document none of whose lines is left goes.
-3. near_duplicates: of each group of linked SimHash fingerprints (shingles of five words) one document stays.
+3. near_duplicates: of each group of documents linked by SimHash fingerprints (five-word shingles about 80 % alike
+   or more) one stays.
 4. decontamination: documents that hold a benchmark item go.
 5. mix: sources are mixed to target weights over a curriculum; one row per copy taken, in training order.
 """
@@ -34,7 +35,7 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return anchors.one_per_group(docs, n=5)
+    return anchors.one_per_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ found, never all pairs. Equal fingerprints are one node from the start.
 Anchors with many homes (one large group of near copies) are cut into parts of at most `HOMES` homes; the copies go
 to every part and are streamed past the homes, so a task holds one part's homes and one Arrow batch.
 
+Four bits of 64 mean nearly equal texts: copies whose five-word shingles are 80 % alike differ in about ten. For
+those, `one_per_group` gives a text several fingerprints of its distinct long words, under unlike hashes; words are
+alike far beyond shingles, so such a pair is within four bits in each with a chance of about a half, and in one of
+`FAMILIES` nearly always. What links is then checked by the shingle fingerprints: at most `ALIKE` differing bits.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; a text of fewer words
 than a shingle is one shingle; repeated rows give repeated results; null ids get their component's smallest id, null
 if it has none. An empty table gives no rows.
@@ -35,6 +40,7 @@ SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 REACH = 1 + BITS // len(SEGMENTS)
 HOMES = 1 << 15
+FAMILIES, ALIKE = 8, 14
 _PAIRS = 1 << 21
 #: Hot anchors are broadcast while there are at most so many (24 bytes each), else joined.
 _BROADCAST_ROWS = 1 << 20
@@ -50,9 +56,8 @@ def shingle_hashes(text: bytes, n: int = SHINGLE) -> list[int]:
     return [hashed(joined[s:e], SEED) for s, e in zip([0, *(e + 1 for e in ends)], ends[n - 1 :], strict=False)]
 
 
-def fingerprint(text: bytes, n: int = SHINGLE) -> int:
-    """Bit by bit the majority of the shingles' hashes, as a signed long."""
-    hashes = np.array(shingle_hashes(text, n), dtype="<u8")
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit what over half of the hashes have, as a signed long."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -60,10 +65,29 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(text: Column, n: int = SHINGLE) -> Column:
-    @F.pandas_udf("long")
+def fingerprint(text: bytes, n: int = SHINGLE) -> int:
+    return majority(np.array(shingle_hashes(text, n), dtype="<u8"))
+
+
+def word_fingerprints(text: bytes, families: int) -> list[int]:
+    """Fingerprints of the distinct words of more than four bytes (of all words if none is), one per family."""
+    found = set(words(text))
+    found = [w for w in found if len(w) > 4] or list(found)
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in found], dtype="<u8")
+    out = []
+    for k in range(families):
+        mixed = (hashes ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(majority(mixed ^ (mixed >> np.uint64(32))))
+    return out
+
+
+def fingerprints(text: Column, n: int = SHINGLE, families: int = 0) -> Column:
+    """Of the shingles, then of the words in each family."""
+
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, n) for t in texts], dtype="int64")
+        return pd.Series([[fingerprint(t, n), *word_fingerprints(t, families)] for t in texts])
 
     return of(utf8(text))
 
@@ -88,28 +112,29 @@ def _moves(width: int, reach: int, syndromes: np.ndarray) -> list[np.ndarray]:
 
 
 def _anchored(prints: DataFrame, homes_only: bool) -> DataFrame:
-    """fp -> (anchor, home, fp): one home in each segment and, unless only homes are wanted, the copies."""
+    """(fp, family, node) -> (anchor, home, fp, node): one home in each segment and, unless only homes are wanted, the copies."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         syndromes = _syndromes()
         moves = [_moves(width, REACH, syndromes) for _, width in SEGMENTS]
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
-                fp = batch.column(0).to_numpy()[start : start + 4096]
+                fp, family, node = (batch.column(i).to_numpy()[start : start + 4096] for i in range(3))
                 for k, (low, width) in enumerate(SEGMENTS):
                     part = (fp >> low) & ((1 << width) - 1)
                     syndrome = syndromes[part & 0x7FFF]
                     home = part ^ np.where(syndrome > 0, 1 << np.maximum(syndrome - 1, 0), 0)
-                    found = [(home, np.ones(len(fp), bool), fp)]
+                    found = [(home, np.ones(len(fp), bool), np.arange(len(fp)))]
                     for s in range(0 if homes_only else 16):
-                        at = syndrome == s
+                        at = np.flatnonzero(syndrome == s)
                         near = (part[at][:, None] ^ moves[k][s][None, :]).ravel()
-                        found.append((near, np.zeros(len(near), bool), np.repeat(fp[at], len(moves[k][s]))))
+                        found.append((near, np.zeros(len(near), bool), np.repeat(at, len(moves[k][s]))))
                     anchor, is_home, who = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | k << 32), pa.array(is_home), pa.array(who)],
-                                                     names=["anchor", "home", "fp"])
+                    anchor = anchor | k << 32 | family[who].astype(np.int64) << 34
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(is_home), pa.array(fp[who]), pa.array(node[who])],
+                                                     names=["anchor", "home", "fp", "node"])
 
-    return prints.select("fp").mapInArrow(assign, "anchor long, home boolean, fp long")
+    return prints.select("fp", "family", "node").mapInArrow(assign, "anchor long, home boolean, fp long, node long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,78 +156,87 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, part, homes first) -> forests of the links between homes and copies."""
-    home_key = home_fp = np.empty(0, dtype=np.int64)
-    for batch in batches:
-        key, is_home, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(key):
-            continue
-        home_key, home_fp = np.concatenate([home_key, key[is_home]]), np.concatenate([home_fp, fp[is_home]])
-        group, at = np.unique(home_key, return_inverse=True)
-        sizes = np.bincount(at, minlength=len(group)) if len(group) else np.empty(0, dtype=np.int64)
-        order = np.argsort(at, kind="stable")
-        homes, starts = home_fp[order], np.cumsum(sizes) - sizes
-        copy_key, copy_fp = key[~is_home], fp[~is_home]
-        if len(group) and len(copy_key):
-            where = np.minimum(np.searchsorted(group, copy_key), len(group) - 1)
-            count = np.where(group[where] == copy_key, sizes[where], 0)
-            low, ends = starts[where], np.cumsum(count)
-            i = 0
-            while i < len(copy_key):
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIRS)))
-                n = count[i:j]
-                mine = np.repeat(np.arange(i, j), n)
-                theirs = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[i:j], n)
-                x, y = homes[theirs], copy_fp[mine]
-                near = (np.bitwise_count((x ^ y).view(np.uint64)) <= BITS) & (x != y)
-                if near.any():
-                    node, root = forest(x[near], y[near])
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
-                i = j
-        last = home_key == key[-1]
-        home_key, home_fp = home_key[last], home_fp[last]
-
-
-def linked(prints: DataFrame, homes_per_part: int = HOMES) -> DataFrame:
-    """Distinct `fp` -> links (a, b) with the same components as all links at 4 or fewer differing bits."""
+def _compare(alike: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (anchor, part, homes first) -> forests of the links between homes and copies."""
+        homes = [np.empty(0, dtype=np.int64)] * 3
+        for batch in batches:
+            key, is_home, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(key):
+                continue
+            homes = [np.concatenate([h, x[is_home]]) for h, x in zip(homes, (key, fp, node), strict=True)]
+            group, sizes = np.unique(homes[0], return_counts=True)
+            starts = np.cumsum(sizes) - sizes
+            copy_key, copy_fp, copy_node = key[~is_home], fp[~is_home], node[~is_home]
+            if len(group) and len(copy_key):
+                where = np.minimum(np.searchsorted(group, copy_key), len(group) - 1)
+                count = np.where(group[where] == copy_key, sizes[where], 0)
+                low, ends, i = starts[where], np.cumsum(count), 0
+                while i < len(copy_key):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIRS)))
+                    n = count[i:j]
+                    mine = np.repeat(np.arange(i, j), n)
+                    theirs = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[i:j], n)
+                    near = np.flatnonzero(np.bitwise_count((homes[1][theirs] ^ copy_fp[mine]).view(np.uint64)) <= BITS)
+                    x, y = homes[2][theirs[near]], copy_node[mine[near]]
+                    near = (np.bitwise_count((x ^ y).view(np.uint64)) <= alike) & (x != y)
+                    if near.any():
+                        a, b = forest(x[near], y[near])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    i = j
+            last = homes[0] == key[-1]
+            homes = [h[last] for h in homes]
+
+    return run
+
+
+def linked(prints: DataFrame, homes_per_part: int = HOMES, alike: int = 64) -> DataFrame:
+    """Distinct (fp, family, node) -> links (a, b) of nodes, with the same components as all links between rows of
+    a family at 4 or fewer differing bits whose nodes differ in at most `alike` bits."""
     crowded = _anchored(prints, True).groupBy("anchor").count().where(F.col("count") > homes_per_part)
     crowded = kept(crowded.select("anchor", F.ceil(F.col("count") / homes_per_part).cast("int").alias("parts")), "crowded")
     rows, hot = _anchored(prints, False), crowded.count()
     if hot:
         rows = rows.join(F.broadcast(crowded) if hot <= _BROADCAST_ROWS else crowded, "anchor", "left")
         every = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-        one = F.array(F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+        one = F.array(F.pmod(F.xxhash64("fp", "node"), F.coalesce("parts", F.lit(1))).cast("int"))
         rows = rows.withColumn("part", F.explode(F.when(F.col("home"), one).otherwise(every)))
     else:
         rows = rows.withColumn("part", F.lit(0))
-    rows = rows.select(((F.col("part").cast("long") * (1 << 34)) + F.col("anchor")).alias("key"), "home", "fp")
+    rows = rows.select(((F.col("part").cast("long") * (1 << 40)) + F.col("anchor")).alias("key"), "home", "fp", "node")
     rows = rows.repartition("key").sortWithinPartitions("key", F.col("home").desc())
-    return rows.mapInArrow(_compare, "a long, b long").distinct()
+    return rows.mapInArrow(_compare(alike), "a long, b long").distinct()
 
 
-def grouped(prints: DataFrame, homes_per_part: int = HOMES) -> DataFrame:
-    """Distinct `fp` -> (fp, root): all fingerprints, equal roots for linked ones."""
-    roots = components(linked(prints, homes_per_part)).select(F.col("node").alias("fp"), "root")
-    return prints.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def grouped(prints: DataFrame, homes_per_part: int = HOMES, alike: int = 64) -> DataFrame:
+    """Distinct (fp, family, node) -> (node, root): all nodes, equal roots for linked ones."""
+    roots = components(linked(prints, homes_per_part, alike))
+    return prints.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, mark (hash of the text), fp, component_id for every row."""
+def _printed(docs: DataFrame, n: int, families: int) -> DataFrame:
+    """doc_id, mark (hash of the text), node (fingerprint of the shingles), words (those of the words), written."""
     prepare(docs.sparkSession)
-    rows = kept(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
-                            fingerprints(F.col("text"), n).alias("fp")), "fingerprints")
-    prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "prints")
-    groups = prints.join(grouped(prints), "fp")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", mark.alias("mark"), fingerprints(F.col("text"), n, families).alias("all"))
+    return kept(rows.select("doc_id", "mark", F.col("all")[0].alias("node"), F.slice("all", 2, max(families, 1)).alias("words")), "fingerprints")
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id for every row: fingerprints of the shingles link at 4 or fewer differing bits."""
+    rows = _printed(docs, n, 0)
+    prints = kept(rows.groupBy("node").agg(F.min("doc_id").alias("smallest")), "prints")
+    groups = prints.join(grouped(prints.select(F.col("node").alias("fp"), F.lit(0).alias("family"), "node")), "node")
     ids = groups.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    return rows.join(groups.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    return rows.join(groups.join(ids, "root").select("node", "component_id"), "node").select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def one_per_group(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """The documents that stay: of every group the one with the smallest id, null ids last, then by text hash."""
-    rows = near_duplicates(docs, n)
+def one_per_group(docs: DataFrame, n: int = 5, families: int = FAMILIES, alike: int = ALIKE) -> DataFrame:
+    """The documents that stay: of every group of similar ones that with the smallest id, null ids last, then by hash."""
+    rows = _printed(docs, n, families)
+    prints = kept(rows.select("node", F.posexplode("words").alias("family", "fp")).distinct(), "prints")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    stay = rows.groupBy("root").agg(F.min(place).alias("place"))
+    stay = rows.join(grouped(prints, alike=alike), "node").groupBy("root").agg(F.min(place).alias("place"))
     stay = stay.select(F.col("place.doc_id").alias("its_id"), F.col("place.mark").alias("its_mark"))
     docs = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     docs = docs.join(stay, F.expr("doc_id <=> its_id AND mark = its_mark"), "left_semi")
