@@ -244,7 +244,7 @@ class Model:
 def lexicon(counts: DataFrame, s: Settings) -> Lexicon:
     """From written counts; brings the frequent tokens (at most 2^20) and one row per group to the driver."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") * FREQUENT >= n).collect()]
+    frequent = [(bytes(r["word"]), r["c"]) for r in counts.where((F.col("c") * FREQUENT >= n) | (F.col("word") == F.lit(END))).collect()]
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, tokens = np.zeros(GROUPS, dtype=np.int64), np.zeros(GROUPS, dtype=np.int64)

@@ -233,7 +233,8 @@ def fitted(docs: DataFrame, labels: DataFrame, s: Settings = SETTINGS) -> bytes:
             marks += list(batch["label"])[: s.fit_rows - len(marks)]
         yield pd.DataFrame({"model": [fit(texts, marks, s)]})
 
-    return bytes(rows.select("text", "label").mapInPandas(run, "model binary").first()["model"])
+    done = rows.select("text", "label").mapInPandas(run, "model binary").first()
+    return bytes(done["model"]) if done else fit([], [], s)
 
 
 def score(docs: DataFrame, model: bytes, text: Column) -> Column:
