@@ -291,7 +291,7 @@ def walked(limit: str) -> str:
     UNION ALL SELECT root, src, depth + 1 FROM walked JOIN edges ON dst = "table" {limit})"""
 
 
-@CATALOG.add("j2_lineage_upstream", f"""WITH RECURSIVE {CHAIN}, {walked('WHERE depth < 3')}
+@CATALOG.add("j2_lineage_upstream", f"""WITH RECURSIVE {CHAIN}, {walked('')}
   SELECT root, "table", MAX(depth) AS depth FROM walked GROUP BY ALL""")
 def j2(spark, folder):
     edges, roots = chain(spark, folder)
@@ -308,7 +308,7 @@ def j2_closure(spark, folder):
     )
 
 
-@CATALOG.add("l8_first_suspect", f"""WITH RECURSIVE {CHAIN}, {walked('WHERE depth < 3')},
+@CATALOG.add("l8_first_suspect", f"""WITH RECURSIVE {CHAIN}, {walked('')},
   rates AS (SELECT CAST(l_orderkey AS VARCHAR) AS "table", AVG(CASE WHEN l_discount = 0 THEN 1.0 ELSE 0.0 END) AS r
     FROM lineitem GROUP BY 1),
   suspects AS (SELECT root, arg_min("table", (-depth, "table")) AS suspect FROM walked JOIN rates USING ("table")

@@ -24,7 +24,7 @@ def products(spark, folder):
     told = F.when(key % 20 == 3, size + 1).otherwise(size)
     brand = F.when(key % 20 == 7, F.lit("Brand#99")).otherwise(F.col("p_brand"))
     waterproof = F.when(key % 20 == 11, F.lit("not waterproof")).otherwise(F.lit("waterproof"))
-    code = F.when(key % 20 == 13, F.lit(" Model XR-7 of 2024-01-01 for $12.50.")).otherwise(F.lit(""))
+    code = F.when(key % 20 == 13, F.lit(" Batch QV-38 of 1997-05-14 for $86.20.")).otherwise(F.lit(""))
     return p.select(
         "p_partkey", "p_name", "p_brand", "p_type",
         F.concat(F.lit("A "), waterproof, F.lit(" "), F.col("p_name"), F.lit(" by "), brand, F.lit(" in size "),
@@ -41,7 +41,7 @@ PRODUCTS = """products AS (SELECT p_partkey, p_name, p_brand, p_type, p_size,
     'A ' || CASE WHEN p_partkey % 20 = 11 THEN 'not waterproof' ELSE 'waterproof' END || ' ' || p_name || ' by ' ||
     CASE WHEN p_partkey % 20 = 7 THEN 'Brand#99' ELSE p_brand END || ' in size ' ||
     CAST(CASE WHEN p_partkey % 20 = 3 THEN p_size + 1 ELSE p_size END AS VARCHAR) || '.' ||
-    CASE WHEN p_partkey % 20 = 13 THEN ' Model XR-7 of 2024-01-01 for $12.50.' ELSE '' END AS description,
+    CASE WHEN p_partkey % 20 = 13 THEN ' Batch QV-38 of 1997-05-14 for $86.20.' ELSE '' END AS description,
     p_name || ', waterproof, size ' || CAST(p_size AS VARCHAR) || ', ' || p_brand AS spec,
     CASE WHEN p_partkey % 20 = 17 OR p_size > 25 THEN 'BIG' ELSE 'SMALL' END AS size_label FROM part)"""
 
@@ -422,8 +422,7 @@ def e2(spark, folder):
     return results.select("expectation", "total_records", "passed_records")
 
 
-PAYLOADS = """payloads AS (SELECT doc_id, text, CASE WHEN LENGTH(text) > 500 THEN LEFT(text, 500) || '…' ELSE text END
-  AS shown FROM documents)"""
+PAYLOADS = "payloads AS (SELECT doc_id, text AS shown FROM documents)"
 
 
 def _payloads(spark, folder):

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,17 +112,20 @@ def _row_counts(df: DataFrame, rows: Sequence[RowAssertion]) -> DataFrame:
     return counted.select(F.inline(F.array(*lines)))
 
 
-def _row_samples(df: DataFrame, rows: Sequence[RowAssertion], order: Sequence[str]) -> DataFrame:
+def _row_samples(
+    df: DataFrame, rows: Sequence[RowAssertion], order: Sequence[str], samples: int
+) -> DataFrame:
     names = F.array_compact(F.array(*[F.when(a.broken, F.lit(a.name)) for a in rows]))
     any_broken = reduce(lambda x, y: x | y, [a.broken for a in rows])
-    whole_row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    # Rows are ordered by their order columns and a hash; only the few that stay are written as text.
     hit = df.where(any_broken).select(
-        F.explode(names).alias("_assertion"), whole_row.alias("_row"),
+        F.explode(names).alias("_assertion"), whole_row.alias("_whole"), F.xxhash64(F.to_json(whole_row)).alias("_tie"),
         *[F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(order)],
     )
     by = [f"_by{i}" for i in range(len(order))]
-    firsts = first_rows(hit, ["_assertion"], [*by, "_row"], SAMPLES, rank="_rank")
-    return _listed(firsts.select(F.col("_assertion").alias("name"), "_rank", "_row"))
+    firsts = first_rows(hit, ["_assertion"], [*by, "_tie"], samples, rank="_rank")
+    return _listed(firsts.select(F.col("_assertion").alias("name"), "_rank", F.to_json("_whole").alias("_row")))
 
 
 def _listed(ranked: DataFrame) -> DataFrame:
@@ -132,10 +135,10 @@ def _listed(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _group_details(broken: DataFrame, assertion: GroupAssertion) -> DataFrame:
+def _group_details(broken: DataFrame, assertion: GroupAssertion, samples: int) -> DataFrame:
     counted = broken.agg(F.count(F.lit(1)).alias("failures"))
     # Order by the row's own text: a fixed choice whatever the partitions.
-    rows = broken.select(F.to_json(F.struct("*")).alias("_row")).orderBy("_row").limit(SAMPLES)
+    rows = broken.select(F.to_json(F.struct("*")).alias("_row")).orderBy("_row").limit(samples)
     listed = rows.agg(F.array_sort(F.collect_list("_row")).alias("_rows")).select("_rows").scalar()
     return counted.select(
         F.lit(assertion.name).alias("name"),
@@ -146,41 +149,44 @@ def _group_details(broken: DataFrame, assertion: GroupAssertion) -> DataFrame:
 
 
 def run_assertions(
-    df: DataFrame, assertions: Sequence[Assertion], *, order: Sequence[str] | None = None
+    df: DataFrame, assertions: Sequence[Assertion], *, order: Sequence[str] | None = None, samples: int = SAMPLES
 ) -> DataFrame:
-    """One row per assertion: passed, failures, up to 3 of the failing rows as JSON.
+    """One row per assertion: passed, failures, up to `samples` of the failing rows as JSON.
 
     `order` says which failing rows come first; by default the first column.
-    An assertion that cannot be resolved against the table fails with -1.
+    Assertions run here: what comes to the driver is one row per assertion. One that
+    cannot be resolved against the table, or that fails while it runs, fails with -1.
     """
     order = list(order or df.columns[:1])
-    rows, parts, errors = [], [], []
+    by_row = [a for a in assertions if isinstance(a, RowAssertion)]
+    found = _ran(df, by_row, order, samples) if by_row else []
     for assertion in assertions:
-        try:
-            if isinstance(assertion, RowAssertion):
-                df.select(assertion.broken).schema  # noqa: B018 - resolves the columns
-                rows.append(assertion)
-            else:
-                broken = assertion.broken_rows(df)
-                parts.append(_group_details(broken, assertion))
-        except AnalysisException as problem:
-            message = str(problem).splitlines()[0]
-            errors.append((assertion.name, False, COULD_NOT_RUN, assertion.description, [], message))
-    if rows:
-        counted = _row_counts(df, rows)
-        parts.insert(0, counted.join(_row_samples(df, rows, order), "name", "left"))
-    passed = F.col("failures") == 0
-    details = [
-        part.select(
-            "name", passed.alias("passed"), "failures", "description",
-            F.coalesce("sample_failures", F.array().cast("array<string>")).alias("sample_failures"),
-            F.lit(None).cast("string").alias("error"),
-        )
-        for part in parts
-    ]
-    if errors or not details:
-        details.append(df.sparkSession.createDataFrame(errors, DETAIL))
-    return reduce(DataFrame.unionByName, details)
+        if not isinstance(assertion, RowAssertion):
+            found += _ran(df, [assertion], order, samples)
+    return df.sparkSession.createDataFrame(found, DETAIL)
+
+
+def _ran(df: DataFrame, assertions: Sequence[Assertion], order: Sequence[str], samples: int) -> list[tuple]:
+    """Details of assertions that share a scan; one by one if they cannot run together."""
+    try:
+        if isinstance(assertions[0], RowAssertion):
+            part = _row_counts(df, assertions).join(_row_samples(df, assertions, order, samples), "name", "left")
+        else:
+            part = _group_details(assertions[0].broken_rows(df), assertions[0], samples)
+        rows = {r["name"]: r for r in part.collect()}
+        return [
+            (a.name, rows[a.name]["failures"] == 0, rows[a.name]["failures"], a.description,
+             rows[a.name]["sample_failures"] or [], None)
+            for a in assertions
+        ]
+    except PySparkException as problem:
+        if len(assertions) > 1:
+            return [line for a in assertions for line in _ran(df, [a], order, samples)]
+        return [(assertions[0].name, False, COULD_NOT_RUN, assertions[0].description, [], first_line(problem))]
+
+
+def first_line(problem: Exception) -> str:
+    return (str(problem).splitlines() or [""])[0]
 
 
 def assertion_rollup(details: DataFrame) -> DataFrame:

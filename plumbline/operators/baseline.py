@@ -281,18 +281,14 @@ def learn_baseline(
         starts = carry.select(*keys, CARRIED).withColumn("_ahead", F.lit(0))
         marked = marked.withColumn("_ahead", F.lit(1)).unionByName(starts, allowMissingColumns=True)
         by = ["_ahead", *by]
-    blocks = block_count(marked, rows_per_task)
-    if blocks == 1:
-        lined_up = marked.repartition(1).sortWithinPartitions(*keys, *by)
-    else:
-        blocked = order_blocks(marked, keys, by, blocks)
-        # One entry per block at most, so the broadcast is bounded by the block count.
-        entries = _block_entries(blocked, keys, min_samples, alpha).select(
-            BLOCK, F.lit(0).cast("long").alias(POSITION), F.col(CARRIED).alias("_entry")
-        )
-        lined_up = blocked.join(F.broadcast(entries), [BLOCK, POSITION], "left").withColumn(
-            CARRIED, F.coalesce("_entry", CARRIED)
-        )
+    blocked = order_blocks(marked, keys, by, block_count(marked, rows_per_task))
+    # One entry per block at most, so the broadcast is bounded by the block count.
+    entries = _block_entries(blocked, keys, min_samples, alpha).select(
+        BLOCK, F.lit(0).cast("long").alias(POSITION), F.col(CARRIED).alias("_entry")
+    )
+    lined_up = blocked.join(F.broadcast(entries), [BLOCK, POSITION], "left").withColumn(
+        CARRIED, F.coalesce("_entry", CARRIED)
+    )
     kept = [*df.columns, *(["_ahead"] if carry is not None else [])]
     out_schema = T.StructType(
         [lined_up.schema[name] for name in kept]

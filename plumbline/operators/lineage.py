@@ -5,27 +5,27 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import null_rate
 from plumbline.session import stable
 
-# Hops followed upstream, null rate from which a table is suspect.
-DEPTH = 3
+# Fixed value: null rate from which a table is suspect.
 SUSPECT_NULL_RATE = 0.05
 
 # Hops after which a closure without end is first looked for.
 CYCLE_CHECK = 16
 
 
-def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = DEPTH) -> DataFrame:
+def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(root, table, depth) of everything upstream of each root, the root itself left out.
 
     `depth` is the longest way down to the root, so an ancestor always lies
     deeper than what is built from it. One equi-join per hop; each hop keeps one
-    row per (root, table), so the number of paths does not matter. With
-    `max_depth=None` hops go on until one brings nothing new.
+    row per (root, table), so the number of paths does not matter. Hops go on
+    until one brings nothing new, or `max_depth` is reached. Tables on a common
+    cycle count as one place: they share a depth.
     """
     pairs = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
     level = roots.select("root", F.col("root").alias("table")).distinct()
@@ -37,7 +37,12 @@ def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = DEPT
             found.append(level.withColumn("depth", F.lit(depth)))
         return _deepest(found)
 
-    pairs, found, depth = stable(pairs), [nothing], 0
+    pairs = stable(pairs)
+    return _unbounded(pairs, level, merge=lambda found: _merged(pairs, roots, found))
+
+
+def _unbounded(pairs: DataFrame, level: DataFrame, merge) -> DataFrame:
+    found, depth = [level.withColumn("depth", F.lit(0)).limit(0)], 0
     while True:
         depth += 1
         level = stable(_one_hop(level, pairs))
@@ -48,7 +53,38 @@ def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = DEPT
         if depth >= CYCLE_CHECK and depth.bit_count() == 1:
             ancestors = _deepest(found).groupBy("root").count().agg(F.max("count")).first()[0]
             if depth > ancestors:
-                return _deepest(found)
+                return merge(_deepest(found))
+
+
+def _merged(pairs: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Depths where there are cycles: the tables of each cycle are merged into one before hops are counted."""
+    near = found.select("table").unionByName(roots.select(F.col("root").alias("table"))).distinct()
+    inside = pairs.join(near.select(F.col("table").alias("_dst")), "_dst", "left_semi")
+    reach, size = stable(inside.select("_src", "_dst").distinct()), 0
+    while (now := reach.count()) > size:  # paths double their length each time
+        size = now
+        further = reach.select(F.col("_src").alias("_mid"), F.col("_dst").alias("_end"))
+        longer = reach.withColumnRenamed("_dst", "_mid").join(further.select("_mid", F.col("_end").alias("_dst")), "_mid")
+        reach = stable(reach.unionByName(longer.select("_src", "_dst")).distinct())
+    back = reach.select(F.col("_src").alias("_dst"), F.col("_dst").alias("_src"))
+    mutual = reach.join(back, ["_src", "_dst"]).groupBy("_src").agg(F.min("_dst").alias("_place"))
+    place = near.join(mutual, near["table"] == mutual["_src"], "left").select(
+        "table", F.least(F.coalesce("_place", "table"), "table").alias("place"))
+    place = stable(place)
+
+    def at(name: str, into: str) -> DataFrame:
+        return place.select(F.col("table").alias(name), F.col("place").alias(into))
+
+    edges = inside.join(at("_src", "_from"), "_src").join(at("_dst", "_to"), "_dst").where("_from <> _to")
+    edges = stable(edges.select(F.col("_from").alias("_src"), F.col("_to").alias("_dst")).distinct())
+    start = roots.select("root").distinct().join(at("root", "place"), "root")
+    level = start.select(F.col("place").alias("root"), F.col("place").alias("table")).distinct()
+    depths = _unbounded(edges, level, merge=lambda rest: rest).unionByName(level.withColumn("depth", F.lit(0)))
+    spread = start.join(depths.withColumnsRenamed({"root": "place", "table": "_at"}), "place")
+    spread = spread.join(place.withColumnsRenamed({"place": "_at"}), "_at").where("root <> table")
+    # What shares a cycle with the root is one hop away, everything else lies beyond it.
+    shared = F.max((F.col("depth") == 0).cast("int")).over(Window.partitionBy("root"))
+    return spread.select("root", "table", (F.col("depth") + shared).alias("depth"))
 
 
 def _one_hop(level: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -106,7 +142,7 @@ def trace_root_cause(
     failing_column: str,
     *,
     renamed: Mapping[str, str] | None = None,
-    max_depth: int | None = DEPTH,
+    max_depth: int | None = None,
     limit: float = SUSPECT_NULL_RATE,
 ) -> DataFrame:
     """One row: where the nulls of a failing column first appeared.
@@ -116,14 +152,14 @@ def trace_root_cause(
     spark = edges.sparkSession
     root = spark.range(1).select(F.lit(failing_table).alias("root"))
     ancestors = upstream(edges, root, max_depth=max_depth)
+    # The root stands among its ancestors, so that there is always a row to fall back to.
+    ancestors = ancestors.unionByName(root.select("root", F.col("root").alias("table"), F.lit(0).alias("depth")))
     known = {k: v for k, v in tables.items() if k != failing_table}
     column = F.lit(failing_column).alias("root_cause_column")
     if not known or not failing_column:
         return root.select("root", F.col("root").alias("root_cause_table"), column)
     suspects = first_suspect(ancestors, null_rates(known, failing_column, renamed), limit=limit)
-    return root.join(suspects, "root", "left").select(
-        "root", F.coalesce("root_cause_table", "root").alias("root_cause_table"), column
-    )
+    return suspects.select("root", "root_cause_table", column)
 
 
 def side_by_side(ancestors: DataFrame, profiles: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

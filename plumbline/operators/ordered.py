@@ -16,25 +16,18 @@ from pyspark.sql import functions as F
 from plumbline.functions.values import column_or_null, first_truthy
 from plumbline.operators.rowchecks import ID_COLUMNS, time_or_now, violation
 from plumbline.rules import EXPECTED_NULL_RATE, SMALLEST_WINDOW, NullRateRule
-from plumbline.session import shuffle_width, stable
+from plumbline.session import stable
 
 BLOCK = "_block"
 POSITION = "_position"
 
-# Rows one task handles without trouble; longer series are cut into blocks.
+# Rows of a block: what one task sorts and holds, whatever the size of the table.
 ROWS_PER_TASK = 250_000
 
 
-def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group, from one map-side combined count."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def block_count(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int:
-    """Enough blocks for the rows, at most as many as the session shuffles into."""
-    return max(1, min(shuffle_width(df.sparkSession), -(-df.count() // rows_per_task)))
+    """As many blocks as the rows need; the plan is the same for one block and for many."""
+    return max(1, -(-df.count() // rows_per_task))
 
 
 def order_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int) -> DataFrame:
@@ -76,21 +69,20 @@ def previous_value(
 ) -> DataFrame:
     """The value of the row before, null for the first of a series.
 
-    Series too long for one task are numbered across blocks, and each row is
-    joined with the number before its own, which no key can skew.
+    Inside a block it is a `lag`; the first row of a block takes it from the last
+    row of the block before, if that is of the same series. One such row per block
+    is broadcast.
     """
-    if longest_series(df.select(*keys), keys) <= rows_per_task:
-        return df.withColumn(into, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    numbered = number_rows(order_blocks(df, keys, order, block_count(df, rows_per_task)), "_row")
-    before = numbered.select(
-        (F.col("_row") + 1).alias("_row"), F.col(value).alias(into),
-        *[F.col(k).alias(f"_before_{k}") for k in keys],
-    )
-    joined = numbered.join(before, "_row", "left")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_before_{k}"))
-    return joined.withColumn(into, F.when(same, F.col(into))).select(*df.columns, into)
+    blocked = order_blocks(df, keys, order, block_count(df, rows_per_task))
+    inside = Window.partitionBy(BLOCK, *keys).orderBy(POSITION)
+    last = F.struct(F.col(value).alias("value"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    ends = blocked.groupBy(BLOCK).agg(F.max_by(last, POSITION).alias("_end"))
+    ends = ends.select(BLOCK, F.lag("_end").over(Window.orderBy(BLOCK)).alias("_end"))
+    same = F.col("_end").isNotNull() & (F.col(POSITION) == 0)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_end.k{i}"))
+    lagged = blocked.withColumn(into, F.lag(value).over(inside)).join(F.broadcast(ends), BLOCK)
+    return lagged.withColumn(into, F.when(same, F.col("_end.value")).otherwise(F.col(into))).select(*df.columns, into)
 
 
 def rolling_rate(
@@ -107,13 +99,10 @@ def rolling_rate(
     """Share of rows with `flag` set among the last `size` rows, current one included.
 
     Running counts and one `lag` make the cost per row independent of `size`.
-    Series of up to `rows_per_task` rows use a plain window; longer ones are
-    numbered, cut into stretches, and each stretch gets the `size - 1` rows before it.
+    Rows are numbered across blocks, cut into stretches, and each stretch gets the
+    `size - 1` rows before it, so no task holds more than a stretch of a series.
     """
     marked = df.withColumn("_flag", F.coalesce(flag.cast("int"), F.lit(0)))
-    if longest_series(marked.select(*keys), keys) <= rows_per_task:
-        return _rate_in_groups(marked, keys, order, size, rate, rows).drop("_flag")
-
     blocks = block_count(marked, rows_per_task)
     numbered = number_rows(order_blocks(marked, keys, order, blocks), "_row")
     stretch = max(rows_per_task, size)

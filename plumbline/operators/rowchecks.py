@@ -210,4 +210,4 @@ def of_topic(found: DataFrame, topic: str | None) -> DataFrame:
 
 def require_column(df: DataFrame, name: str) -> None:
     if name not in df.columns:
-        raise ValueError(f"Column '{name}' not found in DataFrame. Available: {df.columns}")
+        raise ValueError(f"there is no column {name!r} among {', '.join(df.columns)}")

@@ -111,11 +111,13 @@ def validate_fix(
     assertions: Sequence[Assertion] | None = None,
     order: Sequence[str] | None = None,
 ) -> FixResult:
-    """Run a fix and assert on what it returns. A fix that cannot run fails one test."""
+    """Run a fix and assert on what it returns. A fix that cannot run, to its last row, fails one test."""
     try:
         fixed = sandbox.execute_fix(fix_sql)
         checks = list(assertions) if assertions is not None else derive_assertions(failing_tests)
         details = run_assertions(fixed, checks, order=order)
+        if not details.where("error IS NOT NULL").isEmpty():
+            fixed.write.format("noop").mode("overwrite").save()  # raises if it is the fix that fails
         return FixResult(details, assertion_rollup(details), fixed)
     except (PySparkException, UnsafeFix) as problem:
         message = str(problem).splitlines()[0]

@@ -20,7 +20,6 @@ from plumbline.operators.ordered import (
     BLOCK,
     ROWS_PER_TASK,
     block_count,
-    longest_series,
     number_rows,
     order_blocks,
 )
@@ -70,15 +69,8 @@ def _with_session(summed: DataFrame, gap_us: int, rows_per_task: int) -> DataFra
         return F.when(earlier_last.isNull() | (pause >= gap_us), F.col("_first"))
 
     by = ["_first", "rule_name"]
-    if longest_series(summed.select(*KEY), KEY) <= rows_per_task:
-        window = Window.partitionBy(*KEY).orderBy(*by)
-        before = window.rowsBetween(Window.unboundedPreceding, -1)
-        until = window.rowsBetween(Window.unboundedPreceding, 0)
-        flagged = summed.withColumn("_begin", begins(F.max("_last").over(before)))
-        return flagged.withColumn("_start", F.max("_begin").over(until)).drop("_begin")
-
-    # Too many buckets for one task: sort them into blocks, and let each block
-    # know the latest end and the latest start of the blocks before it.
+    # Buckets are sorted into blocks, and each block knows the latest end and the
+    # latest start of the blocks before it.
     blocked = order_blocks(summed, KEY, by, block_count(summed, rows_per_task))
     window = Window.partitionBy(BLOCK, *KEY).orderBy(*by)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -158,8 +150,9 @@ def incident_key(topic: Column, column: Column, start_us: Column) -> Column:
 def _first_violations(found: DataFrame, sessions: DataFrame, gap_us: int, samples: int) -> DataFrame:
     """The first `samples` violations of each session.
 
-    Every bucket holds one at least, so they lie in the session's first
-    `samples` buckets; only violations of those are sorted.
+    Every bucket holds one at least, so they lie in the session's first `samples`
+    buckets. Each bucket is first cut to its own first `samples`, per task and per
+    salted part, so a burst is never shuffled by its bucket.
     """
     bucket, session = [*KEY, "_bucket"], [*KEY, "_start"]
     by = ["timestamp", "_id", "_rule"]
@@ -172,7 +165,8 @@ def _first_violations(found: DataFrame, sessions: DataFrame, gap_us: int, sample
         F.floor(F.unix_micros("timestamp") / gap_us).alias("_bucket"),
         F.struct(*[F.col(f"`{f.name}`") for f in VIOLATION]).alias("_violation"),
     )
-    top = first_rows(keyed.join(leading, bucket), session, by, samples, rank="_rank")
+    few = first_rows(keyed, bucket, by, samples)
+    top = first_rows(few.join(leading, bucket), session, by, samples, rank="_rank")
     listed = F.array_sort(F.collect_list(F.struct("_rank", "_violation")))
     return top.groupBy(*session).agg(
         F.transform(listed, lambda s: s["_violation"]).alias("sample_violations")

@@ -15,17 +15,21 @@ from pyspark.sql import types as T
 
 from plumbline.functions.values import ellipsize, let
 
-# Longest value in a payload, and what a response without the field means.
-LONGEST_VALUE = 500
+# What a response without the field means.
 DEFAULT_CONFIDENCE = 0.5
 UNAVAILABLE = "Judge unavailable: "
 
-def payload(criterion: str, record: Mapping[str, Column], context: str = "") -> Column:
-    """JSON with the criterion, the record (long values cut) and the context."""
-    shown = F.struct(*[
-        ellipsize(F.coalesce(value.cast("string"), F.lit("")), LONGEST_VALUE).alias(label)
-        for label, value in record.items()
-    ])
+
+def payload(
+    criterion: str, record: Mapping[str, Column], context: str = "", *, longest_value: int | None = None
+) -> Column:
+    """JSON with the criterion, the record and the context; values are whole unless `longest_value` cuts them."""
+
+    def shown_value(value: Column) -> Column:
+        whole = F.coalesce(value.cast("string"), F.lit(""))
+        return whole if longest_value is None else ellipsize(whole, longest_value)
+
+    shown = F.struct(*[shown_value(value).alias(label) for label, value in record.items()])
     parts = [F.lit(criterion).alias("criterion"), shown.alias("record")]
     if context:
         parts.append(F.lit(context).alias("context"))
@@ -93,30 +97,39 @@ def _read_verdict(given: Column) -> Column:
     )
 
 
-# How a fix is found in a response text.
-EXPLANATION_PATTERN = r"(?is)EXPLANATION:\s*(.+?)(?:\n|```)"
-SQL_BLOCK_PATTERN = r"(?is)```sql\s*\n(.*?)```"
-STATEMENT_STARTS = ("SELECT", "WITH", "CREATE", "INSERT")
+# The fence a query comes in, and the word before its explanation.
+FENCE = "```"
+EXPLANATION = "explanation:"
 
 
 def parse_fix(response: Column) -> Column:
     """Struct of the SQL in a response and the explanation given with it.
 
-    The SQL is the fenced block, else the lines that start like a statement,
-    else the whole response.
+    Fences cut a response into text and blocks by turns. The SQL is the first block
+    marked as sql, else the lines of the text that a query can begin with, else
+    everything. The explanation is what follows its mark on the same line.
     """
-    block = F.regexp_extract(response, SQL_BLOCK_PATTERN, 1)
-    has_block = response.rlike(SQL_BLOCK_PATTERN)
-
-    def like_statement(line: Column) -> Column:
-        return line.rlike(rf"(?i)^\s*(?:{'|'.join(STATEMENT_STARTS)})")
-
-    lines = F.filter(F.split(response, "\n"), like_statement)
-    sql = F.when(has_block, _stripped(block)).when(F.size(lines) > 0, F.array_join(lines, "\n"))
-    return F.struct(
-        sql.otherwise(response).alias("sql"),
-        _stripped(F.regexp_extract(response, EXPLANATION_PATTERN, 1)).alias("explanation"),
-    )
+    # A null response stays null in both fields.
+    return let(F.struct(response.alias("whole"), F.split(response, FENCE, -1).alias("parts")), _read_fix)
+
+
+def _read_fix(given: Column) -> Column:
+    whole, parts = given["whole"], given["parts"]
+    # Every second part is inside a fence, if the fence is closed again.
+    blocks = F.filter(parts, lambda p, i: (i % 2 == 1) & (i < F.size(parts) - 1) & F.lower(p).rlike(r"^sql\s*\n"))
+    inside = F.regexp_replace(F.get(blocks, F.lit(0)), r"^[^\n]*\n", "")
+    begins = F.filter(F.split(whole, "\n"), _begins_a_query)
+    sql = F.coalesce(_stripped(inside), F.when(F.size(begins) > 0, F.array_join(begins, "\n")), whole)
+    told = F.filter(F.split(whole, "\n"), lambda line: F.lower(line).contains(EXPLANATION))
+    first = F.get(told, F.lit(0))
+    after = F.substr(first, F.locate(EXPLANATION, F.lower(first)) + F.lit(len(EXPLANATION)))
+    explanation = F.substring_index(after, FENCE, 1)
+    return F.struct(sql.alias("sql"), F.when(whole.isNotNull(), F.coalesce(_stripped(explanation), F.lit(""))).alias("explanation"))
+
+
+def _begins_a_query(line: Column) -> Column:
+    word = F.upper(F.regexp_extract(line, r"^\s*([A-Za-z]+)", 1))
+    return word.isin("SELECT", "WITH", "CREATE", "INSERT")
 
 
 def _stripped(text: Column) -> Column:

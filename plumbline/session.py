@@ -36,18 +36,10 @@ def ship_package(spark: SparkSession, package: Path) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach: `spark.checkpoint.dir`, or a local one on local[*] only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """Folder all executors reach: `spark.checkpoint.dir`, else the session's checkpoint folder, else one in the
+    warehouse, which executors share by its nature."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plumbline-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -24,13 +24,15 @@ NODE = (
 
 def scan_run_results(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
     """One row per test result, from documents that are files or lines."""
-    documents = spark.read.schema(RESULTS).option("multiLine", multiline).json(path)
+    # A broken document is an error: read as nulls it would pass for "no failures".
+    documents = spark.read.schema(RESULTS).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
     return documents.select(F.inline("results"))
 
 
 def scan_manifest(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
     """One row per manifest node: `unique_id` and the fields the scans need."""
-    documents = spark.read.schema(f"nodes map<string, {NODE}>").option("multiLine", multiline).json(path)
+    reader = spark.read.schema(f"nodes map<string, {NODE}>").option("multiLine", multiline).option("mode", "FAILFAST")
+    documents = reader.json(path)
     return documents.select(F.explode("nodes").alias("unique_id", "_n")).select("unique_id", "_n.*")
 
 
@@ -70,15 +72,23 @@ def scan_failing_tests(spark: SparkSession, project: str) -> DataFrame:
     folder = project.rstrip("/")
     try:
         results = scan_run_results(spark, f"{folder}/{RUN_RESULTS}")
-    except AnalysisException:
+    except AnalysisException as problem:
+        _only_if_missing(problem)
         results = spark.createDataFrame([], RESULTS).select(F.inline("results"))
     return failing_tests(results, _manifest_or_none(spark, folder))
 
 
+def _only_if_missing(problem: AnalysisException) -> None:
+    """What has not been written yet reads as empty; any other error is one."""
+    if problem.getCondition() != "PATH_NOT_FOUND":
+        raise problem
+
+
 def _manifest_or_none(spark: SparkSession, folder: str) -> DataFrame:
     try:
         return scan_manifest(spark, f"{folder}/{MANIFEST}")
-    except AnalysisException:
+    except AnalysisException as problem:
+        _only_if_missing(problem)
         empty = spark.createDataFrame([], f"nodes map<string, {NODE}>")
         return empty.select(F.explode("nodes").alias("unique_id", "_n")).select("unique_id", "_n.*")
 
@@ -100,9 +110,10 @@ def model_sql(spark: SparkSession, project: str, model: str) -> DataFrame:
         files = (
             spark.read.option("pathGlobFilter", f"{model}.sql")
             .text(f"{folder}/target", wholetext=True, recursiveFileLookup=True)
-            .select(F.col("value").alias("sql")).limit(1)
+            .select(F.col("value").alias("sql"), F.input_file_name().alias("_file")).orderBy("_file").limit(1)
         )
-    except AnalysisException:
+    except AnalysisException as problem:
+        _only_if_missing(problem)
         files = known.limit(0)
     choices = known.select(F.lit(0).alias("_rank"), "sql").unionByName(
         files.select(F.lit(1).alias("_rank"), "sql")

@@ -95,7 +95,9 @@ class Store:
         partitions = T.StructType([T.StructField(BATCH, T.LongType()), T.StructField(DATE, T.DateType())])
         try:
             return self.spark.read.schema(T.StructType([*schema, *partitions])).parquet(self.path(table))
-        except AnalysisException:
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], T.StructType([*schema, *partitions]))
 
     def violations(self) -> DataFrame:

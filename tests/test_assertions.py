@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from plumbline.operators import assertions as A
 from plumbline.operators import sandbox
@@ -53,6 +54,12 @@ def test_missing_column_fails_with_minus_one(clean):
     assert "nope" in found["unique_nope"]["error"]
 
 
+def test_an_assertion_that_fails_while_it_runs_fails_alone(clean):
+    found = details(clean, A.RowAssertion(name="cast", broken=F.expr("CAST(concat('x', id) AS INT) > 0"), description="breaks"), A.not_null("id"))
+    assert [found[n]["failures"] for n in ("cast", "not_null_id")] == [-1, 0]
+    assert found["cast"]["error"]
+
+
 def test_no_assertions_pass(clean):
     (summary,) = rows(A.assertion_rollup(A.run_assertions(clean, [])))
     assert (summary["passed"], summary["tests_run"]) == (True, 0)
@@ -90,6 +97,12 @@ def test_good_and_bad_fix(box):
     assert outcome(box, "SELECT * FROM VALUES (1, 10.0), (2, 20.0) AS t(id, amount)")[0]["passed"]
 
 
+def test_a_fix_that_fails_while_it_runs_did_not_run(box):
+    summary, (only,) = outcome(box, "SELECT id, CAST(concat('x', id) AS INT) AS amount FROM orders")
+    assert not summary["passed"]
+    assert (only["name"], only["failures"]) == (sandbox.EXECUTION, A.COULD_NOT_RUN)
+
+
 @pytest.mark.parametrize("sql", [
     "SELECT nope FROM orders",
     "SELEC 1",

@@ -33,15 +33,25 @@ def test_an_ancestor_precedes_everything_built_from_it(spark, depth):
     assert walk(spark, [("a", "t"), ("a", "b"), ("b", "c"), ("c", "t")], "t", max_depth=depth) == ["a", "b", "c"]
 
 
-def test_depth_is_bounded_unless_asked_otherwise(spark):
+def test_all_ancestors_are_found_unless_a_depth_is_given(spark):
     long = [(str(i), str(i + 1)) for i in range(6)]
-    assert walk(spark, long, "6") == ["3", "4", "5"]
-    assert walk(spark, long, "6", max_depth=None) == [str(i) for i in range(6)]
+    assert walk(spark, long, "6") == [str(i) for i in range(6)]
+    assert walk(spark, long, "6", max_depth=3) == ["3", "4", "5"]
 
 
-def test_cycles_end(spark):
-    found = walk(spark, [("a", "b"), ("b", "a"), ("a", "t")], "t", max_depth=None)
-    assert sorted(found) == ["a", "b"]
+def depths(spark, pairs, root):
+    found = lineage.upstream(edges(spark, *pairs), spark.createDataFrame([(root,)], "root string"))
+    return {r["table"]: r["depth"] for r in rows(found)}
+
+
+def test_a_cycle_is_one_place(spark):
+    """a and b feed each other, one hop from t; c, d, e lie behind each other and further away."""
+    pairs = [("a", "b"), ("b", "a"), ("a", "t"), ("c", "b"), ("d", "c"), ("e", "d"), ("d", "t")]
+    assert depths(spark, pairs, "t") == {"a": 1, "b": 1, "c": 2, "d": 3, "e": 4}
+
+
+def test_a_cycle_through_the_root(spark):
+    assert depths(spark, [("t", "a"), ("a", "t"), ("b", "a")], "t") == {"a": 1, "b": 2}
 
 
 def frames(spark, raw_nulls, staged_nulls):

@@ -6,13 +6,13 @@ from plumbline.functions.values import java_pattern
 from plumbline.rules import RuleError, RuleSet
 
 YAML = """
-topic: gps
+topic: lines
 rules:
-  - {name: valid_latitude, type: range, column: latitude, min: -90.0, max: 90.0, severity: critical}
-  - {name: device_id_not_null, type: not_null, column: device_id}
-  - {name: iso_time, type: regex, column: timestamp, pattern: '^\\d{4}-\\d{2}-\\d{2}T'}
-  - {name: speed_gaps, type: null_rate, column: speed, threshold: 0.2, window_size: 20}
-  - {name: speed_jump, type: statistical, column: speed}
+  - {name: tax_share, type: range, column: l_tax, min: 0.0, max: 0.08, severity: critical}
+  - {name: status_given, type: not_null, column: l_linestatus}
+  - {name: mode_word, type: regex, column: l_shipmode, pattern: '^[A-Z ]+$'}
+  - {name: price_gaps, type: null_rate, column: l_extendedprice, threshold: 0.3, window_size: 40}
+  - {name: price_jump, type: statistical, column: l_extendedprice}
 """
 
 
