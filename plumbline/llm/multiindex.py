@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.llm.common import kept
-from plumbline.session import prepare
+from plumbline.session import prepare, shuffle_width
 
 
 @dataclass(frozen=True)
@@ -241,7 +241,9 @@ def nearest(vectors: DataFrame, queries: Column, s: Settings = SETTINGS) -> Data
 
     asked = vectors.where(queries).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
     asked = kept(asked.join(rows.select("vector", "key", "mark"), "vector").select("query_id", "key", "mark", "vector").distinct(), "asked")
-    probes = asked.select("key", "mark", "vector").distinct().mapInPandas(route, "place long, key long, mark long, vector array<double>, cells array<long>")
+    # Walking costs far more than its input's bytes say, so the queries are dealt to a stated number of tasks.
+    dealt = asked.select("key", "mark", "vector").distinct().repartition(max(shuffle_width(spark), n // 100_000), "key", "mark")
+    probes = dealt.mapInPandas(route, "place long, key long, mark long, vector array<double>, cells array<long>")
     own = placed.select(place("cell", "mark").alias("place"), F.lit(True).alias("entry"), "vector", "key", "mark", "ids", F.array("cell").alias("cells"))
     both = own.unionAll(probes.select("place", F.lit(False).alias("entry"), "vector", "key", "mark", F.array().cast("array<long>").alias("ids"), "cells"))
     both = both.repartition("place").sortWithinPartitions("place", F.col("entry").desc())
