@@ -508,6 +508,19 @@ def v9(spark, folder):
     return events.select("event_id", verdicts.parse_fix(F.col("response")).alias("f")).select("event_id", "f.*")
 
 
+@CATALOG.add("v4_word_drift", """WITH words AS (
+    SELECT lang, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents),
+  counted AS (SELECT lang, word, COUNT(*)::DOUBLE AS n FROM words GROUP BY ALL),
+  norms AS (SELECT lang, SUM(n * n) AS squares FROM counted GROUP BY lang),
+  dots AS (SELECT a.lang, SUM(a.n * b.n) AS dot FROM counted a JOIN counted b ON a.word = b.word AND b.lang = 'en' GROUP BY a.lang)
+  SELECT n.lang, 1 - COALESCE(dot, 0) / SQRT(n.squares * e.squares) AS drift FROM norms n LEFT JOIN dots USING (lang)
+  JOIN norms e ON e.lang = 'en'""")
+def v4_words(spark, folder):
+    """Languages as batches: how far each one's word frequencies are from the English ones."""
+    found = drift.word_frequencies(table(spark, folder, "documents"), "text", ["lang"])
+    return drift.word_drift(found, found.where("lang = 'en'").drop("lang"), ["lang"])
+
+
 @CATALOG.add("v4_text_drift")
 def v4_text(spark, folder):
     """Languages as batches: each language's hashed words against the English ones. No SQL twin: word hashing."""

@@ -157,3 +157,21 @@ def nearest_label(df: DataFrame, embedding: str, centres: DataFrame, label: str)
     return scored.select(
         *df.columns, F.col("_best.label").alias("predicted"), F.col("_best.closeness").alias("closeness")
     )
+
+
+def word_frequencies(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
+    """How often each word occurs in each batch: sparse, one row per word that does."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = df.select(*by, F.explode(found).alias("word"))
+    return words.groupBy(*by, "word").agg(F.count(F.lit(1)).cast("double").alias("frequency"))
+
+
+def word_drift(batches: DataFrame, baseline: DataFrame, by: Sequence[str]) -> DataFrame:
+    """1 - cosine of each batch's word frequencies to those of a baseline, by a join on the word."""
+    known = baseline.select("word", F.col("frequency").alias("_known"))
+    own = batches.join(known, "word", "left").groupBy(*by).agg(
+        F.sum(F.col("frequency") * F.col("frequency")).alias("_squares"),
+        F.coalesce(F.sum(F.col("frequency") * F.col("_known")), F.lit(0.0)).alias("_dot"),
+    )
+    length = known.agg(F.sum(F.col("_known") * F.col("_known"))).scalar()
+    return own.select(*by, (F.lit(1) - F.col("_dot") / F.sqrt(F.col("_squares") * length)).alias("drift"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.baseline import z_scores
 
+# Intervals filled in from one array.
+STRETCH = 10_000
+
 
 def volume_series(df: DataFrame, time_column: str, interval_seconds: int, topic: Column) -> DataFrame:
     """(topic, interval, records) without holes: intervals nothing arrived in count 0.
@@ -20,7 +23,10 @@ def volume_series(df: DataFrame, time_column: str, interval_seconds: int, topic:
         F.count(F.lit(1)).alias("records")
     )
     spans = counted.groupBy("topic").agg(F.min("interval").alias("_a"), F.max("interval").alias("_b"))
-    every = spans.select("topic", F.explode(F.sequence("_a", "_b")).alias("interval"))
+    # In stretches, so that no array holds the whole time axis.
+    starts = spans.select("topic", "_b", F.explode(F.sequence("_a", "_b", F.lit(STRETCH).cast("long"))).alias("_from"))
+    ends = F.least(F.col("_b"), F.col("_from") + (STRETCH - 1))
+    every = starts.select("topic", F.explode(F.sequence(F.col("_from"), ends)).alias("interval"))
     return every.join(counted, ["topic", "interval"], "left").fillna(0, ["records"])
 
 

@@ -12,12 +12,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.values import column_or_null
+from plumbline.operators.firsts import first_rows
 from plumbline.operators import baseline, ordered, rowchecks
 from plumbline.rules import NullRateRule, RuleSet, StatisticalRule
 from plumbline.schemas import VIOLATION
@@ -164,11 +165,8 @@ class LookBack:
             whole, F.col("_null"), rule.window_size, order=by, keys=self.keys,
             rows_per_task=self.rows_per_task,
         )
-        backwards = whole.withColumn("_back", F.struct(*by))
-        latest_first = Window.partitionBy(*self.keys).orderBy(F.col("_back").desc())
-        tail = backwards.withColumn("_rank", F.row_number().over(latest_first)).where(
-            F.col("_rank") < rule.window_size
-        )
+        latest_first = [F.col(c).desc() for c in by]
+        tail = first_rows(whole, self.keys, latest_first, rule.window_size - 1, spread=list(by))
         table.after(batch_id, before, tail)
         return ordered.rate_violations(
             rated.where(~F.col(IS_CARRIED)), self.rules.topic, rule

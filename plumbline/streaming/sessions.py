@@ -80,6 +80,14 @@ def flush_open(found: DataFrame, closed: DataFrame, *, gap_seconds: float = GAP_
     return whole.join(closed.select("incident_id"), "incident_id", "left_anti").drop("sample_violations")
 
 
+def flush_timeline(found: DataFrame, closed: DataFrame, *, interval: str = "1 minute") -> DataFrame:
+    """Intervals the stream has not given out at the end of input: those after the last one it has."""
+    last = closed.agg(F.max("minute")).first()[0]
+    rows = found if last is None else found.where(F.col("timestamp") > F.lit(last) + F.expr(f"INTERVAL {interval}") - F.expr("INTERVAL 1 MICROSECOND"))
+    counted = rows.groupBy(F.window("timestamp", interval), "severity").agg(F.count(F.lit(1)).alias("violations"))
+    return counted.select(F.col("window.start").alias("minute"), "severity", "violations")
+
+
 def stream_timeline(found: DataFrame, *, interval: str = "1 minute", lateness: str = "0 seconds") -> DataFrame:
     """Violations per tumbling interval and severity, once the watermark has passed it."""
     counted = found.withWatermark("timestamp", lateness).groupBy(
