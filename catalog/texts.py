@@ -453,6 +453,28 @@ def v7(spark, folder):
     return read.select("record_index", "v.passed", "v.confidence")
 
 
+def _strict_judge(payloads: pd.Series) -> pd.Series:
+    """The stand-in again, but answering in prose where a text has a multiple of seven characters."""
+    lengths = payloads.map(lambda p: len(json.loads(p)["record"]["text"]))
+    return _judge(payloads).where(lengths % 7 != 0, "let me think about it")
+
+
+@CATALOG.add("v8_suite_with_judge", """WITH judged AS (
+    SELECT doc_id, LENGTH(text) % 7 = 0 AS error, LENGTH(text) % 7 = 0 OR LENGTH(text) <= 250 AS ok FROM documents)
+  SELECT COUNT(*) AS total_records, SUM(ok::INT)::BIGINT AS passed_records, SUM((NOT ok)::INT)::BIGINT AS failed_records,
+    SUM(error::INT)::VARCHAR AS judge_errors, SUM((NOT ok)::INT)::BIGINT AS verdicts,
+    MIN(CASE WHEN NOT ok THEN doc_id END) AS first_failing FROM judged""")
+def v8_judge(spark, folder):
+    """A suite whose verdicts come from outside: whole texts as payloads, unreadable answers counted."""
+    suite = suites.Suite("judged").add(expectations.FactualConsistency("text", "source", context="invented prose"))
+    run = suite.run(table(spark, folder, "documents"), index="doc_id", judge=_strict_judge, failures_kept=None)
+    failing = run.verdicts.agg(F.count(F.lit(1)).alias("verdicts"), F.min("record_index").alias("first_failing"))
+    counted = run.results.select(
+        "total_records", "passed_records", "failed_records", F.col("metadata")["judge_errors"].alias("judge_errors")
+    )
+    return counted.withColumns({c: failing.select(c).scalar() for c in ("verdicts", "first_failing")})
+
+
 RESPONSES = """responses AS (SELECT event_id, CASE event_id % 8
     WHEN 0 THEN '{"passed": true, "confidence": 0.9, "reason": "ok", "evidence": {"k": 1}}'
     WHEN 1 THEN '{"passed": false, "reason": "bad"}'
