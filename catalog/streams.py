@@ -129,6 +129,30 @@ def t3_keyed(spark, folder):
     return _checked(spark, folder, only, keys=["user_id"]).violations().select("record_id", "z_score")
 
 
+@CATALOG.add("t6_json_stream_job", f"""WITH RECURSIVE {ALL_FOUND}
+  SELECT rule_name, record_id, COUNT(*) AS messages FROM every_found GROUP BY ALL""")
+def t6_json(spark, folder):
+    """JSON lines, some of them broken, decoded, checked by all rules, stored and published as messages."""
+    rows, path, sent = feed(spark, folder), scratch_path(spark, "json-feed"), scratch_path(spark, "messages")
+    part = F.floor(F.col("event_id") * FILES / (rows.agg(F.max("event_id")).first()[0] + 1))
+    whole = F.to_json(F.struct(*rows.columns))
+    # Every 50th record is sent a second time, cut short.
+    lines = F.explode(F.when(F.col("event_id") % 50 == 0, F.array(whole, F.substring(whole, 1, 25))).otherwise(F.array(whole)))
+    for i in range(FILES):
+        rows.where(part == i).select(lines.alias("value")).coalesce(1).write.mode("append").text(path)
+    stream = source.file_source(spark, path, "value string", format="text", files_per_batch=1)
+    records, _ = source.decode(stream.withColumnRenamed("value", "raw"), rows.schema, typed=["event_id", "ts"])
+    with state_per_core(spark):
+        checks.run_checks(
+            records, rule_set(NULL_RATE, STATISTICAL), new_store(spark), scratch_path(spark, "checks"),
+            order=["event_id"], time_column="ts",
+            messages=lambda found, batch: found.write.mode("overwrite").parquet(f"{sent}/batch={batch}"),
+        ).awaitTermination()
+    read = F.from_json("value", "array<struct<rule_name string, record_id string>>")
+    each = spark.read.schema("key string, value string").parquet(sent).select(F.inline(read))
+    return each.groupBy("rule_name", "record_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
 @CATALOG.add("t6_stream_job", f"""WITH RECURSIVE {ALL_FOUND}
   SELECT rule_name, severity, COALESCE(value, '') AS value, record_id FROM every_found""")
 def t6(spark, folder):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,16 +41,23 @@ def is_record(raw: Column) -> Column:
     return F.coalesce(kind.startswith("OBJECT<"), F.lit(False))
 
 
-def decode(raw: DataFrame, schema: T.StructType, raw_column: str = "raw") -> tuple[DataFrame, DataFrame]:
+def decode(
+    raw: DataFrame, schema: T.StructType, raw_column: str = "raw", *, typed: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(records, malformed) of a frame of JSON texts.
 
     Every field of `schema` is read as text: a field that does not fit its type
-    has to reach the rules as it is, not as null.
+    has to reach the rules as it is, not as null. Fields that only order or key records,
+    `typed`, get their type instead: as text, 10 would come before 9.
     """
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     kept = [c for c in raw.columns if c != raw_column]
     ok = is_record(F.col(raw_column))
-    records = raw.where(ok).select(*kept, F.from_json(raw_column, as_text).alias("_r")).select(*kept, "_r.*")
+    fields = [
+        (F.col(f"_r.`{f.name}`").try_cast(f.dataType) if f.name in typed else F.col(f"_r.`{f.name}`")).alias(f.name)
+        for f in schema
+    ]
+    records = raw.where(ok).select(*kept, F.from_json(raw_column, as_text).alias("_r")).select(*kept, *fields)
     return records, raw.where(~ok)
 
 
