@@ -9,7 +9,7 @@ from catalog.frames import table
 from plumbline.operators import assertions as A
 from plumbline.operators import incidents, lineage, ordered, profile, reports, sandbox
 from plumbline.session import scratch_path
-from plumbline.sources import tables
+from plumbline.sources import dbt, tables
 
 
 def damaged_orders(spark, folder):
@@ -214,6 +214,42 @@ def x6(spark, folder):
     return A.run_assertions(damaged_orders(spark, folder), checks).select("name", "failures")
 
 
+@CATALOG.add("x6_assertions_of_a_run", f"""{ASSERTED} SELECT name, failures FROM checks
+  WHERE name IN ('not_null_o_custkey', 'accepted_values_o_orderstatus')""")
+def x6_run(spark, folder):
+    """Failing tests read from a run's artifacts become the assertions a fix has to meet.
+
+    The accepted values in the manifest are those of the undamaged table.
+    """
+    values = table(spark, folder, "orders").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("v"))
+
+    def node(kind, column, accepted):
+        return F.struct(
+            F.lit(f"{kind}_{column}").alias("name"), F.lit("test").alias("resource_type"),
+            F.struct(F.lit(kind).alias("name"), F.struct(accepted.alias("values")).alias("kwargs")).alias("test_metadata"),
+            F.lit("model.orders").alias("attached_node"), F.lit(column).alias("column_name"),
+        )
+
+    none = F.lit(None).cast("array<string>")
+    nodes = values.select(F.create_map(
+        F.lit("test.1"), node("not_null", "o_custkey", none),
+        F.lit("test.2"), node("accepted_values", "o_orderstatus", F.col("v")),
+        F.lit("test.3"), node("unique", "o_orderkey", none),
+    ).alias("nodes"))
+    results = values.select(F.array(*[
+        F.struct(F.lit(f"test.{i}").alias("unique_id"), F.lit(status).alias("status"))
+        for i, status in ((1, "fail"), (2, "error"), (3, "pass"))
+    ]).alias("results"))
+    paths = scratch_path(spark, "run"), scratch_path(spark, "manifest")
+    results.select(F.to_json(F.struct("results"))).write.text(paths[0])
+    nodes.select(F.to_json(F.struct("nodes"))).write.text(paths[1])
+    failing = dbt.failing_tests(
+        dbt.scan_run_results(spark, paths[0], multiline=False), dbt.scan_manifest(spark, paths[1], multiline=False)
+    )
+    checks = A.assertions_of_model(failing, "model.orders")
+    return A.run_assertions(damaged_orders(spark, folder), checks).select("name", "failures")
+
+
 @CATALOG.add("x7_assert_not_null", f"""WITH {DAMAGED} SELECT row_id FROM damaged WHERE o_custkey IS NULL""")
 def x7(spark, folder):
     return damaged_orders(spark, folder).where(A.not_null("o_custkey").broken).select("row_id")

@@ -218,3 +218,9 @@ def derive_assertions(failing_tests: Sequence[Mapping[str, Any]]) -> list[Assert
         elif kind == "relationships":
             derived.append(row_count_positive())
     return derived or [row_count_positive()]
+
+
+def assertions_of_model(failing: DataFrame, model: str) -> list[Assertion]:
+    """The same from the failing tests of a run (see `sources.dbt`), those of one model: as many as it has tests."""
+    of_model = failing.where(F.col("model") == model).select("test_type", "column_name", "accepted_values")
+    return derive_assertions([r.asDict() for r in of_model.distinct().orderBy("test_type", "column_name").collect()])
