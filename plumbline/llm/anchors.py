@@ -112,14 +112,14 @@ def _moves(width: int, reach: int, syndromes: np.ndarray) -> list[np.ndarray]:
 
 
 def _anchored(prints: DataFrame, homes_only: bool) -> DataFrame:
-    """(fp, family, node) -> (anchor, home, fp, node): one home in each segment and, unless only homes are wanted, the copies."""
+    """(fp, family, node, root) -> (anchor, home, fp, node, root): one home in each segment and, unless only homes are wanted, the copies."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         syndromes = _syndromes()
         moves = [_moves(width, REACH, syndromes) for _, width in SEGMENTS]
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
-                fp, family, node = (batch.column(i).to_numpy()[start : start + 4096] for i in range(3))
+                fp, family, node, root = (batch.column(i).to_numpy()[start : start + 4096] for i in range(4))
                 for k, (low, width) in enumerate(SEGMENTS):
                     part = (fp >> low) & ((1 << width) - 1)
                     syndrome = syndromes[part & 0x7FFF]
@@ -131,10 +131,11 @@ def _anchored(prints: DataFrame, homes_only: bool) -> DataFrame:
                         found.append((near, np.zeros(len(near), bool), np.repeat(at, len(moves[k][s]))))
                     anchor, is_home, who = (np.concatenate(x) for x in zip(*found, strict=True))
                     anchor = anchor | k << 32 | family[who].astype(np.int64) << 34
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(is_home), pa.array(fp[who]), pa.array(node[who])],
-                                                     names=["anchor", "home", "fp", "node"])
+                    columns = (anchor, is_home, fp[who], node[who], root[who])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "home", "fp", "node", "root"])
 
-    return prints.select("fp", "family", "node").mapInArrow(assign, "anchor long, home boolean, fp long, node long")
+    schema = "anchor long, home boolean, fp long, node long, root long"
+    return prints.select("fp", "family", "node", "root").mapInArrow(assign, schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +160,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compare(alike: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (anchor, part, homes first) -> forests of the links between homes and copies."""
-        homes = [np.empty(0, dtype=np.int64)] * 3
+        homes = [np.empty(0, dtype=np.int64)] * 4
         for batch in batches:
-            key, is_home, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            key, is_home, fp, node, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(key):
                 continue
-            homes = [np.concatenate([h, x[is_home]]) for h, x in zip(homes, (key, fp, node), strict=True)]
+            homes = [np.concatenate([h, x[is_home]]) for h, x in zip(homes, (key, fp, node, root), strict=True)]
             group, sizes = np.unique(homes[0], return_counts=True)
             starts = np.cumsum(sizes) - sizes
-            copy_key, copy_fp, copy_node = key[~is_home], fp[~is_home], node[~is_home]
+            copy_key, copy_fp, copy_node, copy_root = (x[~is_home] for x in (key, fp, node, root))
             if len(group) and len(copy_key):
                 where = np.minimum(np.searchsorted(group, copy_key), len(group) - 1)
                 count = np.where(group[where] == copy_key, sizes[where], 0)
@@ -178,10 +179,10 @@ def _compare(alike: int):
                     mine = np.repeat(np.arange(i, j), n)
                     theirs = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[i:j], n)
                     near = np.flatnonzero(np.bitwise_count((homes[1][theirs] ^ copy_fp[mine]).view(np.uint64)) <= BITS)
-                    x, y = homes[2][theirs[near]], copy_node[mine[near]]
-                    near = (np.bitwise_count((x ^ y).view(np.uint64)) <= alike) & (x != y)
-                    if near.any():
-                        a, b = forest(x[near], y[near])
+                    apart = homes[3][theirs[near]] != copy_root[mine[near]]
+                    near = near[apart & (np.bitwise_count((homes[2][theirs[near]] ^ copy_node[mine[near]]).view(np.uint64)) <= alike)]
+                    if len(near):
+                        a, b = forest(homes[3][theirs[near]], copy_root[mine[near]])
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                     i = j
             last = homes[0] == key[-1]
@@ -191,8 +192,8 @@ def _compare(alike: int):
 
 
 def linked(prints: DataFrame, homes_per_part: int = HOMES, alike: int = 64) -> DataFrame:
-    """Distinct (fp, family, node) -> links (a, b) of nodes, with the same components as all links between rows of
-    a family at 4 or fewer differing bits whose nodes differ in at most `alike` bits."""
+    """Distinct (fp, family, node, root) -> links (a, b) of roots, with the same components as all links between rows
+    of a family at 4 or fewer differing bits whose nodes differ in at most `alike` bits."""
     crowded = _anchored(prints, True).groupBy("anchor").count().where(F.col("count") > homes_per_part)
     crowded = kept(crowded.select("anchor", F.ceil(F.col("count") / homes_per_part).cast("int").alias("parts")), "crowded")
     rows, hot = _anchored(prints, False), crowded.count()
@@ -203,15 +204,25 @@ def linked(prints: DataFrame, homes_per_part: int = HOMES, alike: int = 64) -> D
         rows = rows.withColumn("part", F.explode(F.when(F.col("home"), one).otherwise(every)))
     else:
         rows = rows.withColumn("part", F.lit(0))
-    rows = rows.select(((F.col("part").cast("long") * (1 << 40)) + F.col("anchor")).alias("key"), "home", "fp", "node")
+    rows = rows.select(((F.col("part").cast("long") * (1 << 40)) + F.col("anchor")).alias("key"), "home", "fp", "node", "root")
     rows = rows.repartition("key").sortWithinPartitions("key", F.col("home").desc())
     return rows.mapInArrow(_compare(alike), "a long, b long").distinct()
 
 
 def grouped(prints: DataFrame, homes_per_part: int = HOMES, alike: int = 64) -> DataFrame:
-    """Distinct (fp, family, node) -> (node, root): all nodes, equal roots for linked ones."""
-    roots = components(linked(prints, homes_per_part, alike))
-    return prints.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    """Distinct (fp, family, node) -> (node, root): all nodes, equal roots for linked ones.
+
+    The first family is linked by itself; the others only add what it has not joined, so a large group of similar
+    texts is not linked anew at every anchor of every family.
+    """
+    roots = components(linked(prints.where("family = 0").withColumn("root", F.col("node")), homes_per_part, alike))
+    first = prints.select("node").distinct().join(roots, "node", "left")
+    first = kept(first.select("node", F.coalesce("root", "node").alias("root")), "first-family")
+    if prints.where("family > 0").isEmpty():
+        return first
+    more = components(linked(prints.where("family > 0").join(first, "node"), homes_per_part, alike))
+    more = more.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return first.join(more, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
 
 
 def _printed(docs: DataFrame, n: int, families: int) -> DataFrame:
