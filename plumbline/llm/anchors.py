@@ -3,8 +3,8 @@
 A fingerprint has 64 bits, cut into three segments. Two fingerprints with at most four differing bits differ in at
 most one bit of one segment. In each segment the anchors are the words whose 15 low bits form a Hamming codeword
 (the other bits are free): every word lies within one bit of an anchor, the covering radius. A fingerprint is at home
-at its nearest anchor and is copied to every anchor within radius plus one bit, so two linked fingerprints meet at
-the home of each. At an anchor, homes are compared with copies; what comes out is a spanning forest of the links
+at its nearest anchor and is copied to every anchor within radius plus one bit that is not below its home, so two
+linked fingerprints meet at the higher of their homes. At an anchor, homes are compared with copies; what comes out is a spanning forest of the links
 found, never all pairs. Equal fingerprints are one node from the start.
 
 Anchors with many homes (one large group of near copies) are cut into parts of at most `HOMES` homes; the copies go
@@ -128,7 +128,10 @@ def _anchored(prints: DataFrame, homes_only: bool) -> DataFrame:
                     for s in range(0 if homes_only else 16):
                         at = np.flatnonzero(syndrome == s)
                         near = (part[at][:, None] ^ moves[k][s][None, :]).ravel()
-                        found.append((near, np.zeros(len(near), bool), np.repeat(at, len(moves[k][s]))))
+                        whose = np.repeat(at, len(moves[k][s]))
+                        # Of two linked words the one with the lower home goes to the home of the other.
+                        ahead = near >= home[whose]
+                        found.append((near[ahead], np.zeros(int(ahead.sum()), bool), whose[ahead]))
                     anchor, is_home, who = (np.concatenate(x) for x in zip(*found, strict=True))
                     anchor = anchor | k << 32 | family[who].astype(np.int64) << 34
                     columns = (anchor, is_home, fp[who], node[who], root[who])
