@@ -7,7 +7,8 @@ an item lies whole in one. Bounds prune in the order of block-max WAND: an item'
 themselves, so only its other postings are summed for all passages at once, and a passage goes on if some item's sum
 plus its cheap rest could reach 1; its blocks of items are opened if the block maxima sum to 1; the postings of open
 blocks are summed exactly. Every item at or above the threshold is then verified: at least `overlap` of the five-word
-shingles of its question and of the words of its answer (what follows an answer mark, else its last sentence).
+shingles of its question and of the words of its answer (what follows an answer mark, else its last sentence). An
+item without an answer mark is also verified by as many of the five-word shingles of its whole text.
 
 Documents are scanned once per shard of items and never shuffled. A shard holds at most `shard_chars` characters of
 items; it is collected and broadcast, and that is its size bound. Document frequencies are those of all items.
@@ -96,7 +97,8 @@ class Index:
                 triples.append((self.vocabulary.setdefault(t, len(self.vocabulary)), len(self.ids), weight, not cheap))
             question, answer = question_answer(text)
             self.ids.append(item_id)
-            self.texts.append((shingles(terms(question.encode()), rule.shingle), set(terms(answer.encode()))))
+            whole = set() if _ANSWER.search(text) else shingles(found, rule.shingle)
+            self.texts.append((shingles(terms(question.encode()), rule.shingle), set(terms(answer.encode())), whole))
             rest.append(spare)
             self.longest = max(self.longest, len(found))
         triples.sort(key=lambda x: x[:2])
@@ -182,15 +184,23 @@ class Index:
     def _verify(self, passage: list[bytes], retrieved: list[tuple[int, float]], out: dict) -> None:
         runs, single = {}, set(passage)
         for i, score in retrieved:
-            question, answer = self.texts[i]
-            size = len(next(iter(question)).split()) if question else 0
-            if size not in runs:
-                runs[size] = shingles(passage, size) if size else set()
-            asked = len(question & runs[size]) / len(question) if question else 1.0
+            question, answer, whole = self.texts[i]
+            asked = self._share(question, passage, runs) if question else 1.0
             told = len(answer & single) / len(answer) if answer else 1.0
-            if min(asked, told) >= self.rule.overlap and score > out.get(i, (0.0,))[0]:
+            verified = min(asked, told) >= self.rule.overlap or self._share(whole, passage, runs) >= self.rule.overlap
+            if verified and score > out.get(i, (0.0,))[0]:
                 out[i] = (score, asked, told)
 
+    @staticmethod
+    def _share(wanted: set[bytes], passage: list[bytes], runs: dict[int, set[bytes]]) -> float:
+        """Share of shingles that a passage holds; its own are kept in `runs` by their number of words."""
+        if not wanted:
+            return 0.0
+        size = len(next(iter(wanted)).split())
+        if size not in runs:
+            runs[size] = shingles(passage, size)
+        return len(wanted & runs[size]) / len(wanted)
+
 
 def shards(items: DataFrame, rule: Rule = RULE) -> list[Index]:
     """The index, in shards of bounded size; statistics are those of all items."""

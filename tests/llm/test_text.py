@@ -162,3 +162,12 @@ def test_expectation_maximisation_finds_the_useless_labeler():
     assert ratio[0] > ratio[1] > ratio[2]
     assert personal.posterior(learned, (1, 1, 0)) > 0.8 and personal.posterior(learned, (-1, -1, 0)) < 0.2
     assert personal.maximise({}).chances == []
+
+
+def test_items_without_an_answer_mark_are_found_by_their_whole_text(spark):
+    item = "A farmer has twelve cows and buys seven more of them at the market in spring before the long dry summer begins again. How many now?"
+    docs = frame(spark, [(1, f"before {item} after"), (2, f"before {item.replace('many', 'few')} after"), (3, item.split("How")[0][:60])])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(docs, items).collect()} == {1, 2}
+    marked = spark.createDataFrame([(1, item.replace("How", "\nAnswer: How"))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(docs, marked).collect()} == {1}
