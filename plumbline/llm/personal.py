@@ -43,7 +43,7 @@ _AT, _DOT = r"(?:\x20?(?:\(at\)|\[at\])\x20?|@)", r"(?:\x20?(?:\(dot\)|\[dot\])\
 _SECRET = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?"
 CANDIDATE = "|".join((
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
-    rf"(?<![A-Za-z0-9]){_SECRET}[A-Za-z0-9+/_.-]{{6,64}}",
+    rf"(?<![A-Za-z0-9]){_SECRET}[A-Za-z0-9+/_.-]{{6,}}+",
     r"(?<![A-Za-z0-9.(+-])[+(]{0,2}[0-9]{1,19}(?:[\x20().+/-]{1,3}[0-9]{1,19}){0,7}(?![A-Za-z0-9])",
 ))
 _DOMAINS = r"(?i)(?:\.|dot[\])]?\x20?)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)$"

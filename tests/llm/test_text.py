@@ -171,3 +171,9 @@ def test_items_without_an_answer_mark_are_found_by_their_whole_text(spark):
     assert {r["doc_id"] for r in decontaminate.leaks(docs, items).collect()} == {1, 2}
     marked = spark.createDataFrame([(1, item.replace("How", "\nAnswer: How"))], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.leaks(docs, marked).collect()} == {1}
+
+
+def test_long_secrets_are_whole_candidates():
+    value = "aB3" * 50
+    pattern = personal.CANDIDATE.split("|(?<![A-Za-z0-9.(+-])")[0]
+    assert max(m.end() for m in re.finditer(pattern, f"token={value} and more")) == len(f"token={value}")
