@@ -5,7 +5,7 @@ are units of their own; all others share `GROUPS` units by their last character
 within its group comes from its count there. The model predicts the next unit: the vectors of the two units before,
 each scaled by a vector of its place, sum to a predicted vector, whose product with a unit's vector plus its bias is
 the unit's score. It is trained on all training texts: in every round each task starts from the same parameters and
-passes over its own texts by minibatches with shared noise (every `stride`-th position, another phase each round);
+passes over its own texts by minibatches with shared noise (every `rounds`-th position, the next phase each round, so all are read once);
 the tasks' parameters are averaged, weighted by positions, by a Spark aggregate. Batched matrix products over all
 pairs of units then give the normaliser of every context, so each token gets a normalised log-probability.
 
@@ -45,7 +45,6 @@ class Settings:
     width: int = 32
     noise: int = 64
     batch: int = 1024
-    stride: int = 6
     rounds: int = 2
     rate: float = 0.2
     seed: int = 42
@@ -182,8 +181,8 @@ class Trainer:
         self.positions += len(unit)
 
 
-def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int) -> np.ndarray:
-    """One pass of all tasks from the same parameters, averaged by Spark."""
+def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int, seen: list[int] | None = None) -> np.ndarray:
+    """One pass of all tasks from the same parameters, averaged by Spark; `seen` is given the number of positions."""
     start = texts.sparkSession.sparkContext.broadcast(p)
     names = ["at", "n", *[f"v{i}" for i in range(p.shape[1])]]
 
@@ -191,10 +190,10 @@ def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int) -> np.
         lexicon = held.value
         t, waiting, many = Trainer(start.value, lexicon.mass, s, s.seed + turn), [], 0
         for batch in batches:
-            for k, text in enumerate(batch.column(0)):
+            for text in batch.column(0):
                 _, unit, _ = lexicon.numbered(words(text.as_py()))
                 one, two = contexts(unit, lexicon.start)
-                at = np.arange((k + turn * s.stride // s.rounds) % s.stride, len(unit), s.stride)
+                at = np.arange(turn, len(unit), s.rounds)
                 waiting.append((one[at], two[at], unit[at]))
                 many += len(at)
                 if many >= s.batch:
@@ -213,6 +212,8 @@ def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int) -> np.
     out = p.copy()
     for row in total.collect():  # one row per row of parameters
         out[row["at"]] = np.array(row[2:]) / row["n"]
+        if seen is not None and row["at"] == 0:
+            seen.append(round(row["n"]))
     return out
 
 

@@ -160,3 +160,16 @@ def test_neighbours_recall_and_small_tables(spark):
     assert multiindex.nearest(few, F.lit(True)).count() == 6
     assert multiindex.nearest(vectors.limit(0), F.lit(True)).count() == 0
     assert multiindex.nearest(vectors.limit(1), F.lit(True)).count() == 0
+
+
+def test_language_model_trains_on_every_position_once(spark):
+    rows = [(i, " ".join(["a", "b", "c"] * (i % 5))) for i in range(40)]
+    texts = frame(spark, rows).select(F.col("text").cast("binary").alias("text"))
+    s = bilinear.Settings(units=4)
+    x = bilinear.lexicon(bilinear.counted(texts), s)
+    held, seen, p = spark.sparkContext.broadcast(x), [], x.initial(s)
+    for turn in range(s.rounds):
+        q = bilinear._round(texts.coalesce(1), held, p, s, turn, seen)
+        assert not np.array_equal(p, q)
+        p = q
+    assert sum(seen) == sum(len(t.split()) + 1 for _, t in rows)
