@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     anchors, bilinear, curriculum, decontaminate, linewindows, multiindex, personal, perspectives, quality, separators,
+    whitening,
 )
 from plumbline.session import prepare
 
@@ -145,3 +146,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, counted between separators in flat token files made from all documents."""
     return separators.token_counts(table(spark, folder, "documents"))
+
+
+@query("op11_shifted_cholesky_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector in up to 32 whitened coordinates, with its deviation and the spectrum."""
+    vectors = table(spark, folder, "embeddings")
+    found = whitening.fit(vectors)
+    return whitening.by_component(whitening.whitened(vectors, found), found)
