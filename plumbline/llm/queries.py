@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    anchors, bilinear, curriculum, decontaminate, linewindows, multiindex, personal, perspectives, quality, separators,
+    anchors, bilinear, blobs, curriculum, decontaminate, linewindows, multiindex, personal, perspectives, quality, separators,
     whitening,
 )
-from plumbline.session import prepare
+from plumbline.session import prepare, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,41 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     found = whitening.fit(vectors)
     return whitening.by_component(whitening.whitened(vectors, found), found)
+
+
+_ANY_CASE = "|".join("".join(c if c in "_?" else f"[{c.upper()}{c}]" for c in word)
+                     for word in ("password", "passwd", "secret", "token", "api_?key"))
+#: The rules as RE2 reads them: it has no look-behind, and its case folding goes beyond ASCII.
+_SECRETS_SQL = {"assign": ("(" + _ANY_CASE + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
+                **{r.name: r.pattern for r in blobs.RULES[len(blobs.BASE):]}}
+_LEAST_SQL = {"assign": "len(regexp_extract(span, '{0}', 2)) >= 12", "access": "len(span) >= 18", "hex": "len(span) >= 16"}
+
+
+def _rule_sql(number: int, name: str) -> str:
+    pattern = _SECRETS_SQL[name].replace("'", "''")
+    return f"""SELECT row, {number} AS number, '{name}' AS kind, {number} < {len(blobs.BASE)} AS base, last - length(span) AS first, last FROM (
+      SELECT row, span, sum(length(gap) + length(span)) OVER (PARTITION BY row ORDER BY i ROWS UNBOUNDED PRECEDING) AS last FROM (
+        SELECT row, generate_subscripts(gaps, 1) AS i, unnest(gaps) AS gap, unnest(list_append(spans, '')) AS span FROM (
+          SELECT row, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS spans FROM docs) a) b) c
+    WHERE span <> '' AND {_LEAST_SQL.get(name, 'true').format(pattern)}"""
+
+
+@query("op12_blob_ledger_secrets", f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_rule_sql(i, r.name) for i, r in enumerate(blobs.RULES))}),
+listed AS (SELECT row, {", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in blobs.BASE)},
+  string_agg(CASE WHEN base THEN concat_ws(':', kind, first::BIGINT, last::BIGINT) END, ',' ORDER BY first, number) AS base,
+  string_agg(concat_ws(':', kind, first::BIGINT, last::BIGINT), ',' ORDER BY first, number) AS spans FROM found GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.name}, 0)::BIGINT AS n_{r.name}" for r in blobs.BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN listed USING (row)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents, each a first version of its own path, through a ledger that starts empty."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
+    index, ledger = blobs.addressed(docs), scratch_path(spark, "ledger")
+    blobs.scan(docs, index, ledger)
+    rows = blobs.findings(index, blobs.read_ledger(spark, ledger))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.name for r in blobs.BASE]))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
+    return rows.select(F.col("path").alias("doc_id"), *[count(r.name).alias(f"n_{r.name}") for r in blobs.BASE],
+                       F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
