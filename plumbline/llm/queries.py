@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    anchors, bilinear, blobs, curriculum, decontaminate, linewindows, multiindex, personal, perspectives, quality, separators,
+    anchors, bilinear, blobs, curriculum, decontaminate, divergence, linewindows, multiindex, personal, perspectives, quality, separators,
     whitening,
 )
 from plumbline.session import prepare, scratch_path
@@ -192,3 +192,39 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
     return rows.select(F.col("path").alias("doc_id"), *[count(r.name).alias(f"n_{r.name}") for r in blobs.BASE],
                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op13_length_bucketed_divergence", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT doc, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM (
+    SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM docs) x),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM found GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+own AS (SELECT lang, source, term, c.n FROM counts c JOIN kept USING (lang, term)),
+totals AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN own o ON g.lang = o.lang AND g.source = o.source GROUP BY ALL),
+every AS (
+  SELECT t.lang, t.source, k.term, coalesce(o.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (t.total + l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN own o ON o.lang = t.lang AND o.source = t.source AND o.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM totals a
+  JOIN totals b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+marks AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM every WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM marks) x)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that mark each."""
+    return divergence.audited(table(spark, folder, "documents"))
