@@ -5,8 +5,8 @@ the next one's input. All stages but the last return the columns of `documents`.
 
 1. quality: documents that the classifier scores below 0.7 go; labels come from `labels`, held-out ids are not read.
 2. lines: repeated windows of three lines are cut out; a document none of whose lines is left goes.
-3. near_duplicates: of each group of documents linked by five-word shingles that are 80 % alike or more, by exact
-   Jaccard similarity, one stays; candidates come from SimHash anchors and MinHash bands.
+3. near_duplicates: of each group of documents whose fingerprints of four-word shingles are linked at four or fewer
+   of 64 bits, one stays.
 4. decontamination: documents that hold a benchmark item go.
 5. mix: sources are mixed to target weights over a curriculum; one row per copy taken, in training order.
 """
