@@ -10,11 +10,7 @@ found, never all pairs. Equal fingerprints are one node from the start.
 Anchors with many homes (one large group of near copies) are cut into parts of at most `HOMES` homes; the copies go
 to every part and are streamed past the homes, so a task holds one part's homes and one Arrow batch.
 
-Four bits of 64 mean nearly equal texts: copies whose five-word shingles are 80 % alike differ in about ten. For
-those, `one_per_group` also takes MinHash bands of the shingle set as candidates: the chance to share one of `BANDS`
-keys of `ROWS` minima depends on the Jaccard similarity alone, however the edits lie (0.9999 at 0.8). A candidate
-counts if the exact Jaccard similarity of the two sets is at least `ALIKE`, found by anchors or bands. In a key's
-bucket all are compared with one first; what that has joined needs no more comparing, and all pairs still apart follow.
+`one_per_group` keeps one document of each component, by the same shingles and the same bits.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; a text of fewer words
 than a shingle is one shingle; repeated rows give repeated results; null ids get their component's smallest id, null
@@ -41,9 +37,6 @@ SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 REACH = 1 + BITS // len(SEGMENTS)
 HOMES = 1 << 15
-BANDS, ROWS, ALIKE = 24, 5, 0.8
-#: Buckets go on with one against all while pairs still apart are more than so many times their rows, in so many rounds.
-_APART, _ROUNDS = 4, 6
 _PAIRS = 1 << 21
 #: Hot anchors are broadcast while there are at most so many (24 bytes each), else joined.
 _BROADCAST_ROWS = 1 << 20
@@ -72,35 +65,10 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return majority(np.array(shingle_hashes(text, n), dtype="<u8"))
 
 
-def _multipliers(bands: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 63, (bands * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray, multipliers: np.ndarray) -> list[int]:
-    """Per band the hash of its minima over a set of shingle hashes; an empty set has no bands."""
-    if not len(hashes):
-        return []
-    least = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[None, i : i + 4096] * multipliers).min(axis=1), out=least)
-    bands = least.reshape(-1, ROWS)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(bands)], dtype="<u8").view("<i8").tolist()
-
-
-def fingerprints(text: Column, n: int = SHINGLE, bands: int = 0) -> Column:
-    """Of the shingles; with bands then a hash of the set of shingles, and its band keys."""
-
-    @F.pandas_udf("array<long>")
+def fingerprints(text: Column, n: int = SHINGLE) -> Column:
+    @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        out, multipliers = [], _multipliers(bands)
-        for text in texts:
-            hashes = np.array(shingle_hashes(text, n), dtype="<u8")
-            out.append([majority(hashes)])
-            if bands:
-                every = np.unique(hashes)
-                node = np.uint64(xxhash.xxh64_intdigest(every.tobytes(), SEED)).astype(np.int64)
-                out[-1] += [int(node), *band_keys(every, multipliers)]
-        return pd.Series(out)
+        return pd.Series([fingerprint(t, n) for t in texts], dtype="int64")
 
     return of(utf8(text))
 
@@ -227,93 +195,28 @@ def grouped(prints: DataFrame, homes_per_part: int = HOMES) -> DataFrame:
     return prints.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _printed(docs: DataFrame, n: int, bands: int) -> DataFrame:
-    """doc_id, mark (hash of the text), fp (fingerprint of the shingles); with bands node (hash of their set) and keys."""
+def _grouped(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Every row as doc_id, mark (hash of the text), node (its fingerprint); and every node with its root and its first
+    place, by id, null ids last, then by mark."""
     prepare(docs.sparkSession)
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", mark.alias("mark"), fingerprints(F.col("text"), n, bands).alias("all"))
-    more = [F.col("all")[1].alias("node"), F.slice("all", 3, bands).alias("keys")] if bands else []
-    return kept(rows.select("doc_id", "mark", F.col("all")[0].alias("fp"), *more), "fingerprints")
+    rows = kept(docs.select("doc_id", mark.alias("mark"), fingerprints(F.col("text"), n).alias("node")), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    prints = kept(rows.groupBy("node").agg(F.min(place).alias("place")), "prints")
+    return rows, prints.join(grouped(prints.select(F.col("node").alias("fp"), F.lit(0).alias("family"), "node")), "node")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id for every row: fingerprints of the shingles link at 4 or fewer differing bits."""
-    rows = _printed(docs, n, 0).withColumnRenamed("fp", "node")
-    prints = kept(rows.groupBy("node").agg(F.min("doc_id").alias("smallest")), "prints")
-    groups = prints.join(grouped(prints.select(F.col("node").alias("fp"), F.lit(0).alias("family"), "node")), "node")
-    ids = groups.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    rows, groups = _grouped(docs, n)
+    ids = groups.groupBy("root").agg(F.min("place.doc_id").alias("component_id"))
     return rows.join(groups.join(ids, "root").select("node", "component_id"), "node").select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node and the hashes of its shingles, for (node, place)."""
-
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.array(shingle_hashes(t, n), dtype="<u8").view("<i8")) for t in texts])
-
-    places = kept(nodes.select("node", F.col("place.doc_id").alias("its_id"), F.col("place.mark").alias("its_mark")), "places")
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    rows = rows.join(places, F.expr("mark = its_mark AND doc_id <=> its_id")).dropDuplicates(["node"])
-    return kept(rows.select("node", of(utf8(F.col("text"))).alias("set")), "sets")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
-    """Of the pairs (a, b) those whose sets have a Jaccard similarity of at least `alike`."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"of_{x}")) for x in "ab")
-    common, sizes = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    enough = common * 1000 >= (sizes - common) * round(alike * 1000)
-    return pairs.join(two, "b").join(one, "a").where(enough).select("a", "b")
-
-
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def similar(docs: DataFrame, nodes: DataFrame, n: int, alike: float) -> DataFrame:
-    """(node, fp, keys, place) -> (node, root) of nodes with a link: components of pairs at `alike` or more."""
-    held = kept(nodes.select("node", F.explode("keys").alias("key")), "bands")
-    held = kept(held.join(held.groupBy("key").count().where("count > 1").select("key"), "key"), "shared")
-    near = kept(linked(nodes.select("fp", F.lit(0).alias("family"), "node", F.col("node").alias("root"))), "near")
-    needed = held.select("node").unionAll(near.select("a")).unionAll(near.select("b")).distinct()
-    sets = _sets(docs, nodes.join(needed, "node", "left_semi"), n)
-    size, links, seen = held.count(), None, None
-    apart, pairs, turn = held.withColumn("root", F.col("node")), near.select(*_ordered("a", "b")), 0
-    while True:
-        # Per key the pairs whose roots differ: all pairs without those within a root.
-        counts = apart.groupBy("key", "root").count().groupBy("key").agg(
-            F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        counts = kept(counts.where("rows * rows > same").withColumn("open", F.expr("(rows * rows - same) div 2")), "open")
-        left = counts.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]
-        if turn and not left:
-            break
-        apart, last = kept(apart.join(counts.select("key"), "key"), "apart"), left <= _APART * size or turn == _ROUNDS
-        if last:
-            other = apart.select("key", F.col("node").alias("other"), F.col("root").alias("its"))
-            found = apart.join(other, "key").where("node < other AND root <> its")
-        else:
-            centre = apart.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("c"))
-            centre = centre.select("key", F.col("c.node").alias("other"), F.col("c.root").alias("its"))
-            found = apart.join(centre, "key").where("root <> its")
-        pairs = pairs.unionAll(found.select(*_ordered("node", "other"))) if not turn else found.select(*_ordered("node", "other"))
-        pairs = kept(pairs.distinct() if seen is None else pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.unionAll(pairs)
-        good = kept(_alike(pairs, sets, alike), "alike")
-        links = good if links is None else links.unionAll(good)
-        roots, turn = components(links), turn + 1
-        if last:
-            break
-        apart = apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return roots
-
-
-def one_per_group(docs: DataFrame, n: int = 5, bands: int = BANDS, alike: float = ALIKE) -> DataFrame:
-    """The documents that stay: of every group of similar ones that with the smallest id, null ids last, then by hash."""
-    rows = _printed(docs, n, bands)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    best = F.min(F.struct(place.alias("place"), "fp", "keys")).alias("best")
-    nodes = kept(rows.groupBy("node").agg(best).select("node", "best.*"), "nodes")
-    stay = nodes.join(similar(docs, nodes, n, alike), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("place").alias("place"))
+def one_per_group(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """The documents that stay: of every component that with the smallest id, null ids last, then by hash."""
+    _, groups = _grouped(docs, n)
+    stay = groups.groupBy("root").agg(F.min("place").alias("place"))
     stay = stay.select(F.col("place.doc_id").alias("its_id"), F.col("place.mark").alias("its_mark"))
     docs = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     docs = docs.join(stay, F.expr("doc_id <=> its_id AND mark = its_mark"), "left_semi")
