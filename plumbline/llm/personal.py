@@ -5,7 +5,8 @@ vote on each (1 personal, -1 not, 0 no opinion): patterns of the span itself, ga
 issuers, dial codes, area codes), and words in the context before it. One scan counts candidates per combination of votes and features
 (a bounded number of combinations, whatever the input); expectation-maximisation on these counts estimates each labeler's
 reliability without labels, and the resulting chances train the final classifier, a logistic regression on the
-features. The second scan adds candidates that it accepts, unless they touch a base span.
+features. Candidates that it accepts are added, unless they touch a base span. Texts are read once: matches are written
+with their votes and features, and everything after works on that table.
 
 Positions come from lengths of the parts between matches, summed by a window per text and kind; texts themselves are
 never shuffled, only their matches. The patterns are possessive and anchored at run starts, so long runs of letters
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plumbline.llm.common import kept
 from plumbline.session import prepare
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -40,7 +42,7 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Wider than the base: spelled-out mail addresses, named secrets, numbers of any grouping, dates and versions included.
 _AT, _DOT = r"(?:\x20?(?:\(at\)|\[at\])\x20?|@)", r"(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)"
-_SECRET = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?"
+_SECRET = r"""(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)["']?\x20{0,2}[=:]{1,2}\x20{0,2}["'(\[{<]{0,2}"""
 CANDIDATE = "|".join((
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
     rf"(?<![A-Za-z0-9]){_SECRET}[A-Za-z0-9+/_.-]{{6,}}+",
@@ -95,19 +97,22 @@ def _flag(condition: Column) -> Column:
 
 def votes(before: Column, span: Column) -> list[Column]:
     """The labelers, each 1, -1 or 0."""
-    number, size = digits(span), F.length(digits(span))
+    plain = ~span.rlike(r"(?i)@|\(at\)|\[at\]") & ~span.rlike(rf"(?i)^{_SECRET}")
+    number = F.when(plain, digits(span)).otherwise("")
+    size = F.length(number)
     vote = lambda yes, no: _flag(yes) - _flag(~yes & no)
     whole = [span.rlike(f"^{PATTERNS[k]}$") & _passes(k, span) for k in ("email", "ip", "card", "phone")]
     value = F.regexp_extract(span, rf"(?i)^{_SECRET}(.*)$", 1)
     groups = span.rlike(r"^[+]?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,6}$") & (size >= 9)
     return [
-        vote(whole[0] | whole[1] | whole[2] | whole[3], size < 7),                             # the base patterns
+        vote(whole[0] | whole[1] | whole[2] | whole[3], plain & (size < 7)),                   # the base patterns
         vote(span.rlike(r"(?i)\((?:at|dot)\)|\[(?:at|dot)\]"), span.rlike(_DATE)),            # pattern: spelled out, or a date
         vote(groups, span.rlike(r"^[0-9]+(?:[.][0-9]+){0,2}$")),                               # pattern: grouped, or a plain number
         vote(size.between(14, 19) & luhn(number), size >= 14),                                 # pattern: check sum
         vote(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), (value != "") & value.rlike("^[a-z]+$")),  # pattern: a mixed value
         vote(span.rlike(_DOMAINS), span.rlike(r"(?i)\.(?:png|jpg|txt|html|exe)$")),            # gazetteer: domains, files
         vote(size.between(14, 16) & number.rlike("^(?:4|5[1-5]|3[47]|6011)"), size.between(1, 5)),  # gazetteer: issuers
+        vote(F.length(value) >= 16, (value != "") & (F.length(value) < 8)),                    # pattern: a long value
         vote(before.rlike(_FOR), before.rlike(_AGAINST)),                                      # context
     ]
 
@@ -119,10 +124,12 @@ def features(before: Column, span: Column) -> Column:
     many = F.when(size < 7, "few").when(size < 9, "some").when(size < 14, "phone").otherwise("card")
     grouped = span.rlike(r"^[+(]*[0-9]{1,4}[\x20()./-]+[0-9]{2,4}[\x20()./-]+[0-9]{3,6}")
     mixed = span.rlike("[A-Za-z]") & span.rlike("[0-9]")
+    value = F.length(F.regexp_extract(span, rf"(?i)^{_SECRET}(.*)$", 1))
+    length = F.when(value >= 16, "long_value").when(value >= 8, "value").otherwise("short_value")
     return F.concat_ws(" ", form, F.when(form == "number", F.concat(F.lit("digits_"), many)), F.when(mixed, "mixed"),
                        F.when(grouped, "grouped"), F.when(span.rlike(_DATE), "date"), F.when(before.rlike(_FOR), "asked"),
-                       F.when(before.rlike(_AGAINST), "listed"), F.when(span.startswith("+"), "plus"),
-                       F.when(size.between(14, 19), F.when(luhn(digits(span)), "sum").otherwise("no_sum")))
+                       F.when(before.rlike(_AGAINST), "listed"), F.when(span.startswith("+"), "plus"), F.when(form == "secret", length),
+                       F.when((form == "number") & size.between(14, 19), F.when(luhn(digits(span)), "sum").otherwise("no_sum")))
 
 
 def kind_of(span: Column) -> Column:
@@ -186,12 +193,33 @@ def regress(rows: list[tuple[list[str], float, int]], rounds: int = 400) -> dict
     return weights
 
 
-def learn(docs: DataFrame) -> Learned:
-    """From all texts: what comes to the driver is one row per combination of votes and features."""
-    each = docs.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c")).where("c.span IS NOT NULL")
-    before, span = F.right(F.col("c.gap"), F.lit(24)), F.col("c.span")
-    seen = each.select(F.array(*votes(before, span)).alias("votes"), features(before, span).alias("features"))
-    seen = [(tuple(r["votes"]), r["features"].split(), r["count"]) for r in seen.groupBy("votes", "features").count().collect()]
+def matches(docs: DataFrame) -> DataFrame:
+    """All matches of the four patterns and all candidates, written once: one row per text and match, texts without any
+    keep one row. `row` numbers the texts, `at` the matches of a pattern in a text, `gap` and `size` are lengths; base
+    matches say whether they pass (`good`), candidates how the labelers vote and which features hold."""
+    text = F.coalesce("text", F.lit(""))
+    lists = [(k, _parts(text, pattern, _NEEDS.get(kind))) for k, (kind, pattern) in enumerate(PATTERNS.items())]
+    lists.append((len(PATTERNS), candidates(text)))
+
+    def numbered(k: int, parts: Column) -> Column:
+        return F.transform(parts, lambda z, i: F.struct(
+            F.lit(k).alias("set"), i.alias("at"), F.length(z["gap"]).alias("gap"), F.right(z["gap"], F.lit(24)).alias("before"), z["span"].alias("span")))
+
+    each = F.flatten(F.array(*[numbered(k, parts) for k, parts in lists]))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.filter(each, lambda m: m["span"].isNotNull()).alias("all"))
+    rows = rows.select("row", "doc_id", F.explode_outer("all").alias("m")).select("row", "doc_id", "m.*")
+    base, span, before = F.col("set") < len(PATTERNS), F.col("span"), F.col("before")
+    good = F.coalesce(*[F.when(F.col("set") == k, _passes(kind, span)) for k, kind in enumerate(PATTERNS)], F.lit(False))
+    return kept(rows.select(
+        "row", "doc_id", "set", "at", "gap", F.length(span).alias("size"), good.alias("good"),
+        F.when(base, F.col("set")).otherwise(kind_of(span)).alias("kind"),
+        F.when(~base, F.array(*votes(before, span))).alias("votes"), F.when(~base, features(before, span)).alias("features")), "matches")
+
+
+def learn(rows: DataFrame) -> Learned:
+    """From all matches: what comes to the driver is one row per combination of votes and features."""
+    seen = rows.where("features IS NOT NULL").groupBy("votes", "features").count()
+    seen = [(tuple(r["votes"]), r["features"].split(), r["count"]) for r in seen.collect()]
     counts: dict[tuple[int, ...], int] = {}
     for combination, _, n in sorted(seen):
         counts[combination] = counts.get(combination, 0) + n
@@ -200,41 +228,29 @@ def learn(docs: DataFrame) -> Learned:
     return out
 
 
-def _accepted(learned: Learned, before: Column, span: Column) -> Column:
-    has = F.split(features(before, span), " ")
-    z = F.lit(learned.weights.get("", -1.0))
-    for name, weight in sorted(learned.weights.items()):
-        if name:
-            z = z + F.when(F.array_contains(has, name), F.lit(weight)).otherwise(0.0)
-    return z >= 0
+def _accepted(learned: Learned, names: Column) -> Column:
+    """Whether the classifier takes a span for personal, by its features."""
+    start = F.lit(float(learned.weights.get("", -1.0)))
+    pairs = [F.lit(x) for name, weight in sorted(learned.weights.items()) if name for x in (name, float(weight))]
+    if not pairs:
+        return start >= 0
+    weight = F.create_map(*pairs)
+    return F.aggregate(F.split(names, " "), start, lambda z, name: z + F.coalesce(weight[name], F.lit(0.0))) >= 0
 
 
-def _matches(parts: Column, number: int, kind, good) -> Column:
-    """Matches of one pattern as structs; the last part has no match behind it."""
-    each = F.transform(parts, lambda z, i: F.struct(
-        F.lit(number).alias("set"), i.alias("at"), F.length(z["gap"]).alias("gap"), F.length(z["span"]).alias("size"),
-        kind(z).alias("kind"), (z["span"].isNotNull() & good(z)).alias("good")))
-    return F.filter(each, lambda m: m["size"].isNotNull())
-
-
-def found(docs: DataFrame, learned: Learned) -> DataFrame:
-    """One row per text and match: row (number of the text), doc_id, kind, base, start, end; texts without any keep
-    one row whose kind is null."""
-    text = F.coalesce("text", F.lit(""))
-    lists = [_matches(_parts(text, pattern, _NEEDS.get(kind)), k, lambda z, k=k: F.lit(k), lambda z, kind=kind: _passes(kind, z["span"]))
-             for k, (kind, pattern) in enumerate(PATTERNS.items())]
-    lists.append(_matches(candidates(text), len(PATTERNS), lambda z: kind_of(z["span"]),
-                          lambda z: _accepted(learned, F.right(z["gap"], F.lit(24)), z["span"])))
-    each = F.flatten(F.array(*lists))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", each.alias("all"))
-    rows = rows.select("row", "doc_id", F.explode_outer("all").alias("m")).select("row", "doc_id", "m.*")
+def found(rows: DataFrame, learned: Learned) -> DataFrame:
+    """Matches with their places: start, end and base; of candidates those are good that the classifier accepts and
+    that touch no good base span. What base spans reach before and after a match comes from a running maximum of
+    ends and, in the opposite order, a running minimum of starts."""
     so_far = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("row", "set").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("end", so_far).withColumn("start", F.col("end") - F.col("size"))
-    rows = rows.withColumn("base", F.col("set") < len(PATTERNS)).withColumn("good", F.coalesce("good", F.lit(False)))
-    own = W.partitionBy("row").orderBy("start", "end")
-    sure = F.col("good") & F.col("base")
-    reached = F.max(F.when(sure, F.col("end"))).over(own.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.min(F.when(sure, F.col("start"))).over(own.rowsBetween(0, W.unboundedFollowing))
+    base = F.coalesce(F.col("set") < len(PATTERNS), F.lit(True))
+    good = F.coalesce(F.when(base, F.col("good")).otherwise(_accepted(learned, F.col("features"))), F.lit(False))
+    rows = rows.withColumn("base", base).withColumn("good", good)
+    sure, order = F.col("good") & F.col("base"), ("start", "end", "set")
+    running = lambda columns: W.partitionBy("row").orderBy(*columns).rowsBetween(W.unboundedPreceding, 0)
+    reached = F.max(F.when(sure, F.col("end"))).over(running([F.col(c).asc() for c in order]))
+    ahead = F.min(F.when(sure, F.col("start"))).over(running([F.col(c).desc() for c in order]))
     free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("end")) >= F.col("end"))
     return rows.withColumn("free", free).withColumn("good", F.col("good") & (F.col("base") | F.col("free")))
 
@@ -242,7 +258,8 @@ def found(docs: DataFrame, learned: Learned) -> DataFrame:
 def summarised(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row."""
     prepare(docs.sparkSession)
-    rows = found(docs, learn(docs))
+    rows = matches(docs)
+    rows = found(rows, learn(rows))
     good, base = F.col("good"), F.col("good") & F.col("base")
     span = F.struct("start", "kind", "end")
     counts = [F.sum((base & (F.col("kind") == k)).cast("long")).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -149,6 +150,30 @@ def test_spans_beyond_the_base(spark, none):
     assert personal.summarised(none).count() == 0
 
 
+@pytest.mark.parametrize("form", ['token = "{}"', "password: '{}'", "api_key=[{}]", '{{"secret": "{}"}}', "pwd={}", "TOKEN:= {}"])
+def test_secrets_in_quotes_and_brackets(spark, form):
+    draw = random.Random(form)
+    value = lambda: "".join(draw.choices("0123456789abcdef", k=40))
+    rows = [(i, f"words before {form.format(value())} and after, page {i}" if i % 4 == 0 else f"nothing to hide on page {i}, see version 1.{i}") for i in range(40)]
+    for r in personal.summarised(frame(spark, rows)).collect():
+        text = rows[r["doc_id"]][1]
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        found = [text[int(a) : int(b)] for k, a, b in spans if k == "secret"]
+        assert len(found) == (r["doc_id"] % 4 == 0) and all(len(f) >= 40 and text[text.index(f) + len(f)] in "\"'])} " for f in found)
+        assert all(k == "secret" for k, _, _ in spans)
+
+
+def test_many_matches_take_linear_time(spark):
+    def seconds(n):
+        docs = frame(spark, [(1, "a@b.cd " * n)])
+        began = time.time()
+        assert personal.summarised(docs).collect()[0]["n_email"] == n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 8 * max(seconds(10_000), 0.5)
+
+
 def test_expectation_maximisation_finds_the_useless_labeler():
     draw = random.Random(3)
     counts = {}
