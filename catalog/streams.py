@@ -5,8 +5,6 @@ A streaming run must give the rows the batch query gives, so both share one SQL
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,57 +15,50 @@ from catalog.stores import new_store
 from catalog.windows import ALL_FOUND, NULL_RATE_FOUND, NULL_RATE_SQL, fold_sql, statistical_found
 from plumbline.schemas import VIOLATION
 from plumbline.session import scratch_path
-from plumbline.streaming import checks, sessions, source
+from plumbline.streaming import bursts, checks, sessions, source
+from plumbline.streaming.state import state_settings
 
-FILES = 5
+#: Micro-batches the feed comes in, and rows of one of its files.
+PARTS, ROWS_PER_FILE = 5, 250_000
+#: State partitions of the queries here.
+STATE_PARTS = 4
 
 
-def feed_files(spark, folder) -> tuple[str, T.StructType]:
-    """The feed in `FILES` files that appear in time order; the folder and its schema.
+def arriving(rows, path, part, *, write="parquet"):
+    """Write rows part by part, as a file stream takes files in the order they were changed; files of one part.
 
-    Written one after the other, as a file stream takes files in the order they were changed.
+    `part` numbers the parts from 0. Every part has the same number of files, bounded in rows.
     """
-    path = scratch_path(spark, "feed")
-    rows = feed(spark, folder)
-    highest = rows.agg(F.max("event_id")).first()[0] + 1
-    part = F.floor(F.col("event_id") * FILES / highest)
-    for i in range(FILES):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return path, rows.schema
+    files = max(1, -(-rows.count() // (PARTS * ROWS_PER_FILE)))
+    for i in range(PARTS):
+        rows.where(part == i).drop("_part").repartition(files).write.mode("append").format(write).save(path)
+    return files
 
 
-def feed_stream(spark, folder):
-    path, schema = feed_files(spark, folder)
-    return source.file_source(spark, path, schema, files_per_batch=1)
+def fifths(rows):
+    """Which fifth of the event ids a row belongs to."""
+    highest = rows.agg(F.max("event_id")).first()[0] + 1
+    return F.floor(F.col("event_id") * PARTS / highest)
 
 
-@contextmanager
-def state_per_core(spark):
-    """State in as many parts as there are cores: each part costs a commit per micro-batch."""
-    width = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(width), spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", width)
+def feed_stream(spark, folder, part=None):
+    rows, path = feed(spark, folder), scratch_path(spark, "feed")
+    files = arriving(rows, path, fifths(rows) if part is None else part(fifths(rows)))
+    return source.file_source(spark, path, rows.schema, files_per_batch=files)
 
 
-def to_the_end(stream, name, *, mode="append"):
-    """Run a stream over everything there is into a Parquet folder; the folder's rows."""
+def to_the_end(stream, name, *, mode="append", checkpoint=None, out=None):
+    """Run a stream over everything there is into a Parquet folder; the folder's rows and the query."""
     spark = stream.sparkSession
-    with state_per_core(spark):
-        return _run(spark, stream, name, mode)
-
-
-def _run(spark, stream, name, mode):
-    out = scratch_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode)
-        .option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint"))
-        .option("path", out).trigger(availableNow=True).start()
-    )
+    out = out or scratch_path(spark, name)
+    with state_settings(spark, STATE_PARTS):
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode)
+            .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint"))
+            .option("path", out).trigger(availableNow=True).start()
+        )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out), query
 
 
 @CATALOG.add("s4_stream_source_json", """SELECT event_type, COUNT(*) AS records FROM (SELECT CASE
@@ -81,28 +72,26 @@ def s4(spark, folder):
     raw = F.when(key % 9 == 0, F.substring(good, 1, 20)).when(key % 10 == 0, F.lit("[1, 2]")).when(
         key % 12 == 0, F.lit("17")).otherwise(good)
     path = scratch_path(spark, "json-lines")
-    rows.select(raw.alias("value")).repartition(FILES).write.text(path)
+    rows.select(raw.alias("value")).repartition(PARTS).write.text(path)
     stream = source.file_source(spark, path, "value string", format="text", files_per_batch=1)
     schema = T.StructType([T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
     records, malformed = source.decode(stream.withColumnRenamed("value", "raw"), schema)
     kinds = records.select("event_type").unionByName(malformed.select(F.lit("malformed").alias("event_type")))
-    return to_the_end(kinds, "decoded").groupBy("event_type").agg(F.count(F.lit(1)).alias("records"))
+    return to_the_end(kinds, "decoded")[0].groupBy("event_type").agg(F.count(F.lit(1)).alias("records"))
 
 
 @CATALOG.add("t1_stream_validate", f"WITH {FOUND} SELECT {COLUMNS} FROM found")
 def t1(spark, folder):
     stream = checks.stream_violations(feed_stream(spark, folder), rule_set(), time_column="ts")
-    return flat(to_the_end(stream, "violations"))
+    return flat(to_the_end(stream, "violations")[0])
 
 
 def _checked(spark, folder, rules, **options):
     store = new_store(spark)
-    with state_per_core(spark):
-        query = checks.run_checks(
-            feed_stream(spark, folder), rules, store, scratch_path(spark, "checks"),
-            order=["event_id"], time_column="ts", **options,
-        )
-        query.awaitTermination()
+    checks.run_checks(
+        feed_stream(spark, folder), rules, store, scratch_path(spark, "checks"),
+        order=["event_id"], time_column="ts", state_parts=STATE_PARTS, **options,
+    ).awaitTermination()
     return store
 
 
@@ -113,6 +102,17 @@ def t2(spark, folder):
     return flat(_checked(spark, folder, only).violations())
 
 
+@CATALOG.add("t2_stream_null_rate_keyed", f"""WITH {FEED}, rated AS (
+    SELECT id, AVG(CASE WHEN reading IS NULL THEN 1.0 ELSE 0.0 END) OVER w AS rate, COUNT(*) OVER w AS n
+    FROM feed WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+  SELECT id AS record_id, CAST(ROUND(rate, 4) AS VARCHAR) AS value FROM rated WHERE n >= 10 AND rate > 0.2""")
+def t2_keyed(spark, folder):
+    """A rolling null rate for every user, in the state store."""
+    rules = rule_set(NULL_RATE)
+    only = type(rules)(rules.topic, rules.of("null_rate"))
+    return _checked(spark, folder, only, keys=["user_id"]).violations().select("record_id", "value")
+
+
 @CATALOG.add("t3_stream_baseline",
              f"WITH RECURSIVE {FEED}, {fold_sql('value', 100)} {statistical_found('value_jump', 'value')}")
 def t3(spark, folder):
@@ -134,20 +134,17 @@ def t3_keyed(spark, folder):
 def t6_json(spark, folder):
     """JSON lines, some of them broken, decoded, checked by all rules, stored and published as messages."""
     rows, path, sent = feed(spark, folder), scratch_path(spark, "json-feed"), scratch_path(spark, "messages")
-    part = F.floor(F.col("event_id") * FILES / (rows.agg(F.max("event_id")).first()[0] + 1))
     whole = F.to_json(F.struct(*rows.columns))
     # Every 50th record is sent a second time, cut short.
     lines = F.explode(F.when(F.col("event_id") % 50 == 0, F.array(whole, F.substring(whole, 1, 25))).otherwise(F.array(whole)))
-    for i in range(FILES):
-        rows.where(part == i).select(lines.alias("value")).coalesce(1).write.mode("append").text(path)
-    stream = source.file_source(spark, path, "value string", format="text", files_per_batch=1)
+    files = arriving(rows.select(fifths(rows).alias("_part"), lines.alias("value")), path, F.col("_part"), write="text")
+    stream = source.file_source(spark, path, "value string", format="text", files_per_batch=files)
     records, _ = source.decode(stream.withColumnRenamed("value", "raw"), rows.schema, typed=["event_id", "ts"])
-    with state_per_core(spark):
-        checks.run_checks(
-            records, rule_set(NULL_RATE, STATISTICAL), new_store(spark), scratch_path(spark, "checks"),
-            order=["event_id"], time_column="ts",
-            messages=lambda found, batch: found.write.mode("overwrite").parquet(f"{sent}/batch={batch}"),
-        ).awaitTermination()
+    checks.run_checks(
+        records, rule_set(NULL_RATE, STATISTICAL), new_store(spark), scratch_path(spark, "checks"),
+        order=["event_id"], time_column="ts", state_parts=STATE_PARTS,
+        messages=lambda found, batch: found.write.mode("overwrite").parquet(f"{sent}/batch={batch}"),
+    ).awaitTermination()
     read = F.from_json("value", "array<struct<rule_name string, record_id string>>")
     each = spark.read.schema("key string, value string").parquet(sent).select(F.inline(read))
     return each.groupBy("rule_name", "record_id").agg(F.count(F.lit(1)).alias("messages"))
@@ -169,8 +166,8 @@ def t6_baseline(spark, folder):
     return store.baselines().select("rule_name", "sample_count", "mean_value", "std_value", "warmed_up")
 
 
-def _violation_stream(spark, folder):
-    return checks.stream_violations(feed_stream(spark, folder), rule_set(), time_column="ts")
+def _violation_stream(spark, folder, part=None):
+    return checks.stream_violations(feed_stream(spark, folder, part), rule_set(), time_column="ts")
 
 
 RULE_NAMES = ("device_present", "speed_in_range", "known_type")
@@ -185,27 +182,58 @@ def _incident_view(folded):
     )
 
 
-def _closed(spark, folder):
-    sessions.tune_for_sessions(spark)
-    return to_the_end(
-        sessions.stream_incidents(_violation_stream(spark, folder), RULE_NAMES, gap_seconds=GAP), "incidents"
-    )
-
-
 @CATALOG.add("t4_stream_sessions", f"""{INCIDENTS} WHERE last_us + {GAP} * 1000000 <= (SELECT MAX(at_us) FROM found)""")
 def t4(spark, folder):
     """Closed incidents only: the watermark has passed their last violation by the gap."""
-    return _incident_view(_closed(spark, folder))
+    found = _violation_stream(spark, folder)
+    return _incident_view(to_the_end(sessions.stream_incidents(found, RULE_NAMES, gap_seconds=GAP), "incidents")[0])
+
+
+def straggling(part):
+    """Arrival in which every 40th event comes one micro-batch late, and every 97th two."""
+    key = F.col("event_id")
+    return F.least(part + F.when(key % 97 == 5, 2).when(key % 40 == 7, 1).otherwise(0), F.lit(PARTS - 1))
+
+
+ARRIVALS = f"""WITH {FOUND}, arrived AS (
+    SELECT f.*, LEAST(FLOOR(CAST(record_id AS BIGINT) * {PARTS} / (SELECT MAX(event_id) + 1 FROM events))
+      + CASE WHEN CAST(record_id AS BIGINT) % 97 = 5 THEN 2 WHEN CAST(record_id AS BIGINT) % 40 = 7 THEN 1 ELSE 0 END, {PARTS - 1}) AS part
+    FROM found f),
+  highest AS (SELECT part, MAX(at_us) // 1000 * 1000 AS top FROM arrived GROUP BY part),
+  behind AS (SELECT part, MAX(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watermark FROM highest),
+  late AS (SELECT a.*, at_us < watermark AS is_late FROM arrived a JOIN behind USING (part))"""
+
+
+def _bursts(spark, folder, part=None):
+    """Everything that comes out of the stream until its input has ended; late rows by micro-batch."""
+    ends, checkpoint, out = (scratch_path(spark, name) for name in ("ends", "bursts-checkpoint", "bursts"))
+    stream = bursts.stream_bursts(
+        _violation_stream(spark, folder, part), ends=bursts.markers(spark, ends), gap_seconds=GAP)
+    _, first = to_the_end(stream, "bursts", checkpoint=checkpoint, out=out)
+    bursts.end_input(spark, ends, "2999-01-01")
+    rows, last = to_the_end(stream, "bursts", checkpoint=checkpoint, out=out)
+    return rows, bursts.late_counts([*first.recentProgress, *last.recentProgress])
+
+
+@CATALOG.add("t4_late_rows", f"""{ARRIVALS} SELECT rule_name, record_id, severity, at_us FROM late WHERE is_late""")
+def t4_late(spark, folder):
+    """Violations behind the watermark, kept to the side."""
+    rows = bursts.late_rows(_bursts(spark, folder, straggling)[0])
+    return rows.select("rule_name", "record_id", "severity", F.unix_micros("timestamp").alias("at_us"))
+
+
+@CATALOG.add("t4_late_counts", f"""{ARRIVALS} SELECT CAST(part AS BIGINT) AS batch, COUNT(*) FILTER (WHERE is_late) AS late_rows
+  FROM late GROUP BY part HAVING late_rows > 0""")
+def t4_counts(spark, folder):
+    """Late rows of every micro-batch, as the query's progress counts them."""
+    _, counts = _bursts(spark, folder, straggling)
+    return spark.createDataFrame([(b, n) for b, n in counts.items() if n], "batch long, late_rows long")
 
 
 @CATALOG.add("t5_flush_all", INCIDENTS)
 def t5(spark, folder):
-    """What the stream closed, and what is still open at the end of input."""
-    from catalog.frames import found
-
-    closed = _closed(spark, folder)
-    still_open = sessions.flush_open(found(spark, folder), closed, gap_seconds=GAP)
-    return _incident_view(closed.unionByName(still_open))
+    """All incidents out of the stream itself: the end of input closes what is still open."""
+    return _incident_view(bursts.closed(_bursts(spark, folder)[0]))
 
 
 @CATALOG.add("t7_stream_timeline", f"""WITH {FOUND} SELECT at_us // 3600000000 AS hour, severity, COUNT(*) AS violations
@@ -215,6 +243,6 @@ def t7(spark, folder):
     from catalog.frames import found
 
     stream = sessions.stream_timeline(_violation_stream(spark, folder), interval="1 hour")
-    counted = to_the_end(stream, "timeline")
+    counted, _ = to_the_end(stream, "timeline")
     counted = counted.unionByName(sessions.flush_timeline(found(spark, folder), counted, interval="1 hour"))
     return counted.select((F.unix_seconds("minute") / 3600).cast("long").alias("hour"), "severity", "violations")

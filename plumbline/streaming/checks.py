@@ -1,30 +1,26 @@
 """Rule sets over streams.
 
-Per-record rules are the batch expressions on a streaming frame. Rules that
-look back run per micro-batch on the batch operators, with the little that has
-to be remembered kept in a table keyed by batch id: a batch that runs again
-after a failure starts from the state its predecessor left and replaces its own.
+Per-record rules are the batch expressions on a streaming frame. Rules that look
+back keep their state in Spark's state store (`lookback`). Both are branches of one
+query, so a batch that runs again after a failure starts from the state its
+predecessor left and replaces its own output.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.functions.values import column_or_null
-from plumbline.operators.firsts import first_rows
-from plumbline.operators import baseline, ordered, rowchecks
-from plumbline.rules import NullRateRule, RuleSet, StatisticalRule
+from plumbline.operators import rowchecks
+from plumbline.rules import RuleSet
 from plumbline.schemas import VIOLATION
 from plumbline.sources.store import Store
-
-IS_CARRIED = "_is_carried"
+from plumbline.streaming import lookback
+from plumbline.streaming.state import state_settings
 
 
 def stream_violations(stream: DataFrame, rules: RuleSet, **options) -> DataFrame:
@@ -32,189 +28,6 @@ def stream_violations(stream: DataFrame, rules: RuleSet, **options) -> DataFrame
     return rowchecks.violations(stream, rules, **options)
 
 
-# Every this many batches the state of all keys is written, in between that of moved keys.
-FULL_STATE_EVERY = 32
-
-
-@dataclass
-class StateTable:
-    """State per key as a log: one folder per batch id, holding the keys that batch moved.
-
-    Every `FULL_STATE_EVERY` batches a folder holds all keys, so reading goes
-    back no further than that. A batch that runs again reads what it read
-    before and overwrites its own folder only.
-    """
-
-    spark: SparkSession
-    folder: str
-    schema: T.StructType
-    keys: Sequence[str] = ()
-
-    def _path(self, batch_id: int) -> str:
-        return f"{self.folder.rstrip('/')}/batch_id={int(batch_id)}"
-
-    def before(self, batch_id: int) -> DataFrame:
-        """What the batches before this one left; empty at the start.
-
-        A missing folder is an error: going on without state would be wrong silently.
-        """
-        last = batch_id - 1
-        if last < 0:
-            return self.spark.createDataFrame([], self.schema)
-        if not self.keys:
-            return self.spark.read.schema(self.schema).parquet(self._path(last))
-        full = last - last % FULL_STATE_EVERY
-        logged = reduce(DataFrame.unionByName, [
-            self.spark.read.schema(self.schema).parquet(self._path(b)).withColumn("_batch", F.lit(b))
-            for b in range(full, last + 1)
-        ])
-        if full == last:
-            return logged.drop("_batch")
-        newest = logged.groupBy(*self.keys).agg(F.max("_batch").alias("_batch"))
-        return _matching(logged, newest, [*self.keys, "_batch"], "left_semi").drop("_batch")
-
-    def after(self, batch_id: int, before: DataFrame, moved: DataFrame) -> None:
-        """Save the state of the keys this batch moved; of the idle ones too when it is time."""
-        state = moved.select(*self._columns())
-        if self.keys and batch_id % FULL_STATE_EVERY == 0:
-            idle = _matching(before, moved.select(*self.keys).distinct(), self.keys, "left_anti")
-            state = state.unionByName(idle.select(*self._columns()))
-        elif not self.keys:
-            untouched = state.agg(F.count(F.lit(1))).scalar() == 0
-            state = state.unionByName(before.select(*self._columns()).where(untouched))
-        state.write.mode("overwrite").parquet(self._path(batch_id))
-
-    def _columns(self):
-        return [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]
-
-
-def _matching(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Semi or anti join in which null keys match each other."""
-    other = right.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
-    return left.join(other, same, how)
-
-
-@dataclass
-class LookBack:
-    """Null-rate and statistical rules of a rule set, over micro-batches.
-
-    `order` sequences records inside a batch; batches follow each other. `keys`
-    gives each entity its own state.
-    """
-
-    spark: SparkSession
-    rules: RuleSet
-    state_folder: str
-    input_schema: T.StructType
-    order: Sequence[str]
-    keys: Sequence[str] = ()
-    time_column: str | None = None
-    id_columns: Sequence[str] = rowchecks.ID_COLUMNS
-    rows_per_task: int = ordered.ROWS_PER_TASK
-    tables: dict[str, StateTable] = field(init=False)
-    _held: list[DataFrame] = field(init=False, default_factory=list)
-
-    def __post_init__(self) -> None:
-        key_fields = [self.input_schema[k] for k in self.keys]
-        order_fields = [self.input_schema[o] for o in self.order if o not in self.keys]
-        tail = T.StructType([*key_fields, *order_fields, T.StructField("_null", T.BooleanType())])
-        learned = T.StructType([*key_fields, T.StructField(baseline.CARRIED, T.StringType())])
-        self.tables = {
-            rule.name: StateTable(
-                self.spark,
-                f"{self.state_folder.rstrip('/')}/{rule.kind}-{i}",
-                tail if rule.kind == "null_rate" else learned,
-                self.keys,
-            )
-            for i, rule in enumerate(self.rules.of("null_rate", "statistical"))
-        }
-
-    def _hold(self, df: DataFrame) -> DataFrame:
-        self._held.append(df.persist())
-        return df
-
-    def release(self) -> None:
-        """Drop what the last batch kept, once its violations are written."""
-        while self._held:
-            self._held.pop().unpersist()
-
-    def check(self, batch: DataFrame, batch_id: int) -> list[DataFrame]:
-        """Violations of one micro-batch; saves the state the next one starts from."""
-        found = [self._null_rate(batch, batch_id, rule) for rule in self.rules.of("null_rate")]
-        return found + [self._statistical(batch, batch_id, rule) for rule in self.rules.statistical]
-
-    def _null_rate(self, batch: DataFrame, batch_id: int, rule: NullRateRule) -> DataFrame:
-        """The last `window_size - 1` rows per key go ahead of the batch and are dropped after it."""
-        table = self.tables[rule.name]
-        schema = batch.schema
-        rows = batch.select(
-            *dict.fromkeys([*self.keys, *self.order]),
-            column_or_null(schema, rule.column).isNull().alias("_null"),
-            rowchecks.first_truthy(schema, self.id_columns).alias("_id"),
-            rowchecks.time_or_now(schema, self.time_column).alias("_at"),
-            F.lit(False).alias(IS_CARRIED),
-        )
-        before = table.before(batch_id)
-        carried = self._of_batch(before, batch).withColumn(IS_CARRIED, F.lit(True))
-        whole = carried.unionByName(rows, allowMissingColumns=True).withColumn(
-            "_new", (~F.col(IS_CARRIED)).cast("int")
-        )
-        by = ["_new", *self.order]
-        rated = ordered.rolling_rate(
-            whole, F.col("_null"), rule.window_size, order=by, keys=self.keys,
-            rows_per_task=self.rows_per_task,
-        )
-        latest_first = [F.col(c).desc() for c in by]
-        tail = first_rows(whole, self.keys, latest_first, rule.window_size - 1, spread=list(by))
-        table.after(batch_id, before, tail)
-        return ordered.rate_violations(
-            rated.where(~F.col(IS_CARRIED)), self.rules.topic, rule
-        )
-
-    def _statistical(self, batch: DataFrame, batch_id: int, rule: StatisticalRule) -> DataFrame:
-        table = self.tables[rule.name]
-        before = table.before(batch_id)
-        rows = baseline.statistical_input(
-            batch, rule, order=self.order, keys=self.keys,
-            time_column=self.time_column, id_columns=self.id_columns,
-        )
-        scored = baseline.z_scores(
-            rows, baseline.VALUE_COLUMN, order=self.order, keys=self.keys,
-            min_samples=rule.min_samples, carry=self._of_batch(before, batch),
-            rows_per_task=self.rows_per_task,
-        )
-        # Read twice, for the state and for the violations.
-        scored = self._hold(scored)
-        moved = baseline.carry_over(scored, order=self.order, keys=self.keys)
-        table.after(batch_id, before, moved)
-        return baseline.violations_of_scores(scored, self.rules.topic, rule)
-
-    def _of_batch(self, state: DataFrame, batch: DataFrame) -> DataFrame:
-        """The state of the keys a batch has."""
-        if not self.keys:
-            return state
-        return _matching(state, batch.select(*self.keys).distinct(), self.keys, "left_semi")
-
-    def snapshot(self, batch_id: int, rule: StatisticalRule) -> DataFrame:
-        """The baseline of a rule after a batch."""
-        state = self.tables[rule.name].before(batch_id + 1)
-        part = F.split(baseline.CARRIED, ",")
-        n, mean, m2, smooth_mean, smooth_var = (part[i].cast("double") for i in range(5))
-        warm = part[5].cast("double") == 1.0
-        variance = F.when(warm, smooth_var).otherwise(F.when(n > 1, m2 / n).otherwise(F.lit(0.0)))
-        return state.select(
-            F.lit(self.rules.topic).alias("topic"),
-            F.lit(rule.name).alias("rule_name"),
-            *self.keys,
-            F.round(F.when(warm, smooth_mean).otherwise(mean), 4).alias("mean_value"),
-            F.round(baseline.spread_of(variance), 4).alias("std_value"),
-            n.cast("long").alias("sample_count"),
-            warm.alias("warmed_up"),
-            F.current_timestamp().alias("snapshot_at"),
-        )
-
-
 def run_checks(
     stream: DataFrame,
     rules: RuleSet,
@@ -227,6 +40,8 @@ def run_checks(
     id_columns: Sequence[str] = rowchecks.ID_COLUMNS,
     messages: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
+    ttl_seconds: float | None = None,
+    state_parts: int | None = None,
 ) -> StreamingQuery:
     """Start the whole job of one rule set: check, store, publish, snapshot baselines.
 
@@ -234,34 +49,38 @@ def run_checks(
     sink fails the batch, which Spark then runs again. `messages` receives
     (key, value) rows with one JSON array per offending record.
     """
-    spark = stream.sparkSession
-    look_back = LookBack(
-        spark, rules, f"{checkpoint.rstrip('/')}/look-back", stream.schema, order, keys,
-        time_column, id_columns,
-    )
+    options = {"time_column": time_column, "id_columns": id_columns}
+    found = rowchecks.violations(stream, rules, **options)
+    looks_back = bool(rules.of("null_rate", "statistical"))
+    if looks_back:
+        results = lookback.look_back_results(stream, rules, order=order, keys=keys, ttl_seconds=ttl_seconds, **options)
+        if rules.per_record:
+            found = found.unionByName(results, allowMissingColumns=True)
+        else:
+            found = results.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in VIOLATION])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            found = [rowchecks.violations(batch, rules, time_column=time_column, id_columns=id_columns)]
-            found += look_back.check(batch, batch_id)
-            whole = reduce(DataFrame.unionByName, found)
+            whole = batch
+            if looks_back:
+                parts = [batch.where("rule IS NULL"), *lookback.violations_of_results(batch.where("rule IS NOT NULL"), rules)]
+                whole = reduce(DataFrame.unionByName, [p.select(*[f"`{f.name}`" for f in VIOLATION]) for p in parts])
             store.save_violations(whole, batch_id=batch_id)
-            for rule in rules.statistical:
-                if not keys:
-                    store.save_baselines(look_back.snapshot(batch_id, rule), batch_id=batch_id)
+            if rules.statistical and not keys:
+                store.save_baselines(lookback.snapshots_of_results(batch, rules), batch_id=batch_id)
             if messages is not None:
                 messages(as_messages(store.read("violations").where(F.col("batch_id") == batch_id)), batch_id)
         finally:
-            look_back.release()
             batch.unpersist()
 
-    return (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", f"{checkpoint.rstrip('/')}/query")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    with state_settings(stream.sparkSession, state_parts):
+        return (
+            found.writeStream.foreachBatch(handle)
+            .option("checkpointLocation", f"{checkpoint.rstrip('/')}/query")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
 def as_messages(found: DataFrame) -> DataFrame:

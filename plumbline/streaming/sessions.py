@@ -11,19 +11,6 @@ from plumbline.functions.values import rank_of_severity, severity_of_rank
 from plumbline.operators.sessions import GAP_SECONDS, incident_key, incidents
 
 
-def tune_for_sessions(spark) -> None:
-    """State on disk, and sessions merged per task before the shuffle.
-
-    The second matters for hot (topic, column) pairs: a task sends one row per
-    session it saw instead of one per violation.
-    """
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-
-
 def stream_incidents(
     found: DataFrame,
     rule_names: Sequence[str],

@@ -1,14 +1,17 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from plumbline.operators.sessions import incidents
 from plumbline.plans.check import compile_rules
 from plumbline.rules import RuleSet
 from plumbline.sources.store import Store
-from plumbline.streaming import checks, sessions, source
+from plumbline.streaming import bursts, checks, sessions, source
+from plumbline.streaming.state import state_settings
 
 RULES = RuleSet.from_dict({"topic": "gps", "rules": [
     {"name": "speed_range", "type": "range", "column": "speed", "max": 80.0},
@@ -41,7 +44,7 @@ def key(found):
 
 def run(spark, folder, store, checkpoint, **options):
     stream = source.file_source(spark, folder, SCHEMA, files_per_batch=1)
-    checks.run_checks(stream, RULES, store, checkpoint, **OPTIONS, **options).awaitTermination()
+    checks.run_checks(stream, RULES, store, checkpoint, state_parts=2, **OPTIONS, **options).awaitTermination()
 
 
 def test_stream_equals_batch_with_a_restart_in_between(spark, tmp_path):
@@ -57,9 +60,8 @@ def test_stream_equals_batch_with_a_restart_in_between(spark, tmp_path):
     assert shot["sample_count"] == df.where("speed is not null").count() and shot["warmed_up"]
 
 
-def test_keyed_stream_equals_keyed_batch_over_full_and_partial_states(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(checks, "FULL_STATE_EVERY", 2)
-    df, folder = feed(spark).withColumn("device", F.coalesce("device", F.lit(None))), str(tmp_path / "in")
+def test_keyed_stream_equals_keyed_batch(spark, tmp_path):
+    df, folder = feed(spark), str(tmp_path / "in")
     parts(df, folder, [70, 100, 180, 300])
     store = Store(spark, str(tmp_path / "store"))
     run(spark, folder, store, str(tmp_path / "checkpoint"), keys=["device"])
@@ -67,17 +69,22 @@ def test_keyed_stream_equals_keyed_batch_over_full_and_partial_states(spark, tmp
     assert key(store.violations()) == key(batch.withColumn("value", F.coalesce("value", F.lit(""))))
 
 
-def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
-    df = feed(spark)
-    look = checks.LookBack(spark, RULES, str(tmp_path / "state"), df.schema, ["seq"], time_column="at")
-    first, second = df.where("seq < 200"), df.where("seq >= 200")
-    store = Store(spark, str(tmp_path / "store"))
-    for batch_id, part in ((0, first), (1, second), (1, second)):
-        for i, found in enumerate(look.check(part, batch_id)):
-            store.append("violations", found, batch_id=batch_id * 10 + i)
-        look.release()
-    whole = compile_rules(RULES, **OPTIONS).window_violations(df)
-    assert key(store.violations()) == key(whole[0].unionByName(whole[1]))
+def test_a_batch_that_fails_runs_again_on_the_state_before_it(spark, tmp_path):
+    df, folder = feed(spark), str(tmp_path / "in")
+    parts(df, folder, [90, 200, 300])
+    store, checkpoint, tried = Store(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint"), []
+
+    def breaks_once(messages, batch_id):
+        tried.append(batch_id)
+        if tried.count(1) == 1 and batch_id == 1:
+            raise RuntimeError("sink down")
+
+    with pytest.raises(StreamingQueryException):
+        run(spark, folder, store, checkpoint, keys=["device"], messages=breaks_once)
+    run(spark, folder, store, checkpoint, keys=["device"], messages=breaks_once)
+    assert tried.count(1) == 2
+    batch = compile_rules(RULES, keys=["device"], **OPTIONS).violations(df)
+    assert key(store.violations()) == key(batch.withColumn("value", F.coalesce("value", F.lit(""))))
 
 
 def test_messages_are_published_per_record(spark, tmp_path):
@@ -109,3 +116,45 @@ def test_incidents_of_a_stream_and_its_open_tail_equal_the_batch(spark, tmp_path
         return sorted(map(repr, rows(df.select(*want.columns))))
 
     assert listed(closed.unionByName(tail)) == listed(want)
+
+
+def run_bursts(spark, stream, ends, out, checkpoint):
+    bursts_out = bursts.stream_bursts(stream, ends=ends, gap_seconds=60)
+    with state_settings(spark, 2):
+        query = bursts_out.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return bursts.late_counts(query.recentProgress)
+
+
+def test_late_rows_are_routed_counted_and_kept_and_an_end_closes_all(spark, tmp_path):
+    folder, out, checkpoint, control = (str(tmp_path / n) for n in ("in", "out", "c", "ends"))
+    df = feed(spark)
+    # Rows 40 to 54 arrive with those from 100 on, rows 150 to 169 with those from 250 on.
+    arrival = F.expr("CASE WHEN seq BETWEEN 40 AND 54 THEN 1 WHEN seq BETWEEN 150 AND 169 THEN 2 WHEN seq < 100 THEN 0 WHEN seq < 250 THEN 1 ELSE 2 END")
+    arrived = df.withColumn("part", arrival)
+    for part in range(3):
+        arrived.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    stream = source.file_source(spark, folder, SCHEMA, files_per_batch=1)
+    found = checks.stream_violations(stream, RULES, time_column="at")
+    ends = bursts.markers(spark, control)
+    counts = run_bursts(spark, found, ends, out, checkpoint)
+    bursts.end_input(spark, control, "2026-02-01")
+    counts |= run_bursts(spark, found, ends, out, checkpoint)
+
+    whole = compile_rules(RULES, **OPTIONS).row_violations(arrived)
+    table = whole.join(arrived.select(F.col("id").alias("record_id"), "part"), "record_id").toPandas()
+    behind, late = 0, []
+    for part in range(3):
+        mine = table[table["part"] == part]
+        late += mine[mine["timestamp"].astype("int64") < behind]["record_id"].tolist()
+        behind = max(behind, mine["timestamp"].astype("int64").max())
+    result = spark.read.schema(bursts._OUT).parquet(out)
+    assert sorted(r["record_id"] for r in bursts.late_rows(result).collect()) == sorted(late) and len(late) > 3
+    assert sum(counts.values()) == len(late)
+
+    on_time = whole.where(~F.col("record_id").isin(late))
+    want = incidents(on_time, 60, samples=0).drop("sample_violations")
+    got = bursts.closed(result)
+    assert sorted(map(repr, rows(got.select(*want.columns)))) == sorted(map(repr, rows(want)))
+    assert got.select("incident_id").distinct().count() == got.count()
