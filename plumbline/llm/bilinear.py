@@ -1,13 +1,18 @@
 """LM scoring: a log-bilinear model trained with noise-contrastive estimation, beside a unigram base.
 
 Tokens are words (A-Z in lower case) and one end per text. The `units` most frequent tokens of the training texts
-are units of their own; all others share `GROUPS` units by their last character and length, and a word's chance
-within its group comes from its count there. The model predicts the next unit: the vectors of the two units before,
-each scaled by a vector of its place, sum to a predicted vector, whose product with a unit's vector plus its bias is
-the unit's score. It is trained on all training texts: in every round each task starts from the same parameters and
-passes over its own texts by minibatches with shared noise (every `rounds`-th position, the next phase each round, so all are read once);
-the tasks' parameters are averaged, weighted by positions, by a Spark aggregate. Batched matrix products over all
-pairs of units then give the normaliser of every context, so each token gets a normalised log-probability.
+are units of their own; all others share `GROUPS` units by their last character and length. The model predicts the next
+unit: the vectors of the two units before, each scaled by a vector of its place, sum to a predicted vector, whose product
+with a unit's vector plus its bias is the unit's score. Within a group a second level of the same form predicts the
+word from the unit before: every further word with at least `least` training tokens, up to `words` of them, has a
+vector and a bias, and one entry stands for the rest of the group, which its words share by their counts.
+
+Both levels are trained by contrast with noise on all training texts: in every round each task starts from the same
+parameters and passes over its own texts by minibatches with shared noise (every `rounds`-th position, the next phase
+each round, so all are read once); the tasks' parameters are averaged by a Spark aggregate, weighted by positions, entries
+by how often a task met them. Batched matrix products over all pairs of units then give the normaliser of every
+context, and those over units and entries the normaliser within each group, so each token gets a normalised
+log-probability.
 
 Counts are exact and cover all training texts. Tokens with at least 1 in 2^20 of all tokens (so at most 2^20 of
 them) are broadcast; counts of the rest are joined, and no such token has a share that could crowd a task.
@@ -42,9 +47,13 @@ GROUPS = 6 * 4
 @dataclass(frozen=True)
 class Settings:
     units: int = 488
+    words: int = 1 << 14
+    least: int = 5
     width: int = 32
     noise: int = 64
-    batch: int = 1024
+    inner_noise: int = 64
+    batch: int = 2048
+    first_batch: int = 512
     rounds: int = 2
     rate: float = 0.2
     seed: int = 42
@@ -91,11 +100,27 @@ class Lexicon:
         self.start = self.units
         unit = {w: i + 1 for i, w in enumerate(own)} | {END: 0}
         words_in, tokens_in = group_words.astype(float), group_tokens.astype(float)
+        further = [(w, c) for w, c in frequent if w not in unit and c >= s.least][: s.words]
+        inside: list[list[tuple[bytes, int]]] = [[] for _ in range(GROUPS)]
+        for w, c in further:
+            inside[group(w)].append((w, c))
+        for w in own:
+            words_in[group(w)] -= 1
         for w, c in frequent:
             if w in unit and w != END:
-                words_in[group(w)] -= 1
                 tokens_in[group(w)] -= c
-        self.first_group, self.spread = len(own) + 1, np.log10(np.maximum(tokens_in, 0) + 0.1 * (np.maximum(words_in, 0) + 1))
+        rest_words, rest_tokens = words_in.copy(), tokens_in.copy()
+        for g, found in enumerate(inside):
+            rest_words[g] -= len(found)
+            rest_tokens[g] -= sum(c for _, c in found)
+        rest = np.maximum(rest_tokens, 0) + 0.1 * (np.maximum(rest_words, 0) + 1)
+        self.first_group, self.spread = len(own) + 1, np.log10(rest)
+        # Entries of a group follow each other, the one for its rest last.
+        self.entry_start = np.cumsum([0, *(len(found) + 1 for found in inside)])
+        self.entry_group = np.repeat(np.arange(GROUPS), np.diff(self.entry_start))
+        self.entry_mass = np.array([x for g, found in enumerate(inside) for x in (*(c + 0.1 for _, c in found), rest[g])])
+        self.entry_share = self.entry_mass / np.add.reduceat(self.entry_mass, self.entry_start[:-1])[self.entry_group]
+        entry = {w: int(self.entry_start[g]) + i for g, found in enumerate(inside) for i, (w, _) in enumerate(found)}
         self.number = {w: i for i, (w, _) in enumerate(frequent)}
         if END not in self.number:
             self.number[END] = len(frequent)
@@ -104,7 +129,8 @@ class Lexicon:
         self.base = np.log10(counts + 0.1) - self.total()
         self.known = counts > 0
         self.unit = np.array([unit.get(w, -1) if w in unit else self.first_group + group(w) for w, _ in frequent], dtype=np.int64)
-        self.within = np.array([0.0 if w in unit else np.log10(c + 0.1) - self.spread[group(w)] for w, c in frequent])
+        self.entry = np.array([-1 if w in unit else entry.get(w, self.rest_of(w)) for w, _ in frequent], dtype=np.int64)
+        self.within = np.array([0.0 if w in unit or w in entry else np.log10(c + 0.1) - self.spread[group(w)] for w, c in frequent])
         mass = np.zeros(self.units)
         mass[self.first_group :] = tokens_in
         np.add.at(mass, self.unit[self.unit < self.first_group], counts[self.unit < self.first_group])
@@ -114,23 +140,30 @@ class Lexicon:
     def total(self) -> float:
         return float(np.log10(self.n + 0.1 * (self.v + 1)))
 
-    def numbered(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers of a text's tokens (-1: not frequent), their units, and the words that are not frequent."""
+    def rest_of(self, word: bytes) -> int:
+        return int(self.entry_start[group(word) + 1]) - 1
+
+    def numbered(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers of a text's tokens (-1: not frequent), their units, their entries (-1: the unit is the word), and the
+        words that are not frequent."""
         look = self.number.get
         number = np.array([look(w, -1) for w in found] + [self.number[END]], dtype=np.int64)
-        unit, rare = self.unit[number], np.flatnonzero(number < 0)
+        unit, entry, rare = self.unit[number], self.entry[number], np.flatnonzero(number < 0)
         others = [found[i] for i in rare]
         if others:
-            unit[rare] = [self.first_group + group(w) for w in others]
-        return number, unit, others
+            groups = np.array([group(w) for w in others])
+            unit[rare], entry[rare] = self.first_group + groups, self.entry_start[groups + 1] - 1
+        return number, unit, entry, others
 
     def initial(self, s: Settings) -> np.ndarray:
-        """Rows: units before (and the start), predicted units with their bias last, the two places."""
+        """Rows: units before (and the start), predicted units with their bias last, the two places, the place within
+        groups, entries with their bias last. Untrained, the chances within a group are those of the counts."""
         draw = np.random.default_rng(s.seed)
-        p = np.zeros((2 * self.units + 3, s.width + 1))
+        p = np.zeros((2 * self.units + 4 + len(self.entry_mass), s.width + 1), dtype=np.float32)
         p[: 2 * self.units + 1, : s.width] = draw.normal(0, 0.1, (2 * self.units + 1, s.width))
         p[self.units + 1 : 2 * self.units + 1, s.width] = np.log(self.mass)
-        p[2 * self.units + 1 :, : s.width] = [[1.0], [0.5]]
+        p[2 * self.units + 1 : 2 * self.units + 4, : s.width] = [[1.0], [0.5], [1.0]]
+        p[2 * self.units + 4 :, s.width] = np.log(self.entry_share)
         return p
 
 
@@ -150,24 +183,28 @@ def _row_sums(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 class Trainer:
     """Noise-contrastive steps with Adagrad, from given parameters."""
 
-    def __init__(self, p: np.ndarray, mass: np.ndarray, s: Settings, seed: int):
-        self.p, self.s, self.u = p.copy(), s, len(mass)
-        self.seen, self.mass, self.draw = np.full_like(p, 1e-2), mass, np.random.default_rng(seed)
-        self.log_noise = np.log(s.noise * mass)
-        self.steps = np.cumsum(mass)
-        self.positions = 0
-
-    def step(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
+    def __init__(self, p: np.ndarray, x: Lexicon, s: Settings, seed: int):
+        self.p, self.s, self.x, self.u = p.copy(), s, x, x.units
+        self.head = 2 * x.units + 4
+        self.seen, self.draw = np.full_like(p, 1e-2), np.random.default_rng(seed)
+        self.log_noise = np.log(s.noise * x.mass).astype(np.float32)
+        self.steps = np.cumsum(x.mass)
+        self.log_share = np.log(x.entry_share).astype(np.float32)
+        self.positions, self.met = 0, np.zeros(len(p) - self.head)
+
+    @property
+    def batch(self) -> int:
+        """Steps are small at first and grow with what was read."""
+        return min(max(self.s.first_batch, self.positions // 16), self.s.batch)
+
+    def step(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray, entry: np.ndarray) -> None:
         u, w, p = self.u, self.s.width, self.p
-        before, after, place = p[: u + 1, :w], p[u + 1 : 2 * u + 1], p[2 * u + 1 :, :w]
+        before, after, place = p[: u + 1, :w], p[u + 1 : 2 * u + 1], p[2 * u + 1 : self.head, :w]
         noise = np.minimum(np.searchsorted(self.steps, self.draw.random(self.s.noise)), u - 1)
         r1, r2 = before[one], before[two]
         ahead = r1 * place[0] + r2 * place[1]
-        real = (ahead * after[unit, :w]).sum(axis=1) + after[unit, w] - self.log_noise[unit]
-        false = ahead @ after[noise, :w].T + after[noise, w] - self.log_noise[noise]
-        g_real, g_false = 1 / (1 + np.exp(np.clip(real, -30, 30))), -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        g_ahead = g_real[:, None] * after[unit, :w] + g_false @ after[noise, :w]
-        g = np.zeros_like(p)
+        g_real, g_false, g_ahead = _contrast(ahead, after[unit], after[noise], self.log_noise[unit], self.log_noise[noise])
+        g = np.zeros((self.head, w + 1), dtype=np.float32)
         _row_sums(g[u + 1 : 2 * u + 1, :w], unit, g_real[:, None] * ahead)
         _row_sums(g[u + 1 : 2 * u + 1, w], unit, g_real)
         _row_sums(g[u + 1 : 2 * u + 1, :w], noise, g_false.T @ ahead)
@@ -175,71 +212,138 @@ class Trainer:
         _row_sums(g[: u + 1, :w], one, g_ahead * place[0])
         _row_sums(g[: u + 1, :w], two, g_ahead * place[1])
         g[2 * u + 1, :w], g[2 * u + 2, :w] = (g_ahead * r1).sum(axis=0), (g_ahead * r2).sum(axis=0)
+        inner = np.flatnonzero(entry >= 0)
+        if len(inner):
+            self._within(one[inner], entry[inner], g)
         g /= len(unit)
-        self.seen += g * g
-        self.p += self.s.rate * g / np.sqrt(self.seen)
+        self.seen[: self.head] += g * g
+        p[: self.head] += self.s.rate * g / np.sqrt(self.seen[: self.head])
         self.positions += len(unit)
 
+    def _within(self, one: np.ndarray, entry: np.ndarray, g: np.ndarray) -> None:
+        """The second level: words of a group against each other, some at a time. Noise from the batch has the words'
+        own frequencies, and a word's gains and losses fall into the same step."""
+        u, w, x = self.u, self.s.width, self.x
+        place, vectors = self.p[2 * u + 3, :w], self.p[self.head :]
+        order = np.argsort(x.entry_group[entry], kind="stable")
+        one, entry = one[order], entry[order]
+        cuts = np.searchsorted(x.entry_group[entry], np.arange(GROUPS + 1))
+        r = self.p[: u + 1, :w][one]
+        ahead, g_ahead, rows, values = r * place, np.zeros_like(r), [], []
+        for group_at, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if low == high or x.entry_start[group_at + 1] - x.entry_start[group_at] == 1:
+                continue
+            for i in range(low, high, self.s.inner_noise):
+                j = min(i + self.s.inner_noise, high)
+                mine, at = ahead[i:j], entry[i:j]
+                chance = self.log_share[at] + np.float32(np.log(j - i))
+                g_real, g_false, g_ahead[i:j] = _contrast(mine, vectors[at], vectors[at], chance, chance)
+                rows.append(at)
+                values.append(np.column_stack([g_real[:, None] * mine + g_false.T @ mine, g_real + g_false.sum(axis=0)]))
+        _row_sums(g[: u + 1, :w], one, g_ahead * place)
+        g[2 * u + 3, :w] = (g_ahead * r).sum(axis=0)
+        if rows:
+            rows = np.concatenate(rows)
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            many = np.diff(np.append(start, len(rows)))
+            mean = np.add.reduceat(np.concatenate(values)[order], start, axis=0) / many[:, None].astype(np.float32)
+            at = rows[start]
+            self.met[at] += many
+            self.seen[self.head + at] += mean * mean
+            vectors[at] += self.s.rate * mean / np.sqrt(self.seen[self.head + at])
+
+
+def _contrast(ahead: np.ndarray, real: np.ndarray, noise: np.ndarray, log_real: np.ndarray, log_noise: np.ndarray):
+    """Gradients of the real scores, the noise scores and the predicted vectors; vectors carry their bias last."""
+    score = np.einsum("ij,ij->i", ahead, real[:, :-1]) + real[:, -1] - log_real
+    false = ahead @ noise[:, :-1].T + noise[:, -1] - log_noise
+    g_real = 1 / (1 + np.exp(np.clip(score, -30, 30)))
+    g_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+    return g_real, g_false, g_real[:, None] * real[:, :-1] + g_false @ noise[:, :-1]
+
 
 def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int, seen: list[int] | None = None) -> np.ndarray:
     """One pass of all tasks from the same parameters, averaged by Spark; `seen` is given the number of positions."""
     start = texts.sparkSession.sparkContext.broadcast(p)
-    names = ["at", "n", *[f"v{i}" for i in range(p.shape[1])]]
+    values = [f"v{i}" for i in range(p.shape[1])]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = held.value
-        t, waiting, many = Trainer(start.value, lexicon.mass, s, s.seed + turn), [], 0
+        t, waiting, many = Trainer(start.value, lexicon, s, s.seed + turn), [], 0
+
+        def steps(last: bool) -> list:
+            ready, low = [np.concatenate(x) for x in zip(*waiting, strict=True)], 0
+            while len(ready[0]) - low >= (1 if last else t.batch):
+                high = low + t.batch
+                t.step(*[x[low:high] for x in ready])
+                low = high
+            return [tuple(x[low:] for x in ready)]
+
         for batch in batches:
             for text in batch.column(0):
-                _, unit, _ = lexicon.numbered(words(text.as_py()))
+                _, unit, entry, _ = lexicon.numbered(words(text.as_py()))
                 one, two = contexts(unit, lexicon.start)
                 at = np.arange(turn, len(unit), s.rounds)
-                waiting.append((one[at], two[at], unit[at]))
+                waiting.append((one[at], two[at], unit[at], entry[at]))
                 many += len(at)
-                if many >= s.batch:
-                    ready = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-                    for i in range(0, many, s.batch):
-                        t.step(*[x[i : i + s.batch] for x in ready])
-                    waiting, many = [], 0
+                if many >= 2 * t.batch:
+                    waiting = steps(False)
+                    many = len(waiting[0][0])
         if many:
-            t.step(*[np.concatenate(x) for x in zip(*waiting, strict=True)])
+            steps(True)
         if t.positions:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(t.p))), pa.array(np.full(len(t.p), float(t.positions))),
-                                              *[pa.array(c * t.positions) for c in t.p.T]], names=names)
-
-    schema = "at long, n double, " + ", ".join(f"{c} double" for c in names[2:])
-    total = texts.select("text").mapInArrow(learn, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    out = p.copy()
-    for row in total.collect():  # one row per row of parameters
-        out[row["at"]] = np.array(row[2:]) / row["n"]
-        if seen is not None and row["at"] == 0:
-            seen.append(round(row["n"]))
+            weight = np.concatenate([np.full(t.head, float(t.positions)), t.met])
+            at = np.flatnonzero(weight)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight[at]), *[pa.array(c) for c in t.p[at].T]], names=["at", "n", *values])
+
+    schema = "at long, n double, " + ", ".join(f"{c} float" for c in values)
+    total = texts.select("text").mapInArrow(learn, schema).groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(c) for c in values])
+    found, out = total.toArrow(), p.copy()  # one row per row of parameters that moved
+    n = found["n"].to_numpy()
+    out[found["at"].to_numpy()] = np.column_stack([found[c].to_numpy() / n for c in values]) if len(n) else 0
+    if seen is not None and len(n):
+        seen.append(round(n[found["at"].to_numpy() == 0][0]))
     return out
 
 
 class Model:
-    """Scores of units after units, and the normaliser of every context, by matrix products."""
+    """Scores of units after units and of entries within their groups, and the normalisers, by matrix products."""
 
     def __init__(self, lexicon: Lexicon, p: np.ndarray, s: Settings):
         u, w = lexicon.units, s.width
-        before, after, place = p[: u + 1, :w], p[u + 1 : 2 * u + 1, :w], p[2 * u + 1 :, :w]
+        p = p.astype(np.float32)
+        before, after, place = p[: u + 1, :w], p[u + 1 : 2 * u + 1, :w], p[2 * u + 1 : 2 * u + 4, :w]
         self.lexicon = lexicon
-        self.one = ((before * place[0]) @ after.T + p[u + 1 : 2 * u + 1, w]).astype(np.float32)
-        self.two = ((before * place[1]) @ after.T).astype(np.float32)
+        self.one = (before * place[0]) @ after.T + p[u + 1 : 2 * u + 1, w]
+        self.two = (before * place[1]) @ after.T
         self.log_z = np.empty((u + 1, u + 1), dtype=np.float32)
         for i in range(u + 1):
-            score = self.one[i] + self.two
-            top = score.max(axis=1)
-            self.log_z[i] = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+            self.log_z[i] = _log_sum(self.one[i] + self.two)
+        self.inner, self.entries, self.bias = before * place[2], p[2 * u + 4 :, :w], p[2 * u + 4 :, w]
+        self.inner_z = np.empty((u + 1, GROUPS), dtype=np.float32)
+        for g, (low, high) in enumerate(zip(lexicon.entry_start[:-1], lexicon.entry_start[1:], strict=True)):
+            self.inner_z[:, g] = _log_sum(self.inner @ self.entries[low:high].T + self.bias[low:high])
 
     def judge(self, text: bytes) -> tuple[int, int, float, float, Counter]:
         """Tokens, known frequent ones, base and model log10 without the counts of the words that follow, those words."""
         x = self.lexicon
-        number, unit, others = x.numbered(words(text))
+        number, unit, entry, others = x.numbered(words(text))
         one, two = contexts(unit, x.start)
-        model = (self.one[one, unit] + self.two[two, unit] - self.log_z[one, two]).sum(dtype=np.float64) / np.log(10)
+        model = (self.one[one, unit] + self.two[two, unit] - self.log_z[one, two]).sum(dtype=np.float64)
+        at = np.flatnonzero(entry >= 0)
+        if len(at):
+            entry, one = entry[at], one[at]
+            inner = np.einsum("ij,ij->i", self.inner[one], self.entries[entry]) + self.bias[entry]
+            model += (inner - self.inner_z[one, x.entry_group[entry]]).sum(dtype=np.float64)
         number = number[number >= 0] if others else number
-        return len(unit), int(x.known[number].sum()), float(x.base[number].sum()), float(model + x.within[number].sum()), Counter(others)
+        return len(unit), int(x.known[number].sum()), float(x.base[number].sum()), float(model / np.log(10) + x.within[number].sum()), Counter(others)
+
+
+def _log_sum(score: np.ndarray) -> np.ndarray:
+    top = score.max(axis=1)
+    return top + np.log(np.exp(score - top[:, None]).sum(axis=1))
 
 
 def lexicon(counts: DataFrame, s: Settings) -> Lexicon:

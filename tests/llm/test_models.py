@@ -173,3 +173,29 @@ def test_language_model_trains_on_every_position_once(spark):
         assert not np.array_equal(p, q)
         p = q
     assert sum(seen) == sum(len(t.split()) + 1 for _, t in rows)
+
+
+def test_second_level_learns_and_is_normalised(spark):
+    """Two kinds of texts share their frequent words; which further words follow depends on the one before."""
+    draw = random.Random(4)
+    rows = []
+    for i in range(400):
+        side = "ab"[i % 2]
+        rows.append((i, " ".join(f"{side} {side}word{draw.randrange(40)}" for _ in range(30))))
+    texts = frame(spark, rows)
+    score = lambda s: sum(r["score"] for r in bilinear.scored(texts, s).where("held_out").collect())
+    flat, two = score(bilinear.Settings(units=3, words=0)), score(bilinear.Settings(units=3, least=2))
+    assert two > flat + 0.05 * abs(flat)
+    counts = {w.encode(): 40 - k for k, w in enumerate(["a", "b", "xyz", "xyw", "long_word", "end."])} | {b"\n": 10}
+    many, tokens = np.zeros(bilinear.GROUPS), np.zeros(bilinear.GROUPS)
+    for w, c in counts.items():
+        if w != b"\n":
+            many[bilinear.group(w)] += 1
+            tokens[bilinear.group(w)] += c
+    s = bilinear.Settings(units=3)
+    x = bilinear.Lexicon(list(counts.items()), sum(counts.values()), len(counts), many, tokens, s)
+    p = x.initial(s) + np.random.default_rng(1).normal(size=x.initial(s).shape)
+    m = bilinear.Model(x, p, s)
+    for g, (low, high) in enumerate(zip(x.entry_start[:-1], x.entry_start[1:], strict=True)):
+        chance = np.exp(m.inner @ m.entries[low:high].T + m.bias[low:high] - m.inner_z[:, [g]])
+        assert np.allclose(chance.sum(axis=1), 1, atol=1e-3)
