@@ -8,14 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.cycles import components
 from plumbline.operators.profile import null_rate
 from plumbline.session import stable
 
 # Fixed value: null rate from which a table is suspect.
 SUSPECT_NULL_RATE = 0.05
 
-# Hops after which a closure without end is first looked for.
-CYCLE_CHECK = 16
+# Hops that one job takes, and hops from which every job looks for a closure without end.
+HOPS = 8
+CYCLE_CHECK = 64
 
 
 def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
@@ -42,15 +44,24 @@ def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None
 
 
 def _unbounded(pairs: DataFrame, level: DataFrame, merge) -> DataFrame:
+    """Hops until one brings nothing new, `HOPS` of them in one job whose rows are written once."""
     found, depth = [level.withColumn("depth", F.lit(0)).limit(0)], 0
     while True:
-        depth += 1
-        level = stable(_one_hop(level, pairs))
+        hops = []
+        for _ in range(HOPS):
+            level = _one_hop(level, pairs).persist()
+            hops.append(level)
+        parts = [hop.withColumn("depth", F.lit(depth + i + 1)) for i, hop in enumerate(hops)]
+        part = stable(reduce(DataFrame.unionByName, parts))
+        for hop in hops:
+            hop.unpersist()
+        depth += HOPS
+        found.append(part)
+        level = part.where(F.col("depth") == depth).select("root", "table")
         if level.isEmpty():
             return _deepest(found)
-        found.append(level.withColumn("depth", F.lit(depth)))
         # No path without a repeat is longer than a root has ancestors: past that, it is a cycle.
-        if depth >= CYCLE_CHECK and depth.bit_count() == 1:
+        if depth.bit_count() == 1 or depth >= CYCLE_CHECK:
             ancestors = _deepest(found).groupBy("root").count().agg(F.max("count")).first()[0]
             if depth > ancestors:
                 return merge(_deepest(found))
@@ -60,16 +71,8 @@ def _merged(pairs: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
     """Depths where there are cycles: the tables of each cycle are merged into one before hops are counted."""
     near = found.select("table").unionByName(roots.select(F.col("root").alias("table"))).distinct()
     inside = pairs.join(near.select(F.col("table").alias("_dst")), "_dst", "left_semi")
-    reach, size = stable(inside.select("_src", "_dst").distinct()), 0
-    while (now := reach.count()) > size:  # paths double their length each time
-        size = now
-        further = reach.select(F.col("_src").alias("_mid"), F.col("_dst").alias("_end"))
-        longer = reach.withColumnRenamed("_dst", "_mid").join(further.select("_mid", F.col("_end").alias("_dst")), "_mid")
-        reach = stable(reach.unionByName(longer.select("_src", "_dst")).distinct())
-    back = reach.select(F.col("_src").alias("_dst"), F.col("_dst").alias("_src"))
-    mutual = reach.join(back, ["_src", "_dst"]).groupBy("_src").agg(F.min("_dst").alias("_place"))
-    place = near.join(mutual, near["table"] == mutual["_src"], "left").select(
-        "table", F.least(F.coalesce("_place", "table"), "table").alias("place"))
+    cycles = components(inside.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")))
+    place = near.join(cycles, "table", "left").select("table", F.coalesce("place", "table").alias("place"))
     place = stable(place)
 
     def at(name: str, into: str) -> DataFrame:

@@ -1,11 +1,12 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from plumbline.operators import incidents, lineage, profile
+from plumbline.operators import cycles, incidents, lineage, profile
 from plumbline.sources import dbt, tables
 from plumbline.sources.store import Store
 
@@ -186,3 +187,39 @@ def test_schema_diff(spark):
 def test_bins_keep_nulls_apart(spark):
     df = spark.createDataFrame([(None,), (-5.0,), (3.0,), (99.0,)], "x double")
     assert [r[0] for r in df.select(profile.equal_width_bin(F.col("x"), 0.0, 10.0, 5)).collect()] == [None, 0, 1, 4]
+
+
+def components_by_hand(edges):
+    reach = {}
+    for a, b in edges:
+        reach.setdefault(a, set()).add(b)
+        reach.setdefault(b, set())
+    changed = True
+    while changed:
+        changed = False
+        for v in reach:
+            more = set().union(*(reach[w] for w in reach[v])) - reach[v] if reach[v] else set()
+            if more:
+                reach[v] |= more
+                changed = True
+    return {frozenset(w for w in reach if v in reach[w] and w in reach[v]) for v in reach if any(v in reach[w] and w in reach[v] for w in reach if w != v)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_equal_mutual_reach(spark, seed):
+    draw = random.Random(seed)
+    n = 40
+    edges = [(f"t{draw.randrange(n)}", f"t{draw.randrange(n)}") for _ in range((20, 45, 60, 90)[seed])]
+    edges += [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)] + [("r3", "t1"), ("tail1", "tail2"), ("tail2", "r0"), ("p", "q"), ("q", "p")]
+    got = {}
+    for r in cycles.components(spark.createDataFrame(edges, "src string, dst string")).collect():
+        got.setdefault(r["place"], set()).add(r["table"])
+    assert {frozenset(v) for v in got.values()} == components_by_hand([e for e in edges if e[0] != e[1]])
+    assert all(place == min(tables) for place, tables in got.items())
+
+
+def test_a_ring_of_many_tables_is_one_component(spark):
+    n = 2_000
+    ring = spark.range(n).selectExpr("concat('t', id) AS src", f"concat('t', (id + 1) % {n}) AS dst")
+    got = cycles.components(ring)
+    assert got.count() == n and got.select("place").distinct().count() == 1
