@@ -15,9 +15,11 @@ from plumbline.session import stable
 # Fixed value: null rate from which a table is suspect.
 SUSPECT_NULL_RATE = 0.05
 
-# Hops that one job takes, and hops from which every job looks for a closure without end.
-HOPS = 8
-CYCLE_CHECK = 64
+# Hops after which a closure without end is first looked for.
+CYCLE_CHECK = 16
+# Hops one join takes at most, and how many ways there may be for each edge.
+STRIDE = 8
+WAYS = 10
 
 
 def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
@@ -43,25 +45,41 @@ def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None
     return _unbounded(pairs, level, merge=lambda found: _merged(pairs, roots, found))
 
 
+def _strides(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Ways of up to `STRIDE` hops as (_src, _dst, _hops), and how many hops the longest have.
+
+    Ways double while there are few of them: wide lineage stays at single hops.
+    """
+    ways, stride, edges = pairs.withColumn("_hops", F.lit(1)), 1, pairs.count()
+    while stride < STRIDE:
+        far = ways.where(F.col("_hops") == stride).select(F.col("_src").alias("_mid"), F.col("_dst").alias("_end"))
+        near = ways.select(F.col("_src"), F.col("_dst").alias("_mid"), F.col("_hops"))
+        longer = near.join(far, "_mid").select("_src", F.col("_end").alias("_dst"), (F.col("_hops") + stride).alias("_hops"))
+        more = stable(ways.unionByName(longer.distinct()))
+        if more.count() > WAYS * edges:
+            break
+        ways, stride = more, 2 * stride
+    return ways, stride
+
+
 def _unbounded(pairs: DataFrame, level: DataFrame, merge) -> DataFrame:
-    """Hops until one brings nothing new, `HOPS` of them in one job whose rows are written once."""
-    found, depth = [level.withColumn("depth", F.lit(0)).limit(0)], 0
+    """Hops until there is nothing new, as many in one join as there are in the longest ways."""
+    ways, stride = _strides(pairs)
+    found, back, depth = [level.withColumn("depth", F.lit(0)).limit(0)], [], 0
     while True:
-        hops = []
-        for _ in range(HOPS):
-            level = _one_hop(level, pairs).persist()
-            hops.append(level)
-        parts = [hop.withColumn("depth", F.lit(depth + i + 1)) for i, hop in enumerate(hops)]
-        part = stable(reduce(DataFrame.unionByName, parts))
-        for hop in hops:
-            hop.unpersist()
-        depth += HOPS
-        found.append(part)
-        level = part.where(F.col("depth") == depth).select("root", "table")
+        part = level.join(ways, level["table"] == ways["_dst"]).select(
+            "root", F.col("_src").alias("table"), (F.col("_hops") + depth).alias("depth"))
+        part = stable(part.distinct())
+        depth += stride
+        found.append(part.where("root <> table"))
+        back.append(part.where("root = table"))
+        level = found[-1].where(F.col("depth") == depth).select("root", "table")
         if level.isEmpty():
-            return _deepest(found)
+            # Ways of several hops pass through a root unseen; one that is its own ancestor lies on a cycle.
+            looped = not reduce(DataFrame.unionByName, back).isEmpty()
+            return merge(_deepest(found)) if looped else _deepest(found)
         # No path without a repeat is longer than a root has ancestors: past that, it is a cycle.
-        if depth.bit_count() == 1 or depth >= CYCLE_CHECK:
+        if depth >= CYCLE_CHECK and depth.bit_count() == 1:
             ancestors = _deepest(found).groupBy("root").count().agg(F.max("count")).first()[0]
             if depth > ancestors:
                 return merge(_deepest(found))
