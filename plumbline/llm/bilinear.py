@@ -24,8 +24,9 @@ null id takes no part in training (its remainder is 0). Without training texts e
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -50,12 +51,12 @@ class Settings:
     words: int = 1 << 14
     least: int = 5
     width: int = 32
-    noise: int = 64
-    inner_noise: int = 64
+    noise: int = 48
+    inner_noise: int = 128
     batch: int = 2048
     first_batch: int = 512
-    rounds: int = 2
-    rate: float = 0.2
+    rounds: int = 1
+    rate: float = 0.3
     seed: int = 42
 
 
@@ -143,17 +144,15 @@ class Lexicon:
     def rest_of(self, word: bytes) -> int:
         return int(self.entry_start[group(word) + 1]) - 1
 
-    def numbered(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers of a text's tokens (-1: not frequent), their units, their entries (-1: the unit is the word), and the
-        words that are not frequent."""
-        look = self.number.get
-        number = np.array([look(w, -1) for w in found] + [self.number[END]], dtype=np.int64)
+    def numbered(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens of some texts, each text closed by its end: numbers (-1: not frequent), units, entries (-1: the
+        unit is the word), and the places of words that are not frequent."""
+        number = np.fromiter(map(self.number.get, found, repeat(-1)), dtype=np.int64, count=len(found))
         unit, entry, rare = self.unit[number], self.entry[number], np.flatnonzero(number < 0)
-        others = [found[i] for i in rare]
-        if others:
-            groups = np.array([group(w) for w in others])
+        if len(rare):
+            groups = np.array([group(found[i]) for i in rare.tolist()])
             unit[rare], entry[rare] = self.first_group + groups, self.entry_start[groups + 1] - 1
-        return number, unit, entry, others
+        return number, unit, entry, rare
 
     def initial(self, s: Settings) -> np.ndarray:
         """Rows: units before (and the start), predicted units with their bias last, the two places, the place within
@@ -167,10 +166,42 @@ class Lexicon:
         return p
 
 
+def tokens(texts: Iterable[bytes]) -> list[bytes]:
+    """Words of texts, an end behind each text."""
+    out: list[bytes] = []
+    for text in texts:
+        out += words(text)
+        out.append(END)
+    return out
+
+
 def contexts(unit: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The unit before each token of a text, and the one before that."""
-    one = np.concatenate([[start], unit[:-1]])
-    return one, np.concatenate([[start], one[:-1]])
+    """The unit before each token of a text, and the one before that; unit 0 ends a text."""
+    one = np.concatenate([[0], unit[:-1]])
+    first = one == 0
+    one = np.where(first, start, one)
+    two = np.concatenate([[start], one[:-1]])
+    return one, np.where(first, start, two)
+
+
+def _places(unit: np.ndarray) -> np.ndarray:
+    """Places of tokens in their texts."""
+    at = np.arange(len(unit))
+    begin = np.concatenate([[0], np.flatnonzero(unit == 0) + 1])
+    return at - begin[np.searchsorted(begin, at, side="right") - 1]
+
+
+def _some(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in lists of about so many bytes."""
+    waiting, many = [], 0
+    for text in texts:
+        waiting.append(text)
+        many += len(text)
+        if many >= size:
+            yield waiting
+            waiting, many = [], 0
+    if waiting:
+        yield waiting
 
 
 def _row_sums(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -282,10 +313,10 @@ def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int, seen:
             return [tuple(x[low:] for x in ready)]
 
         for batch in batches:
-            for text in batch.column(0):
-                _, unit, entry, _ = lexicon.numbered(words(text.as_py()))
+            for some in _some(t.as_py() for t in batch.column(0)):
+                _, unit, entry, _ = lexicon.numbered(tokens(some))
                 one, two = contexts(unit, lexicon.start)
-                at = np.arange(turn, len(unit), s.rounds)
+                at = np.flatnonzero(_places(unit) % s.rounds == turn)
                 waiting.append((one[at], two[at], unit[at], entry[at]))
                 many += len(at)
                 if many >= 2 * t.batch:
@@ -326,19 +357,24 @@ class Model:
         for g, (low, high) in enumerate(zip(lexicon.entry_start[:-1], lexicon.entry_start[1:], strict=True)):
             self.inner_z[:, g] = _log_sum(self.inner @ self.entries[low:high].T + self.bias[low:high])
 
-    def judge(self, text: bytes) -> tuple[int, int, float, float, Counter]:
-        """Tokens, known frequent ones, base and model log10 without the counts of the words that follow, those words."""
-        x = self.lexicon
-        number, unit, entry, others = x.numbered(words(text))
+    def judge(self, texts: list[bytes]) -> list[tuple[int, int, float, float, Counter]]:
+        """Of each text: tokens, known frequent ones, base and model log10 without the counts of the words that follow,
+        those words."""
+        x, found = self.lexicon, tokens(texts)
+        number, unit, entry, rare = x.numbered(found)
         one, two = contexts(unit, x.start)
-        model = (self.one[one, unit] + self.two[two, unit] - self.log_z[one, two]).sum(dtype=np.float64)
+        model = (self.one[one, unit] + self.two[two, unit] - self.log_z[one, two]).astype(np.float64)
         at = np.flatnonzero(entry >= 0)
-        if len(at):
-            entry, one = entry[at], one[at]
-            inner = np.einsum("ij,ij->i", self.inner[one], self.entries[entry]) + self.bias[entry]
-            model += (inner - self.inner_z[one, x.entry_group[entry]]).sum(dtype=np.float64)
-        number = number[number >= 0] if others else number
-        return len(unit), int(x.known[number].sum()), float(x.base[number].sum()), float(model / np.log(10) + x.within[number].sum()), Counter(others)
+        inner = np.einsum("ij,ij->i", self.inner[one[at]], self.entries[entry[at]]) + self.bias[entry[at]]
+        model[at] += inner - self.inner_z[one[at], x.entry_group[entry[at]]]
+        often = number >= 0
+        model = model / np.log(10) + np.where(often, x.within[number], 0)
+        ends = np.flatnonzero(unit == 0) + 1
+        begins = np.concatenate([[0], ends[:-1]])
+        sums = [np.add.reduceat(v, begins) for v in (np.where(often, x.known[number], False).astype(np.int64), np.where(often, x.base[number], 0.0), model)]
+        cuts = np.searchsorted(rare, np.append(begins, len(found)))
+        others = [Counter(found[i] for i in rare[low:high].tolist()) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+        return list(zip((ends - begins).tolist(), *[v.tolist() for v in sums], others, strict=True))
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
@@ -383,7 +419,7 @@ def scored(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
     @F.pandas_udf(schema)
     def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = [model.value.judge(t) for t in texts]
+        rows = [row for some in _some(texts) for row in model.value.judge(some)]
         return pd.DataFrame({"n_tokens": [r[0] for r in rows], "n_known": [r[1] for r in rows], "base": [r[2] for r in rows],
                              "model": [r[3] for r in rows], "others": [list(r[4]) for r in rows], "times": [list(r[4].values()) for r in rows]})
 
