@@ -58,6 +58,10 @@ def test_stages_on_odd_documents(spark, rows):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).where("taken < 1").count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_equals_its_sql(spark, name):
-    assert spark_rows(queries.QUERIES[name](spark, FOLDER)) == sql_rows(database(FOLDER), queries.SQL[name])
+    got = spark_rows(queries.QUERIES[name](spark, FOLDER))
+    if name in queries.SQL:
+        assert got == sql_rows(database(FOLDER), queries.SQL[name])
+    else:
+        assert got[1]
