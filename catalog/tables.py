@@ -387,12 +387,15 @@ def _versions(spark, folder):
             "orders": raw.where("o_orderstatus is not null")}
 
 
-@CATALOG.add("x2_trace_root_cause", f"""WITH {DAMAGED}, rates AS (
+RATES = """rates AS (
     SELECT 1 AS place, 'raw.orders' AS t, AVG(CASE WHEN o_custkey IS NULL THEN 1.0 ELSE 0.0 END) AS r FROM damaged
     UNION ALL SELECT 2, 'staging.orders', AVG(CASE WHEN o_custkey IS NULL THEN 1.0 ELSE 0.0 END) FROM damaged
-      WHERE o_totalprice > 1000)
-  SELECT 'orders' AS root, COALESCE((SELECT t FROM rates WHERE r > 0.05 ORDER BY place LIMIT 1), 'orders')
-    AS root_cause_table, 'o_custkey' AS root_cause_column""")
+      WHERE o_totalprice > 1000)"""
+ROOT_CAUSE = "COALESCE((SELECT t FROM rates WHERE r > 0.05 ORDER BY place LIMIT 1), 'orders')"
+
+
+@CATALOG.add("x2_trace_root_cause", f"""WITH {DAMAGED}, {RATES}
+  SELECT 'orders' AS root, {ROOT_CAUSE} AS root_cause_table, 'o_custkey' AS root_cause_column""")
 def x2(spark, folder):
     edges = spark.createDataFrame(LINEAGE, "src string, dst string")
     return lineage.trace_root_cause(edges, _versions(spark, folder), "orders", "o_custkey")
@@ -539,7 +542,8 @@ def x9_decisions(spark, folder):
     return decided.select("incident_id", "status")
 
 
-PROFILED = f"""{DAMAGED}, counts AS (SELECT COUNT(*) AS r, COUNT(*) - COUNT(o_orderkey) AS a,
+FAILING = "(SELECT COUNT(*) FROM checks WHERE failures > 0)"
+PROFILED = f"""counts AS (SELECT COUNT(*) AS r, COUNT(*) - COUNT(o_orderkey) AS a,
     COUNT(*) - COUNT(o_custkey) AS b, COUNT(*) - COUNT(o_orderstatus) AS c FROM damaged)"""
 
 
@@ -553,8 +557,8 @@ def _observed(spark, folder):
     ), tests
 
 
-@CATALOG.add("x1_observe", f"""WITH {PROFILED} SELECT 'incident-1' AS incident_id, 'orders' AS table_name,
-  r AS row_count, CAST(3 AS BIGINT) AS failing, b AS missing_customers, 'tracing' AS status FROM counts""")
+@CATALOG.add("x1_observe", f"""{ASSERTED}, {PROFILED} SELECT 'incident-1' AS incident_id, 'orders' AS table_name,
+  r AS row_count, {FAILING} AS failing, b AS missing_customers, 'tracing' AS status FROM counts""")
 def x1(spark, folder):
     observed, _ = _observed(spark, folder)
     return observed.select(
@@ -565,9 +569,13 @@ def x1(spark, folder):
     )
 
 
-@CATALOG.add("x10_incident_report", f"""WITH {PROFILED} SELECT 'orders' AS failing_table, 'raw.orders' AS root_cause_table,
-  'o_custkey' AS root_cause_column, 'null_spike' AS anomaly_type, CAST(3 AS BIGINT) AS tests, CAST(2 AS BIGINT) AS edges,
-  r AS row_count FROM counts""")
+@CATALOG.add("x10_incident_report", f"""{ASSERTED}, {PROFILED}, {RATES},
+  edges(src, dst) AS (VALUES {", ".join(map(str, LINEAGE))}),
+  shares AS (SELECT (SELECT AVG(CASE WHEN o_custkey IS NULL THEN 1.0 ELSE 0.0 END) FROM damaged) AS now,
+    (SELECT AVG(CASE WHEN o_custkey IS NULL THEN 1.0 ELSE 0.0 END) FROM orders) AS before)
+  SELECT 'orders' AS failing_table, {ROOT_CAUSE} AS root_cause_table, 'o_custkey' AS root_cause_column,
+    (SELECT CASE WHEN now - before > 0.05 THEN 'null_spike' END FROM shares) AS anomaly_type, {FAILING} AS tests,
+    (SELECT COUNT(*) FROM edges) AS edges, r AS row_count FROM counts""")
 def x10(spark, folder):
     observed, tests = _observed(spark, folder)
     edges = spark.createDataFrame(LINEAGE, "src string, dst string")

@@ -105,7 +105,8 @@ def incidents(
     `numbered` for running numbers.
     """
     gap_us = int(gap_seconds * 1_000_000)
-    # Cut here, so that counting the buckets does not run the checks a second time.
+    # Cut here, so that neither counting the buckets nor taking samples runs the checks a second time.
+    found = stable(found) if samples else found
     summed = stable(_summed(found, gap_us))
     sessions = _with_session(summed, gap_us, rows_per_task)
     session = [*KEY, "_start"]
