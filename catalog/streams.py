@@ -13,8 +13,9 @@ from catalog.frames import COLUMNS, FEED, FOUND, NULL_RATE, STATISTICAL, feed, f
 from catalog.sessions import GAP, SESSIONS
 from catalog.stores import new_store
 from catalog.windows import ALL_FOUND, NULL_RATE_FOUND, NULL_RATE_SQL, fold_sql, statistical_found
-from plumbline.schemas import VIOLATION
+from plumbline.operators import rowchecks
 from plumbline.session import scratch_path
+from plumbline.sources import topic
 from plumbline.streaming import bursts, checks, sessions, source
 from plumbline.streaming.state import state_settings
 
@@ -86,6 +87,16 @@ def t1(spark, folder):
     return flat(to_the_end(stream, "violations")[0])
 
 
+@CATALOG.add("k1_topic_messages", f"""WITH {FOUND} SELECT record_id AS key, COUNT(*) AS violations FROM found GROUP BY record_id""")
+def k1_topic(spark, folder):
+    """Offending records published to a topic without a broker, and read back from it as a stream."""
+    path, checkpoint = scratch_path(spark, "topic"), scratch_path(spark, "topic-checkpoint")
+    messages = rowchecks.violation_messages(feed_stream(spark, folder), rule_set(), time_column="ts")
+    topic.topic_sink(messages, path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    read, _ = to_the_end(topic.topic_source(spark, path, "earliest"), "topic-read")
+    return read.select("key", F.size(F.from_json("value", "array<struct<rule_name string>>")).cast("long").alias("violations"))
+
+
 def _checked(spark, folder, rules, **options):
     store = new_store(spark)
     checks.run_checks(
