@@ -2,8 +2,11 @@
 
 Unit vectors are cut into two halves; each half has its own codebook, and a pair of centroids is a cell. A query
 walks through the pairs in order of summed distance with a heap (empty cells are skipped) until the cells taken hold
-enough vectors (`probe` of them, or the share `probe_share`: vectors without structure need a large share for a
-recall of 0.9); those are reranked by cosines in double precision on the original vectors.
+enough vectors, a share of all: that within which the sample the codebooks are fitted on has `recall` of its own
+nearest neighbours, measured for `asked` of its vectors against all of it (`probe_share` states one instead). Clustered
+vectors need a small share, vectors without structure a large one. Neighbours in the whole table are nearer than in
+the sample, so the share errs to the safe side. What was taken is reranked by cosines in double precision on the
+original vectors.
 
 Equal vectors are one entry that carries its k + 1 smallest ids, found by ranking in salted parts first, so a vector
 in a third of all rows costs no more than another. Codebooks are fitted on a bounded sample (`fit_rows`); every
@@ -38,8 +41,10 @@ from plumbline.session import prepare, shuffle_width
 class Settings:
     k: int = 5
     occupancy: int = 8
-    probe: int = 2000
-    probe_share: float = 0.45
+    probe: int = 64
+    probe_share: float | None = None
+    recall: float = 0.94
+    asked: int = 256
     centroids: int = 1024
     fit_rows: int = 20000
     rounds: int = 8
@@ -116,6 +121,7 @@ def entries(vectors: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 @dataclass
 class Index:
     centres: tuple[np.ndarray, np.ndarray]
+    share: float = 1.0
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = self.centres[0].shape[1]
@@ -132,7 +138,27 @@ def fitted(rows: DataFrame, n: int, s: Settings) -> Index:
     x = unit(np.array(list(sample), dtype=np.float64))
     size = int(min(max(round((n / s.occupancy) ** 0.5), 1), s.centroids))
     cut = (x.shape[1] + 1) // 2
-    return Index((codebook(x[:, :cut], size, s.rounds, s.seed), codebook(x[:, cut:], size, s.rounds, s.seed + 1)))
+    index = Index((codebook(x[:, :cut], size, s.rounds, s.seed), codebook(x[:, cut:], size, s.rounds, s.seed + 1)))
+    index.share = needed(index, x, s) if s.probe_share is None else s.probe_share
+    return index
+
+
+def needed(index: Index, x: np.ndarray, s: Settings) -> float:
+    """Share of the sample a walk must take to hold `recall` of the nearest neighbours that sample vectors have in it."""
+    if len(x) <= s.k + 1:
+        return 1.0
+    one, two = index.halves(x)
+    first, second = one.argmin(axis=1), two.argmin(axis=1)
+    found = []
+    for i in range(0, min(s.asked, len(x)), 64):
+        mine = np.arange(i, min(i + 64, s.asked, len(x)))
+        near = x[mine] @ x.T
+        near[np.arange(len(mine)), mine] = -2
+        near = np.argpartition(-near, s.k, axis=1)[:, : s.k]
+        far = one[mine][:, first] + two[mine][:, second]
+        walked = np.sort(far, axis=1)
+        found += [np.searchsorted(w, f[at], side="right") for w, f, at in zip(walked, far, near, strict=True)]
+    return float(np.quantile(np.concatenate(found), s.recall, method="higher")) / len(x)
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -217,7 +243,7 @@ def nearest(vectors: DataFrame, queries: Column, s: Settings = SETTINGS) -> Data
     placed = kept(rows.withColumn("cell", cell("vector")), "placed")
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most centroids squared
     where = spark.sparkContext.broadcast((sizes, blocks(sizes, s.block)))
-    enough = max(s.probe, int(s.probe_share * n))
+    enough = max(s.probe, int(np.ceil(index.value.share * n)))
 
     @F.pandas_udf("long")
     def place(own: pd.Series, mark: pd.Series) -> pd.Series:

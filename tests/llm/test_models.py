@@ -139,7 +139,7 @@ def test_neighbours_equal_brute_force_when_all_cells_are_walked(spark):
     rows += [(200, None), (201, [0.0] * 4), (202, [1.0, None, 1.0, 1.0]), (203, [math.nan, 1.0, 1.0, 1.0]), (204, [math.inf, 1.0, 1.0, 1.0]),
              (205, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (160, [1.0, 2.0, 3.0, 4.0]), (210, [2.0, 4.0, 6.0, 8.5])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("key", F.lit("k"))
-    for s in (multiindex.Settings(), multiindex.Settings(block=8, occupancy=2, salts=2)):
+    for s in (multiindex.Settings(probe_share=1.0), multiindex.Settings(probe_share=1.0, block=8, occupancy=2, salts=2)):
         got = {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in multiindex.nearest(vectors, F.col("vec_id") % 10 == 0, s).collect()}
         assert got == nearest_by_hand(rows, lambda i: i % 10 == 0)
 
@@ -156,6 +156,16 @@ def test_neighbours_recall_and_small_tables(spark):
         near = np.argsort(-(u @ u[q]))
         hits += len({int(i) for i in near if i != q and i in set(near[:6])} & {r["vec_id"] for r in got if r["query_id"] == q})
     assert hits / 400 >= 0.9
+    got = multiindex.nearest(vectors, F.col("vec_id") % 50 == 0).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    true = {(q, int(i)) for q in range(0, 4000, 50) for i in [j for j in np.argsort(-(u @ u[q]))[:6] if j != q][:5]}
+    assert len(found & true) / len(true) >= 0.9
+    s = multiindex.Settings()
+    share = multiindex.fitted(multiindex.entries(vectors, s), 4000, s).share
+    assert 0.001 < share < 0.1
+    plain = draw.normal(size=(1500, 16))
+    loose = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(plain)], "vec_id long, embedding array<double>")
+    assert share < multiindex.fitted(multiindex.entries(loose, s), 1500, s).share < 0.9
     few = vectors.limit(3)
     assert multiindex.nearest(few, F.lit(True)).count() == 6
     assert multiindex.nearest(vectors.limit(0), F.lit(True)).count() == 0
