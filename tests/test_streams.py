@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.errors import StreamingQueryException
@@ -10,7 +11,7 @@ from plumbline.operators.sessions import incidents
 from plumbline.plans.check import compile_rules
 from plumbline.rules import RuleSet
 from plumbline.sources.store import Store
-from plumbline.streaming import bursts, checks, sessions, source
+from plumbline.streaming import bursts, checks, lookback, sessions, source
 from plumbline.streaming.state import state_settings
 
 RULES = RuleSet.from_dict({"topic": "gps", "rules": [
@@ -69,6 +70,54 @@ def test_keyed_stream_equals_keyed_batch(spark, tmp_path):
     assert key(store.violations()) == key(batch.withColumn("value", F.coalesce("value", F.lit(""))))
 
 
+def test_state_is_kept_by_group_and_not_by_series(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lookback, "SERIES_GROUPS", 3)
+    df = feed(spark).withColumn("device", F.when(F.col("seq") % 31 != 0, F.concat(F.lit("d"), (F.col("seq") % 31).cast("string"))))
+    folder, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
+    parts(df, folder, [150, 260])
+    rules = RuleSet.from_dict({"topic": "gps", "rules": [
+        {"name": "gaps", "type": "null_rate", "column": "speed", "threshold": 0.2, "window_size": 11},
+        {"name": "jump", "type": "statistical", "column": "speed", "z_score_threshold": 1.2, "min_samples": 10}]})
+    stream = source.file_source(spark, folder, SCHEMA, files_per_batch=1)
+    query = checks.run_checks(stream, rules, store, str(tmp_path / "checkpoint"), keys=["device"], state_parts=2, **OPTIONS)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    batch = compile_rules(rules, keys=["device"], **OPTIONS).violations(df)
+    found = key(store.violations())
+    assert found == key(batch.withColumn("value", F.coalesce("value", F.lit("")))) and {f[0] for f in found} == {"gaps", "jump"}
+
+
+class Kept:
+    """The state of one group, as the function of a stateful query sees it."""
+
+    hasTimedOut, exists, now = False, False, 0
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, values):
+        self.get, self.exists = values, True
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_a_series_quiet_for_its_time_is_forgotten_alone():
+    rule, state = RULES.of("null_rate")[0], Kept()
+    check = lookback.SeriesRules([rule], ["order0"], snapshots=False, ttl_ms=1000)
+
+    def arrive(now, *series):
+        state.now = now
+        rows_ = pd.DataFrame({"series": list(series), "order0": now, "missing0": True, "record": "r", "at_us": 0})
+        list(check((0,), iter([rows_]), state))
+        return dict(zip(state.get[0], state.get[2]))
+
+    assert arrive(0, "a", "b", "a") == {"a": 2, "b": 1}
+    assert arrive(900, "b") == {"a": 2, "b": 2}
+    assert arrive(1500, "c") == {"b": 2, "c": 1} and state.timeout == 1000
+    assert arrive(1600, "a") == {"a": 1, "b": 2, "c": 1}
+
+
 def test_a_batch_that_fails_runs_again_on_the_state_before_it(spark, tmp_path):
     df, folder = feed(spark), str(tmp_path / "in")
     parts(df, folder, [90, 200, 300])
