@@ -21,6 +21,8 @@ from plumbline.streaming.state import state_settings
 
 #: Micro-batches the feed comes in, and rows of one of its files.
 PARTS, ROWS_PER_FILE = 5, 250_000
+#: Rows of a micro-batch on average, where one task holds all of them: a longer feed comes in more of them.
+ROWS_PER_BATCH = 1_000_000
 #: State partitions of the queries here.
 STATE_PARTS = 4
 
@@ -42,12 +44,35 @@ def fifths(rows):
     return F.floor(F.col("event_id") * PARTS / highest)
 
 
+def arriving_bounded(rows, path, columns, *, write="parquet"):
+    """Write `columns` of the rows in order of `event_id`, in as many parts as keep each near `ROWS_PER_BATCH`; files of one part.
+
+    Parts are cut where the ids are, whatever gaps they have. Rows are laid out by part once, so many parts are not many scans.
+    """
+    parts = max(PARTS, -(-rows.count() // ROWS_PER_BATCH))
+    cuts = rows.agg(F.percentile_approx("event_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < F.col("event_id"))) if cuts else F.lit(0)
+    staged, files = scratch_path(rows.sparkSession, "parts"), 1 if parts == PARTS else -(-ROWS_PER_BATCH // ROWS_PER_FILE)
+    rows.select(*columns, part.alias("_part")).repartition("_part").write.partitionBy("_part").parquet(staged)
+    schema = T.StructType([*rows.select(*columns).schema, T.StructField("_part", T.IntegerType())])
+    laid = rows.sparkSession.read.schema(schema).parquet(staged)
+    for i in range(parts):
+        laid.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").format(write).save(path)
+    return files
+
+
 def feed_stream(spark, folder, part=None):
     rows, path = feed(spark, folder), scratch_path(spark, "feed")
     files = arriving(rows, path, fifths(rows) if part is None else part(fifths(rows)))
     return source.file_source(spark, path, rows.schema, files_per_batch=files)
 
 
+def bounded_stream(spark, folder):
+    """The feed in micro-batches of bounded size."""
+    rows, path = feed(spark, folder), scratch_path(spark, "feed")
+    return source.file_source(spark, path, rows.schema, files_per_batch=arriving_bounded(rows, path, rows.columns))
+
+
 def to_the_end(stream, name, *, mode="append", checkpoint=None, out=None):
     """Run a stream over everything there is into a Parquet folder; the folder's rows and the query."""
     spark = stream.sparkSession
@@ -100,7 +125,7 @@ def k1_topic(spark, folder):
 def _checked(spark, folder, rules, **options):
     store = new_store(spark)
     checks.run_checks(
-        feed_stream(spark, folder), rules, store, scratch_path(spark, "checks"),
+        bounded_stream(spark, folder), rules, store, scratch_path(spark, "checks"),
         order=["event_id"], time_column="ts", state_parts=STATE_PARTS, **options,
     ).awaitTermination()
     return store
@@ -148,7 +173,7 @@ def t6_json(spark, folder):
     whole = F.to_json(F.struct(*rows.columns))
     # Every 50th record is sent a second time, cut short.
     lines = F.explode(F.when(F.col("event_id") % 50 == 0, F.array(whole, F.substring(whole, 1, 25))).otherwise(F.array(whole)))
-    files = arriving(rows.select(fifths(rows).alias("_part"), lines.alias("value")), path, F.col("_part"), write="text")
+    files = arriving_bounded(rows.select("event_id", lines.alias("value")), path, ["value"], write="text")
     stream = source.file_source(spark, path, "value string", format="text", files_per_batch=files)
     records, _ = source.decode(stream.withColumnRenamed("value", "raw"), rows.schema, typed=["event_id", "ts"])
     checks.run_checks(

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from catalog import streams
 from plumbline.operators.sessions import incidents
 from plumbline.plans.check import compile_rules
 from plumbline.rules import RuleSet
@@ -207,3 +208,15 @@ def test_late_rows_are_routed_counted_and_kept_and_an_end_closes_all(spark, tmp_
     got = bursts.closed(result)
     assert sorted(map(repr, rows(got.select(*want.columns)))) == sorted(map(repr, rows(want)))
     assert got.select("incident_id").distinct().count() == got.count()
+
+
+def test_micro_batches_stay_bounded_and_in_order_whatever_gaps_ids_have(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "ROWS_PER_BATCH", 100)
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 50)
+    ids = spark.range(1000).select((F.col("id") + F.when(F.col("id") >= 300, 10**6).otherwise(0)).alias("event_id"))
+    folder = tmp_path / "in"
+    files = streams.arriving_bounded(ids, str(folder), ["event_id"])
+    came = [pd.read_parquet(f)["event_id"].tolist() for f in sorted(folder.glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)]
+    batches = [sum(came[i:i + files], []) for i in range(0, len(came), files)]
+    assert files == 2 and len(batches) == 10 and max(map(len, batches)) <= 110
+    assert all(max(a) < min(b) for a, b in zip(batches, batches[1:])) and sum(map(len, batches)) == 1000
