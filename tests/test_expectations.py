@@ -234,3 +234,16 @@ def test_parse_fix(spark, response, sql, explanation):
 def test_unknown_entity_type_is_refused(products):
     with pytest.raises(ValueError, match="unknown entity type"):
         scorers.entities(F.col("description"), ["planets"])
+
+
+def test_a_judge_gets_bounded_payloads_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(verdicts, "PAYLOAD_BYTES", 10_000)
+    sizes = [1000] * 40 + [25_000, 10, 0]
+    texts = spark.createDataFrame(list(enumerate("x" * n for n in sizes)), "i int, payload string").coalesce(1)
+
+    def handed(payloads):
+        return payloads.map(lambda p: f"{len(payloads)} {payloads.str.len().sum()} {len(p)}")
+
+    got = [tuple(map(int, r["response"].split())) for r in verdicts.apply_scorer(texts, handed).orderBy("i").collect()]
+    assert [g[2] for g in got] == sizes
+    assert all(total <= 10_000 or count == 1 for count, total, _ in got) and max(g[0] for g in got) == 10
