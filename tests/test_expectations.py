@@ -247,3 +247,11 @@ def test_a_judge_gets_bounded_payloads_at_a_time(spark, monkeypatch):
     got = [tuple(map(int, r["response"].split())) for r in verdicts.apply_scorer(texts, handed).orderBy("i").collect()]
     assert [g[2] for g in got] == sizes
     assert all(total <= 10_000 or count == 1 for count, total, _ in got) and max(g[0] for g in got) == 10
+
+
+def test_rows_of_one_small_file_are_judged_on_all_cores(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(400).selectExpr("id", "concat('size ', id) AS said", "concat('size ', id % 390) AS known").coalesce(1).write.parquet(path)
+    run = Suite("one").add(expectations.FactualConsistency("said", "known")).run(spark.read.parquet(path), index="id", failures_kept=None)
+    assert run.verdicts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows(run.results)[0]["failed_records"] == run.verdicts.count() == 10
