@@ -155,6 +155,22 @@ def test_upsert_keeps_first_table_and_time_and_last_rest(spark, tmp_path):
     assert (state["status"], state["resolved_at"]) == ("resolved", datetime(2026, 1, 2))
 
 
+def test_tasks_that_fold_a_log_sort_a_bounded_number_of_events(spark):
+    log = spark.range(1_000).selectExpr(
+        "if(id < 600, 'hot', concat('i', id div 4)) AS incident_id", "id AS seq", "concat('t', id) AS table_name",
+        "'null_spike' AS anomaly_type", "'c' AS root_cause", "'raw' AS root_cause_table",
+        "if(id % 2 = 0, 'observing', 'resolved') AS status", "concat('f', id) AS proposed_fix", "'{}' AS sandbox_result",
+        "timestamp_seconds(id) AS created_at").repartition(1)
+    state = incidents.current_state(log, rows_per_task=100)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "rangepartitioning(incident_id" in line]
+    assert dealt and ", 10)" in dealt[0]
+    got = {r["incident_id"]: r for r in state.collect()}
+    assert len(got) == 101
+    assert (got["hot"]["table_name"], got["hot"]["proposed_fix"], got["hot"]["events"]) == ("t0", "f599", 600)
+    assert (got["i200"]["table_name"], got["i200"]["proposed_fix"], got["i200"]["events"]) == ("t800", "f803", 4)
+
+
 def test_illegal_transitions(spark):
     steps = ["observing", "tracing", "diagnosing", "fixing", "sandbox", "fixing", "sandbox", "pending_approval",
              "resolved", "fixing"]
