@@ -204,11 +204,17 @@ def _some(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
         yield waiting
 
 
-def _row_sums(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
+def _order(rows: np.ndarray, limit: int) -> np.ndarray:
+    """Stable order of row numbers below `limit`; narrow numbers are sorted by radix."""
+    return np.argsort(rows.astype(np.min_scalar_type(limit)), kind="stable")
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their values, and how often each occurs."""
+    order = _order(rows, limit)
     rows = rows[order]
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    total[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
 
 
 class Trainer:
@@ -233,16 +239,20 @@ class Trainer:
         before, after, place = p[: u + 1, :w], p[u + 1 : 2 * u + 1], p[2 * u + 1 : self.head, :w]
         noise = np.minimum(np.searchsorted(self.steps, self.draw.random(self.s.noise)), u - 1)
         r1, r2 = before[one], before[two]
-        ahead = r1 * place[0] + r2 * place[1]
-        g_real, g_false, g_ahead = _contrast(ahead, after[unit], after[noise], self.log_noise[unit], self.log_noise[noise])
+        ahead = _with_ones(r1 * place[0] + r2 * place[1])
+        real, false = after[unit], after[noise]
+        false[:, w] -= self.log_noise[noise]
+        score = np.einsum("ij,ij->i", ahead, real) - self.log_noise[unit]
+        g_real, g_false = (1 + _loss(-score))[:, None], _loss(-ahead @ false.T)
+        g_ahead = g_real * real[:, :w] + g_false @ false[:, :w]
         g = np.zeros((self.head, w + 1), dtype=np.float32)
-        _row_sums(g[u + 1 : 2 * u + 1, :w], unit, g_real[:, None] * ahead)
-        _row_sums(g[u + 1 : 2 * u + 1, w], unit, g_real)
-        _row_sums(g[u + 1 : 2 * u + 1, :w], noise, g_false.T @ ahead)
-        _row_sums(g[u + 1 : 2 * u + 1, w], noise, g_false.sum(axis=0))
-        _row_sums(g[: u + 1, :w], one, g_ahead * place[0])
-        _row_sums(g[: u + 1, :w], two, g_ahead * place[1])
-        g[2 * u + 1, :w], g[2 * u + 2, :w] = (g_ahead * r1).sum(axis=0), (g_ahead * r2).sum(axis=0)
+        for rows, values in ((unit, g_real * ahead), (noise, g_false.T @ ahead)):
+            at, sums, _ = _row_sums(rows, values, u)
+            g[u + 1 + at] += sums
+        for rows, scale in ((one, place[0]), (two, place[1])):
+            at, sums, _ = _row_sums(rows, g_ahead, u + 1)
+            g[at, :w] += sums * scale
+        g[2 * u + 1, :w], g[2 * u + 2, :w] = np.einsum("ij,ij->j", g_ahead, r1), np.einsum("ij,ij->j", g_ahead, r2)
         inner = np.flatnonzero(entry >= 0)
         if len(inner):
             self._within(one[inner], entry[inner], g)
@@ -253,46 +263,56 @@ class Trainer:
 
     def _within(self, one: np.ndarray, entry: np.ndarray, g: np.ndarray) -> None:
         """The second level: words of a group against each other, some at a time. Noise from the batch has the words'
-        own frequencies, and a word's gains and losses fall into the same step."""
+        own frequencies, and a word's gains and losses fall into the same step. A word's own score is one of those
+        against the noise, so one matrix of gradients serves both."""
         u, w, x = self.u, self.s.width, self.x
         place, vectors = self.p[2 * u + 3, :w], self.p[self.head :]
-        order = np.argsort(x.entry_group[entry], kind="stable")
+        order = _order(x.entry_group[entry], GROUPS)
         one, entry = one[order], entry[order]
-        cuts = np.searchsorted(x.entry_group[entry], np.arange(GROUPS + 1))
-        r = self.p[: u + 1, :w][one]
-        ahead, g_ahead, rows, values = r * place, np.zeros_like(r), [], []
-        for group_at, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        groups = x.entry_group[entry]
+        cuts = np.searchsorted(groups, np.arange(GROUPS + 1))
+        r, real = self.p[: u + 1, :w][one], vectors[entry]
+        real[:, w] -= self.log_share[entry]
+        ahead, g_ahead = _with_ones(r * place), np.zeros_like(r)
+        values, told = np.empty_like(ahead), np.diff(x.entry_start)[groups] > 1
+        for group_at, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if low == high or x.entry_start[group_at + 1] - x.entry_start[group_at] == 1:
                 continue
             for i in range(low, high, self.s.inner_noise):
                 j = min(i + self.s.inner_noise, high)
-                mine, at = ahead[i:j], entry[i:j]
-                chance = self.log_share[at] + np.float32(np.log(j - i))
-                g_real, g_false, g_ahead[i:j] = _contrast(mine, vectors[at], vectors[at], chance, chance)
-                rows.append(at)
-                values.append(np.column_stack([g_real[:, None] * mine + g_false.T @ mine, g_real + g_false.sum(axis=0)]))
-        _row_sums(g[: u + 1, :w], one, g_ahead * place)
-        g[2 * u + 3, :w] = (g_ahead * r).sum(axis=0)
-        if rows:
-            rows = np.concatenate(rows)
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            many = np.diff(np.append(start, len(rows)))
-            mean = np.add.reduceat(np.concatenate(values)[order], start, axis=0) / many[:, None].astype(np.float32)
-            at = rows[start]
+                mine, words_at = ahead[i:j], real[i:j]
+                words_at[:, w] -= np.float32(np.log(j - i))
+                slope = _loss(-mine @ words_at.T)
+                own = slope.reshape(-1)[:: j - i + 1]
+                own += 1 + own
+                np.matmul(slope, words_at[:, :w], out=g_ahead[i:j])
+                np.matmul(slope.T, mine, out=values[i:j])
+        at, sums, _ = _row_sums(one, g_ahead, u + 1)
+        g[at, :w] += sums * place
+        g[2 * u + 3, :w] = np.einsum("ij,ij->j", g_ahead, r)
+        if not told.all():
+            entry, values = entry[told], values[told]
+        if len(entry):
+            at, sums, many = _row_sums(entry, values, len(vectors))
+            mean = sums / many[:, None].astype(np.float32)
             self.met[at] += many
-            self.seen[self.head + at] += mean * mean
-            vectors[at] += self.s.rate * mean / np.sqrt(self.seen[self.head + at])
+            seen = self.seen[self.head + at] + mean * mean
+            self.seen[self.head + at] = seen
+            vectors[at] += self.s.rate * mean / np.sqrt(seen)
+
+
+def _with_ones(ahead: np.ndarray) -> np.ndarray:
+    """Predicted vectors with a last entry that meets the bias."""
+    return np.concatenate([ahead, np.ones((len(ahead), 1), dtype=np.float32)], axis=1)
 
 
-def _contrast(ahead: np.ndarray, real: np.ndarray, noise: np.ndarray, log_real: np.ndarray, log_noise: np.ndarray):
-    """Gradients of the real scores, the noise scores and the predicted vectors; vectors carry their bias last."""
-    score = np.einsum("ij,ij->i", ahead, real[:, :-1]) + real[:, -1] - log_real
-    false = ahead @ noise[:, :-1].T + noise[:, -1] - log_noise
-    g_real = 1 / (1 + np.exp(np.clip(score, -30, 30)))
-    g_false = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-    return g_real, g_false, g_real[:, None] * real[:, :-1] + g_false @ noise[:, :-1]
+def _loss(minus: np.ndarray) -> np.ndarray:
+    """Gradients -1 / (1 + exp(-score)) of scores against noise, from the negated scores, in their place. Those of real
+    scores, 1 / (1 + exp(score)), are larger by one."""
+    with np.errstate(over="ignore"):  # of infinity, the gradient is zero
+        np.exp(minus, out=minus)
+    minus += 1
+    return np.divide(-1, minus, out=minus)
 
 
 def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int, seen: list[int] | None = None) -> np.ndarray:
@@ -316,9 +336,12 @@ def _round(texts: DataFrame, held, p: np.ndarray, s: Settings, turn: int, seen:
             for some in _some(t.as_py() for t in batch.column(0)):
                 _, unit, entry, _ = lexicon.numbered(tokens(some))
                 one, two = contexts(unit, lexicon.start)
-                at = np.flatnonzero(_places(unit) % s.rounds == turn)
-                waiting.append((one[at], two[at], unit[at], entry[at]))
-                many += len(at)
+                drawn = (one, two, unit, entry)
+                if s.rounds > 1:
+                    at = np.flatnonzero(_places(unit) % s.rounds == turn)
+                    drawn = tuple(x[at] for x in drawn)
+                waiting.append(drawn)
+                many += len(drawn[0])
                 if many >= 2 * t.batch:
                     waiting = steps(False)
                     many = len(waiting[0][0])

@@ -209,3 +209,44 @@ def test_second_level_learns_and_is_normalised(spark):
     for g, (low, high) in enumerate(zip(x.entry_start[:-1], x.entry_start[1:], strict=True)):
         chance = np.exp(m.inner @ m.entries[low:high].T + m.bias[low:high] - m.inner_z[:, [g]])
         assert np.allclose(chance.sum(axis=1), 1, atol=1e-3)
+
+
+def test_a_step_within_groups_equals_sums_over_pairs():
+    counts = {bilinear.END: 9, **{w: 9 - i for i, w in enumerate((b"the", b"cat", b"dog", b"sun", b"lamp.", b"moon.", b"horizon"))}}
+    many, held = np.zeros(bilinear.GROUPS), np.zeros(bilinear.GROUPS)
+    for w, c in counts.items():
+        if w != bilinear.END:
+            many[bilinear.group(w)] += 1
+            held[bilinear.group(w)] += c
+    s = bilinear.Settings(units=2, least=2, inner_noise=3, width=4)
+    x = bilinear.Lexicon(list(counts.items()), sum(counts.values()), len(counts), many, held, s)
+    found = bilinear.tokens([b"the cat sun dog cat moon.", b"dog lamp. horizon sun cat"])
+    _, unit, entry, _ = x.numbered(found)
+    one, _ = bilinear.contexts(unit, x.start)
+    p = x.initial(s)
+    p[2 * x.units + 4 :, :4] = np.random.default_rng(1).normal(0, 1, (len(x.entry_mass), 4))
+    t, g = bilinear.Trainer(p, x, s, 7), np.zeros((2 * x.units + 4, 5), dtype=np.float32)
+    at = np.flatnonzero(entry >= 0)
+    t._within(one[at], entry[at], g)
+
+    head, place = 2 * x.units + 4, p[2 * x.units + 3, :4].astype(float)
+    sums, times = np.zeros((len(x.entry_mass), 5)), np.zeros(len(x.entry_mass))
+    before, scale = np.zeros((x.units + 1, 4)), np.zeros(4)
+    for k in range(bilinear.GROUPS):
+        mine = [i for i in at if x.entry_group[entry[i]] == k]
+        for some in (mine[i : i + 3] for i in range(0, len(mine), 3)):
+            for i in some:
+                r = p[one[i], :4].astype(float)
+                times[entry[i]] += 1
+                for j, real in [(i, True), *((j, False) for j in some)]:
+                    v = p[head + entry[j]].astype(float)
+                    score = r * place @ v[:4] + v[4] - np.log(x.entry_share[entry[j]] * len(some))
+                    slope = 1 / (1 + np.exp(score)) if real else -1 / (1 + np.exp(-score))
+                    sums[entry[j]] += slope * np.append(r * place, 1)
+                    before[one[i]] += slope * v[:4] * place
+                    scale += slope * v[:4] * r
+    met = np.flatnonzero(times)
+    mean = sums[met] / times[met, None]
+    assert np.allclose(t.p[head + met], p[head + met] + s.rate * mean / np.sqrt(1e-2 + mean**2), atol=1e-4)
+    assert np.allclose(g[: x.units + 1, :4], before, atol=1e-5) and np.allclose(g[2 * x.units + 3, :4], scale, atol=1e-5)
+    assert (t.met == times).all()
