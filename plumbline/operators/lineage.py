@@ -17,9 +17,9 @@ SUSPECT_NULL_RATE = 0.05
 
 # Hops after which a closure without end is first looked for.
 CYCLE_CHECK = 16
-# Hops one join takes at most, and how many ways there may be for each edge.
-STRIDE = 8
-WAYS = 10
+# Hops one join takes at most, and how many ways of a length there may be for each edge.
+STRIDE = 16
+WAYS = 2
 
 
 def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
@@ -45,44 +45,54 @@ def upstream(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None
     return _unbounded(pairs, level, merge=lambda found: _merged(pairs, roots, found))
 
 
-def _strides(pairs: DataFrame) -> tuple[DataFrame, int]:
-    """Ways of up to `STRIDE` hops as (_src, _dst, _hops), and how many hops the longest have.
+def _strides(pairs: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Ways of exactly 1, 2, 4 and up to `STRIDE` hops as (_src, _dst), and whether there are none of twice the last.
 
-    Ways double while there are few of them: wide lineage stays at single hops.
+    Lengths double while the ways of one are few: wide lineage stays at single hops. Where each table is built from one
+    other, no length has more ways than there are edges.
     """
-    ways, stride, edges = pairs.withColumn("_hops", F.lit(1)), 1, pairs.count()
-    while stride < STRIDE:
-        far = ways.where(F.col("_hops") == stride).select(F.col("_src").alias("_mid"), F.col("_dst").alias("_end"))
-        near = ways.select(F.col("_src"), F.col("_dst").alias("_mid"), F.col("_hops"))
-        longer = near.join(far, "_mid").select("_src", F.col("_end").alias("_dst"), (F.col("_hops") + stride).alias("_hops"))
-        more = stable(ways.unionByName(longer.distinct()))
-        if more.count() > WAYS * edges:
+    ways, edges = [pairs], pairs.count()
+    while 1 << len(ways) <= STRIDE:
+        far = ways[-1].select(F.col("_src").alias("_mid"), F.col("_dst").alias("_end"))
+        near = ways[-1].withColumnRenamed("_dst", "_mid")
+        longer = stable(near.join(far, "_mid").select("_src", F.col("_end").alias("_dst")).distinct())
+        many = longer.count()
+        if not many:
+            return ways, True
+        if many > WAYS * edges:
             break
-        ways, stride = more, 2 * stride
-    return ways, stride
+        ways.append(longer)
+    return ways, False
 
 
 def _unbounded(pairs: DataFrame, level: DataFrame, merge) -> DataFrame:
-    """Hops until there is nothing new, as many in one join as there are in the longest ways."""
-    ways, stride = _strides(pairs)
-    found, back, depth = [level.withColumn("depth", F.lit(0)).limit(0)], [], 0
+    """Hops until there is nothing new.
+
+    A pass takes the longest ways first: what is found so far goes on by so many hops, then by half as many, down to one.
+    So every depth up to the sum of the lengths is reached once, and each length is joined once.
+    """
+    ways, whole = _strides(pairs)
+    level = stable(level)
+    found, depth, check = [level.withColumn("depth", F.lit(0)).limit(0)], 0, CYCLE_CHECK
     while True:
-        part = level.join(ways, level["table"] == ways["_dst"]).select(
-            "root", F.col("_src").alias("table"), (F.col("_hops") + depth).alias("depth"))
-        part = stable(part.distinct())
-        depth += stride
-        found.append(part.where("root <> table"))
-        back.append(part.where("root = table"))
-        level = found[-1].where(F.col("depth") == depth).select("root", "table")
-        if level.isEmpty():
-            # Ways of several hops pass through a root unseen; one that is its own ancestor lies on a cycle.
-            looped = not reduce(DataFrame.unionByName, back).isEmpty()
-            return merge(_deepest(found)) if looped else _deepest(found)
+        parts = [level.withColumn("depth", F.lit(depth))]
+        for i in reversed(range(len(ways))):
+            near = reduce(DataFrame.unionByName, parts)
+            far = near.join(ways[i], near["table"] == ways[i]["_dst"]).select(
+                "root", F.col("_src").alias("table"), (F.col("depth") + (1 << i)).alias("depth"))
+            parts.append(stable(far.distinct()))
+        found += [part.where("root <> table") for part in parts[1:]]
+        depth += (1 << len(ways)) - 1
+        level = parts[-1].where(F.col("depth") == depth).select("root", "table")
+        # Walks go on through a root, so those on or above a cycle never end.
+        if whole or level.isEmpty():
+            return _deepest(found)
         # No path without a repeat is longer than a root has ancestors: past that, it is a cycle.
-        if depth >= CYCLE_CHECK and depth.bit_count() == 1:
+        if depth >= check:
             ancestors = _deepest(found).groupBy("root").count().agg(F.max("count")).first()[0]
-            if depth > ancestors:
+            if depth > (ancestors or 0):
                 return merge(_deepest(found))
+            check = 2 * depth
 
 
 def _merged(pairs: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:

@@ -55,6 +55,32 @@ def test_a_cycle_through_the_root(spark):
     assert depths(spark, [("t", "a"), ("a", "t"), ("b", "a")], "t") == {"a": 1, "b": 2}
 
 
+def test_ways_of_a_chain_are_no_more_than_its_edges(spark):
+    chain = spark.range(100).selectExpr("concat('t', id) AS _src", "concat('t', id + 1) AS _dst")
+    ways, whole = lineage._strides(chain)
+    assert [w.count() for w in ways] == [100, 99, 97, 93, 85] and not whole
+    ways, whole = lineage._strides(chain.limit(3))
+    assert [w.count() for w in ways] == [3, 2] and whole
+
+
+def test_depths_equal_longest_ways_by_hand(spark):
+    draw = random.Random(5)
+    pairs = {(f"n{b:02}", f"n{a:02}") for a, b in (sorted(draw.sample(range(40), 2)) for _ in range(70))}
+    pairs |= {(f"c{i + 1:02}", f"c{i:02}") for i in range(69)} | {("n00", "c03"), ("c40", "c20"), ("c69", "c07")}
+    above = {}
+    for src, dst in pairs:
+        above.setdefault(dst, set()).add(src)
+    want = {}
+    for root in ("c00", "c05", "n01", "n30", "nowhere"):
+        front, depth = {root}, 0
+        while front:
+            front, depth = set().union(*(above.get(t, set()) for t in front)), depth + 1
+            want |= {(root, t): depth for t in front}
+    roots = spark.createDataFrame([(r,) for r in ("c00", "c05", "n01", "n30", "nowhere")], "root string")
+    got = {(r["root"], r["table"]): r["depth"] for r in rows(lineage.upstream(edges(spark, *pairs), roots))}
+    assert got == want and max(want.values()) > 62
+
+
 def frames(spark, raw_nulls, staged_nulls):
     def made(nulls):
         return spark.range(100).select(F.when(F.col("id") >= nulls, F.col("id")).alias("amount"))
