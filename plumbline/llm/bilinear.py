@@ -23,7 +23,6 @@ null id takes no part in training (its remainder is 0). Without training texts e
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -31,16 +30,18 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import kept, remainder, utf8, words
+from plumbline.llm.common import kept, remainder, utf8
 from plumbline.session import prepare
 
 #: The end of a text; no word holds a line break.
 END = b"\n"
 FREQUENT = 1 << 20
-_FLUSH = 300_000
+#: Bytes of text whose words are counted at a time.
+_COUNTED = 4 << 20
 _ENDINGS = {**dict.fromkeys(b".", 1), **dict.fromkeys(b",;:", 2), **dict.fromkeys(b"!?", 3), **dict.fromkeys(b"0123456789", 4)}
 GROUPS = 6 * 4
 
@@ -74,17 +75,10 @@ def counted(texts: DataFrame) -> DataFrame:
     """`text` as bytes -> (word, c) over all of them, the end included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        pack = lambda: pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        for batch in batches:
-            for text in batch.column(0):
-                seen[END] += 1
-                seen.update(words(text.as_py()))
-                if len(seen) > _FLUSH:
-                    yield pack()
-                    seen.clear()
-        yield pack()
+        for some in _some((t.as_py() for batch in batches for t in batch.column(0)), _COUNTED):
+            told = pc.value_counts(split(some)[0])
+            yield pa.RecordBatch.from_arrays([told.field(0), told.field(1)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([len(some)], pa.int64())], names=["word", "n"])
 
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -144,15 +138,16 @@ class Lexicon:
     def rest_of(self, word: bytes) -> int:
         return int(self.entry_start[group(word) + 1]) - 1
 
-    def numbered(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def numbered(self, found: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the tokens of some texts, each text closed by its end: numbers (-1: not frequent), units, entries (-1: the
-        unit is the word), and the places of words that are not frequent."""
-        number = np.fromiter(map(self.number.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+        unit is the word), and the places of words that are not frequent. Words are looked up once each."""
+        number = np.fromiter(map(self.number.get, found.distinct, repeat(-1)), dtype=np.int64, count=len(found.distinct))
         unit, entry, rare = self.unit[number], self.entry[number], np.flatnonzero(number < 0)
         if len(rare):
-            groups = np.array([group(found[i]) for i in rare.tolist()])
+            groups = np.array([group(found.distinct[i]) for i in rare.tolist()])
             unit[rare], entry[rare] = self.first_group + groups, self.entry_start[groups + 1] - 1
-        return number, unit, entry, rare
+        number = number.take(found.code)
+        return number, unit.take(found.code), entry.take(found.code), np.flatnonzero(number < 0)
 
     def initial(self, s: Settings) -> np.ndarray:
         """Rows: units before (and the start), predicted units with their bias last, the two places, the place within
@@ -166,13 +161,30 @@ class Lexicon:
         return p
 
 
-def tokens(texts: Iterable[bytes]) -> list[bytes]:
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts with A-Z in lower case, and how many each text has: those of `common.words`, of whatever bytes."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    found, cuts = parts.values.view(pa.binary()), parts.offsets.to_numpy()
+    whole = pc.binary_length(found).to_numpy() > 0  # space at either side of a text leaves an empty word
+    if not whole.all():
+        found, cuts = found.filter(pa.array(whole)), np.concatenate([[0], np.cumsum(whole)])[cuts]
+    return found, np.diff(cuts)
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens of some texts: the distinct ones, and which of them stands at each place."""
+
+    distinct: list[bytes]
+    code: np.ndarray
+
+
+def tokens(texts: list[bytes]) -> Tokens:
     """Words of texts, an end behind each text."""
-    out: list[bytes] = []
-    for text in texts:
-        out += words(text)
-        out.append(END)
-    return out
+    found, many = split(texts)
+    coded = found.dictionary_encode()
+    distinct = [*coded.dictionary.to_numpy(zero_copy_only=False), END]
+    return Tokens(distinct, np.insert(coded.indices.to_numpy(), np.cumsum(many), len(distinct) - 1))
 
 
 def contexts(unit: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,9 +224,9 @@ def _order(rows: np.ndarray, limit: int) -> np.ndarray:
 def _row_sums(rows: np.ndarray, values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values, and how often each occurs."""
     order = _order(rows, limit)
-    rows = rows[order]
+    rows = rows.take(order)
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(rows)))
+    return rows[first], np.add.reduceat(values.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(rows)))
 
 
 class Trainer:
@@ -234,13 +246,14 @@ class Trainer:
         """Steps are small at first and grow with what was read."""
         return min(max(self.s.first_batch, self.positions // 16), self.s.batch)
 
+    @np.errstate(over="ignore")  # of infinity, the gradient is zero
     def step(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray, entry: np.ndarray) -> None:
         u, w, p = self.u, self.s.width, self.p
         before, after, place = p[: u + 1, :w], p[u + 1 : 2 * u + 1], p[2 * u + 1 : self.head, :w]
         noise = np.minimum(np.searchsorted(self.steps, self.draw.random(self.s.noise)), u - 1)
-        r1, r2 = before[one], before[two]
+        r1, r2 = before.take(one, axis=0), before.take(two, axis=0)
         ahead = _with_ones(r1 * place[0] + r2 * place[1])
-        real, false = after[unit], after[noise]
+        real, false = after.take(unit, axis=0), after.take(noise, axis=0)
         false[:, w] -= self.log_noise[noise]
         score = np.einsum("ij,ij->i", ahead, real) - self.log_noise[unit]
         g_real, g_false = (1 + _loss(-score))[:, None], _loss(-ahead @ false.T)
@@ -271,8 +284,11 @@ class Trainer:
         one, entry = one[order], entry[order]
         groups = x.entry_group[entry]
         cuts = np.searchsorted(groups, np.arange(GROUPS + 1))
-        r, real = self.p[: u + 1, :w][one], vectors[entry]
+        r, real = self.p[: u + 1, :w].take(one, axis=0), vectors.take(entry, axis=0)
         real[:, w] -= self.log_share[entry]
+        # Rows stand against those of their stretch of a group: the last stretch is a short one.
+        place_in, size = np.arange(len(groups)) - cuts[groups], np.diff(cuts)[groups]
+        real[:, w] -= np.log(np.minimum(size - place_in // self.s.inner_noise * self.s.inner_noise, self.s.inner_noise)).astype(np.float32)
         ahead, g_ahead = _with_ones(r * place), np.zeros_like(r)
         values, told = np.empty_like(ahead), np.diff(x.entry_start)[groups] > 1
         for group_at, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
@@ -281,7 +297,6 @@ class Trainer:
             for i in range(low, high, self.s.inner_noise):
                 j = min(i + self.s.inner_noise, high)
                 mine, words_at = ahead[i:j], real[i:j]
-                words_at[:, w] -= np.float32(np.log(j - i))
                 slope = _loss(-mine @ words_at.T)
                 own = slope.reshape(-1)[:: j - i + 1]
                 own += 1 + own
@@ -309,8 +324,7 @@ def _with_ones(ahead: np.ndarray) -> np.ndarray:
 def _loss(minus: np.ndarray) -> np.ndarray:
     """Gradients -1 / (1 + exp(-score)) of scores against noise, from the negated scores, in their place. Those of real
     scores, 1 / (1 + exp(score)), are larger by one."""
-    with np.errstate(over="ignore"):  # of infinity, the gradient is zero
-        np.exp(minus, out=minus)
+    np.exp(minus, out=minus)
     minus += 1
     return np.divide(-1, minus, out=minus)
 
@@ -380,24 +394,28 @@ class Model:
         for g, (low, high) in enumerate(zip(lexicon.entry_start[:-1], lexicon.entry_start[1:], strict=True)):
             self.inner_z[:, g] = _log_sum(self.inner @ self.entries[low:high].T + self.bias[low:high])
 
-    def judge(self, texts: list[bytes]) -> list[tuple[int, int, float, float, Counter]]:
+    def judge(self, texts: list[bytes]) -> list[tuple[int, int, float, float, list[bytes], list[int]]]:
         """Of each text: tokens, known frequent ones, base and model log10 without the counts of the words that follow,
-        those words."""
+        those words, and how often each occurs."""
         x, found = self.lexicon, tokens(texts)
         number, unit, entry, rare = x.numbered(found)
         one, two = contexts(unit, x.start)
         model = (self.one[one, unit] + self.two[two, unit] - self.log_z[one, two]).astype(np.float64)
         at = np.flatnonzero(entry >= 0)
-        inner = np.einsum("ij,ij->i", self.inner[one[at]], self.entries[entry[at]]) + self.bias[entry[at]]
+        inner = np.einsum("ij,ij->i", self.inner.take(one[at], axis=0), self.entries.take(entry[at], axis=0)) + self.bias[entry[at]]
         model[at] += inner - self.inner_z[one[at], x.entry_group[entry[at]]]
         often = number >= 0
         model = model / np.log(10) + np.where(often, x.within[number], 0)
         ends = np.flatnonzero(unit == 0) + 1
         begins = np.concatenate([[0], ends[:-1]])
         sums = [np.add.reduceat(v, begins) for v in (np.where(often, x.known[number], False).astype(np.int64), np.where(often, x.base[number], 0.0), model)]
-        cuts = np.searchsorted(rare, np.append(begins, len(found)))
-        others = [Counter(found[i] for i in rare[low:high].tolist()) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
-        return list(zip((ends - begins).tolist(), *[v.tolist() for v in sums], others, strict=True))
+        # A word that is not frequent, by text and by its place among the distinct ones.
+        size = len(found.distinct)
+        pairs, times = np.unique(np.searchsorted(ends, rare, side="right") * size + found.code[rare], return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(len(ends) + 1) * size).tolist()
+        words, times = [found.distinct[i] for i in (pairs % size).tolist()], times.tolist()
+        others = [(words[low:high], times[low:high]) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [(*numbers, *more) for *numbers, more in zip((ends - begins).tolist(), *[v.tolist() for v in sums], others, strict=True)]
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
@@ -444,7 +462,7 @@ def scored(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     def judge(texts: pd.Series) -> pd.DataFrame:
         rows = [row for some in _some(texts) for row in model.value.judge(some)]
         return pd.DataFrame({"n_tokens": [r[0] for r in rows], "n_known": [r[1] for r in rows], "base": [r[2] for r in rows],
-                             "model": [r[3] for r in rows], "others": [list(r[4]) for r in rows], "times": [list(r[4].values()) for r in rows]})
+                             "model": [r[3] for r in rows], "others": [r[4] for r in rows], "times": [r[5] for r in rows]})
 
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = kept(docs.select("doc_id", mark.alias("mark"), judge(body).alias("j")).select("doc_id", "mark", "j.*"), "judged")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import bilinear, multiindex, quality
+from plumbline.llm.common import words
 from tests.llm.conftest import ODD, frame
 
 
@@ -211,6 +212,30 @@ def test_second_level_learns_and_is_normalised(spark):
         assert np.allclose(chance.sum(axis=1), 1, atol=1e-3)
 
 
+def test_tokens_of_some_texts_are_looked_up_once_each():
+    asked = []
+
+    class Told(dict):
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+    texts = [b" The cat\x0bTHE \x1c cat \xc3\x84 \xff\x85x ", b"", b" \t\n", b"cat  The\r\x0c\xc3\xa4", b"the end"]
+    want = [w for text in texts for w in (*words(text), bilinear.END)]
+    counts, many, held = {bilinear.END: 4, b"the": 3, b"cat": 2}, np.zeros(bilinear.GROUPS), np.zeros(bilinear.GROUPS)
+    many[bilinear.group(b"the")], held[bilinear.group(b"the")] = 2, 5
+    x = bilinear.Lexicon(list(counts.items()), 9, 3, many, held, bilinear.Settings(units=2, least=2))
+    known, x.number = x.number, Told(x.number)
+    number, unit, entry, rare = x.numbered(bilinear.tokens(texts))
+    assert number.tolist() == [known.get(w, -1) for w in want] and rare.tolist() == [i for i, w in enumerate(want) if w not in known]
+    assert unit.tolist() == [0 if w == bilinear.END else 1 if w == b"the" else x.first_group + bilinear.group(w) for w in want]
+    assert sorted(asked) == sorted(set(want))
+    found, sizes = bilinear.split(texts)
+    assert found.to_pylist() == [w for w in want if w != bilinear.END] and sizes.tolist() == [len(words(t)) for t in texts]
+    got = bilinear.Model(x, x.initial(bilinear.Settings()), bilinear.Settings()).judge(texts)
+    assert [dict(zip(r[4], r[5], strict=True)) for r in got] == [Counter(w for w in words(t) if w not in known) for t in texts]
+
+
 def test_a_step_within_groups_equals_sums_over_pairs():
     counts = {bilinear.END: 9, **{w: 9 - i for i, w in enumerate((b"the", b"cat", b"dog", b"sun", b"lamp.", b"moon.", b"horizon"))}}
     many, held = np.zeros(bilinear.GROUPS), np.zeros(bilinear.GROUPS)
