@@ -100,6 +100,12 @@ class Store:
                 raise
             return self.spark.createDataFrame([], T.StructType([*schema, *partitions]))
 
+    def read_batch(self, table: str, batch_id: int) -> DataFrame:
+        """What one micro-batch saved. Only its own folder is listed, however many batches came before."""
+        schema, _, _ = TABLES[table]
+        dated = T.StructType([*schema, T.StructField(DATE, T.DateType())])
+        return self.spark.read.schema(dated).parquet(f"{self.path(table)}/{BATCH}={int(batch_id)}")
+
     def violations(self) -> DataFrame:
         return self.read("violations").drop(BATCH)
 

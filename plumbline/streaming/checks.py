@@ -70,7 +70,7 @@ def run_checks(
             if rules.statistical and not keys:
                 store.save_baselines(lookback.snapshots_of_results(batch, rules), batch_id=batch_id)
             if messages is not None:
-                messages(as_messages(store.read("violations").where(F.col("batch_id") == batch_id)), batch_id)
+                messages(as_messages(store.read_batch("violations", batch_id)), batch_id)
         finally:
             batch.unpersist()
 

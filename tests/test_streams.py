@@ -220,3 +220,37 @@ def test_micro_batches_stay_bounded_and_in_order_whatever_gaps_ids_have(spark, t
     batches = [sum(came[i:i + files], []) for i in range(0, len(came), files)]
     assert files == 2 and len(batches) == 10 and max(map(len, batches)) <= 110
     assert all(max(a) < min(b) for a, b in zip(batches, batches[1:])) and sum(map(len, batches)) == 1000
+
+
+def test_records_are_parsed_once_whatever_the_rules_name(spark):
+    texts = [
+        ("{}", True), (' \t\n{"speed": 90, "device": null}', True), ('{"speed": [1, {"a": "}"}], "id": "x"} ', True), ('{"speed": "fast"', False),
+        ("", False), (None, False), ("null", False), ('"{}"', False), ("17", False), ('[{"speed": 1}]', False), ("{speed: 1}", False), ("{}{", True),
+        ('\x0b{"speed": 1}', False), ("{", False), ('{"id": "7", "speed": 20, "device": ""}', True)]
+    raw = spark.createDataFrame([(text, i) for i, (text, _) in enumerate(texts)], "raw string, n int")
+    schema = spark.createDataFrame([], "id string, device string, speed double").schema
+    records, malformed = source.decode(raw, schema)
+    assert [r["n"] for r in records.orderBy("n").collect()] == [i for i, (_, ok) in enumerate(texts) if ok]
+    assert [r["n"] for r in malformed.orderBy("n").collect()] == [i for i, (_, ok) in enumerate(texts) if not ok]
+    kind = F.schema_of_variant(F.try_parse_json("raw"))
+    assert raw.where(~F.coalesce(kind.startswith("OBJECT<"), F.lit(False)).eqNullSafe(source.is_record(F.col("raw")))).isEmpty()
+    first = {r["n"]: (r["id"], r["device"], r["speed"]) for r in records.collect()}
+    assert first[0] == (None, None, None) and first[1] == (None, None, "90") and first[2][2] == '[1,{"a":"}"}]' and first[14] == ("7", "", "20")
+    found = checks.stream_violations(records, RULES)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted((r["rule_name"], r["record_id"]) for r in found.collect()) == [
+        ("device", ""), ("device", ""), ("device", ""), ("device", "7"), ("device", "x"), ("speed_range", ""), ("speed_range", "x")]
+
+
+def test_messages_of_a_batch_are_read_from_its_folder_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    found = compile_rules(RULES, **OPTIONS).row_violations(feed(spark, 60))
+    for batch in range(3):
+        store.save_violations(found, batch_id=batch)
+    store.save_violations(found.limit(0), batch_id=3)
+    one = store.read_batch("violations", 1)
+    assert all("/batch_id=1/" in path for path in one.inputFiles())
+    whole = store.read("violations").where("batch_id = 1").drop("batch_id")
+    assert one.columns == whole.columns and one.count() == found.count()
+    assert one.exceptAll(whole).isEmpty() and whole.exceptAll(one).isEmpty()
+    assert checks.as_messages(store.read_batch("violations", 3)).isEmpty()
